@@ -1,0 +1,24 @@
+"""Registered queries of the core and their SQL counterparts."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .common import table
+from .operators import copydiff
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return copydiff.page_differences(table(spark, sf, "query_results"))
+
+
+def queries() -> dict[str, Query]:
+    return {"p4_found": p4_found}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
