@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import table
-from . import leakage, neardup, sharedspans
+from . import credentials, leakage, neardup, sharedspans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,29 @@ LEAK_EDITS = 1
 CLONE_GRAM, CLONE_SIMILARITY, CLONE_TOKENS = 5, Fraction(7, 10), 30
 
 
+def _secret_texts(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [("log_records", "log_id", ["message"]), ("command_results", "command_id", ["stdout", "stderr"]), ("model_files", "file_id", ["file_content"])]
+    out = None
+    for name, key, fields in parts:
+        fields_of = F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("content")) for f in fields)))
+        t = table(spark, sf, name).select(F.lit(name).alias("source_table"), F.col(key).alias("record_id"), fields_of.alias("x")).select("source_table", "record_id", "x.*")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return credentials.find_credentials(_secret_texts(spark, sf))
+
+
+def p1_redacted_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that hold credentials, with these masked and every other character in place."""
+    files = table(spark, sf, "model_files").where("file_id is not null")
+    texts = files.select(F.lit("model_files").alias("source_table"), F.col("file_id").alias("record_id"), F.lit("file_content").alias("field_name"), F.col("file_content").alias("content"))
+    places = credentials.find_credentials(texts).groupBy("record_id").agg(F.collect_set(F.struct("start_pos", "end_pos")).alias("places"))  # bounded by one text
+    held = files.join(places, F.col("file_id") == F.col("record_id"))
+    return held.select("file_id", "file_path", F.size("places").alias("credentials"), credentials.redact(F.col("file_content"), F.col("places")).alias("redacted"))
+
+
 def _span_records(spark: SparkSession, sf: str) -> DataFrame:
     java = table(spark, sf, "java_methods").select(F.lit(0).alias("src"), F.col("method_id").alias("id"), F.col("body").alias("text"))
     sql = table(spark, sf, "sql_statements").select(F.lit(1).alias("src"), F.col("statement_id").alias("id"), F.col("raw_text").alias("text"))
@@ -76,7 +99,7 @@ def p7_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (p2_found, p2_record_share, p5_found, p5_groups, p7_found, p7_leaked_items)}
+    return {q.__name__: q for q in (p1_found, p1_redacted_files, p2_found, p2_record_share, p5_found, p5_groups, p7_found, p7_leaked_items)}
 
 
 def oracle_sql() -> dict[str, str]:
