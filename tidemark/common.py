@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,18 +24,38 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     return df.repartition(cores * per_core) if df.rdd.getNumPartitions() < cores else df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and intermediate tables, which all executors share.
 
-    A folder is set here only where the session names none (tests on one machine).
+    It is that of ``spark.checkpoint.dir``; one is set here only where the session names none
+    and runs on one machine, as in tests.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not folder and sc.master.startswith("local["):
-            folder = os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
-        if not folder:
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder)
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and sc.master.startswith("local["):
+        folder = "file://" + os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
+    if not folder:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table into the shared folder and read it back.
+
+    For intermediate results that are used more than once: they are computed once and survive
+    the loss of an executor, and column encodings keep them smaller than a checkpoint.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
