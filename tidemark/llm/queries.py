@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import table
-from . import credentials, leakage, neardup, sharedspans
+from . import codetext, credentials, doclang, leakage, neardup, sharedspans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,14 @@ def p2_record_share(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("source_table", F.col("id").alias("record_id"), "chars", n.alias("shared_chars"), F.when(F.col("chars") > 0, F.round(n / F.col("chars"), 4)).otherwise(0.0).alias("share"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return codetext.span_languages(table(spark, sf, "source_spans")).select("span_id", "lang")
+
+
+def p3_file_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return codetext.file_shares(table(spark, sf, "model_files"), table(spark, sf, "source_spans"))
+
+
 def _methods(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "java_methods").select(F.col("method_id").alias("id"), F.col("normalized_body").alias("text"))
 
@@ -98,8 +106,22 @@ def p7_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
     return items.join(hits, "item_id", "left").na.fill(0, ["exact_docs", "edited_docs"])
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Paragraphs in another language than the label names, or without such a label."""
+    parts = doclang.paragraph_languages(table(spark, sf, "documents"))
+    return parts.where("named is null or named <> lang").select("doc_id", "seg_no", "lang")
+
+
+def p9_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    return doclang.paragraph_languages(table(spark, sf, "documents"))
+
+
+def p9_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return doclang.document_languages(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (p1_found, p1_redacted_files, p2_found, p2_record_share, p5_found, p5_groups, p7_found, p7_leaked_items)}
+    return {q.__name__: q for q in (p1_found, p1_redacted_files, p2_found, p2_record_share, p3_found, p3_file_shares, p5_found, p5_groups, p7_found, p7_leaked_items, p9_found, p9_paragraphs, p9_documents)}
 
 
 def oracle_sql() -> dict[str, str]:
