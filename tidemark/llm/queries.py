@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import table
-from . import codetext, credentials, doclang, leakage, neardup, sharedspans
+from . import codetext, credentials, doclang, leakage, mixing, neardup, sharedspans, syntax
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,6 +89,14 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     return groups.withColumnRenamed("id", "method_id")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.check_files(table(spark, sf, "model_files")).where("not valid").select("file_id")
+
+
+def p6_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.invalid_rates(table(spark, sf, "model_files"))
+
+
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), LEAK_WORDS, LEAK_EDITS)
 
@@ -106,6 +114,14 @@ def p7_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
     return items.join(hits, "item_id", "left").na.fill(0, ["exact_docs", "edited_docs"])
 
 
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(mixing.counted(table(spark, sf, "documents")), table(spark, sf, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(mixing.counted(table(spark, sf, "documents")), table(spark, sf, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Paragraphs in another language than the label names, or without such a label."""
     parts = doclang.paragraph_languages(table(spark, sf, "documents"))
@@ -121,7 +137,7 @@ def p9_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (p1_found, p1_redacted_files, p2_found, p2_record_share, p3_found, p3_file_shares, p5_found, p5_groups, p7_found, p7_leaked_items, p9_found, p9_paragraphs, p9_documents)}
+    return {q.__name__: q for q in (p1_found, p1_redacted_files, p2_found, p2_record_share, p3_found, p3_file_shares, p5_found, p5_groups, p6_found, p6_rates, p7_found, p7_leaked_items, p8_mix, p8_shares, p9_found, p9_paragraphs, p9_documents)}
 
 
 def oracle_sql() -> dict[str, str]:
