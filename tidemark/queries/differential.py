@@ -1 +1,91 @@
-"""Queries."""
+"""Queries of the differential engine, on events as baseline and derived probe and candidate."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..common import table
+from ..operators import differential as D
+from .registry import query
+
+_LEAVES = """base AS (SELECT event_id, unnest(['k', 'value', 'event_type', 'user_id', 'ts']) AS path, unnest([json_extract_string(props, '$.k'), CAST(CAST(value AS DECIMAL(18,4)) AS VARCHAR), event_type, CAST(user_id AS VARCHAR), CAST(epoch_us(ts) AS VARCHAR)]) AS value FROM events),
+  probe AS (SELECT event_id, path, CASE WHEN path = 'ts' OR path = 'user_id' AND event_id % 3 = 0 THEN value || '9' ELSE value END AS value FROM base),
+  cand AS (SELECT event_id, path, CASE WHEN path = 'value' AND event_id % 7 = 0 THEN CAST(CAST(value AS DECIMAL(18,4)) + 0.0001 AS VARCHAR) WHEN path = 'event_type' AND event_id % 11 = 0 THEN '17' WHEN path IN ('ts', 'user_id') THEN value || '1' ELSE value END AS value FROM base WHERE event_id % 13 <> 0 AND NOT (path = 'k' AND event_id % 17 = 0))"""
+_COMPARED = _LEAVES + """, j AS (SELECT b.event_id, b.path, b.value AS expected, c.value AS actual, c.event_id IS NOT NULL AS answered, p.event_id IS NOT NULL AND b.value IS DISTINCT FROM p.value AS varied FROM base b LEFT JOIN probe p USING (event_id, path) LEFT JOIN cand c ON c.event_id = b.event_id AND c.path = b.path),
+  x AS (SELECT *, path IN ('ts') OR (varied AND path IN ('user_id', 'ts')) AS excused FROM j),
+  cmp AS (SELECT *, CASE WHEN excused THEN NULL WHEN NOT answered THEN 'missing-field' WHEN expected IS NOT DISTINCT FROM actual THEN NULL WHEN TRY_CAST(expected AS DOUBLE) = TRY_CAST(actual AS DOUBLE) THEN NULL
+    WHEN (TRY_CAST(expected AS DOUBLE) IS NULL) <> (TRY_CAST(actual AS DOUBLE) IS NULL) THEN 'type-difference' WHEN floor(TRY_CAST(expected AS DOUBLE) + 0.5) = floor(TRY_CAST(actual AS DOUBLE) + 0.5) THEN 'precision' ELSE 'value-difference' END AS difference FROM x),
+  seen AS (SELECT DISTINCT event_id FROM cand),
+  outc AS (SELECT c.event_id, s.event_id IS NOT NULL AS reached, count(difference) AS n, max(CASE WHEN difference = 'missing-field' THEN 1 ELSE 0 END) AS critical FROM cmp c LEFT JOIN seen s ON s.event_id = c.event_id GROUP BY ALL),
+  outcomes AS (SELECT event_id, CASE WHEN NOT reached THEN 'unreachable' WHEN n > 0 THEN 'divergent' ELSE 'equal' END AS outcome, CASE WHEN reached THEN n ELSE 0 END AS mismatches, CASE WHEN reached AND n > 0 THEN CASE WHEN critical = 1 THEN 'CRITICAL' ELSE 'MAJOR' END END AS severity FROM outc)"""
+
+
+def _leaves(spark, sf):
+    e = table(spark, sf, "events")
+    pairs = {"k": F.get_json_object("props", "$.k"), "value": F.col("value").cast("decimal(18,4)").cast("string"), "event_type": F.col("event_type"), "user_id": F.col("user_id").cast("string"), "ts": F.unix_micros(F.col("ts").cast("timestamp")).cast("string")}
+    base = e.select("event_id", F.explode(F.array(*(F.struct(F.lit(p).alias("path"), v.alias("value")) for p, v in pairs.items()))).alias("x")).select("event_id", "x.path", "x.value")
+    path, ident, value = F.col("path"), F.col("event_id"), F.col("value")
+    probe = base.withColumn("value", F.when((path == "ts") | ((path == "user_id") & (ident % 3 == 0)), F.concat(value, F.lit("9"))).otherwise(value))
+    cand = base.where((ident % 13 != 0) & ~((path == "k") & (ident % 17 == 0))).withColumn("value", F.when((path == "value") & (ident % 7 == 0), (value.try_cast("decimal(18,4)") + F.lit("0.0001").cast("decimal(18,4)")).cast("decimal(18,4)").cast("string")).when((path == "event_type") & (ident % 11 == 0), "17").when(path.isin("ts", "user_id"), F.concat(value, F.lit("1"))).otherwise(value))
+    return base, probe, cand
+
+
+def _compared(spark, sf):
+    base, probe, cand = _leaves(spark, sf)
+    return D.compare(base, probe, cand, ["event_id"]), cand
+
+
+def _outcomes(spark, sf):
+    compared, cand = _compared(spark, sf)
+    return D.case_outcomes(compared, ["event_id"], cand)
+
+
+@query(f"WITH {_COMPARED} SELECT event_id, path, varied, excused, difference FROM cmp WHERE varied OR difference IS NOT NULL")
+def leaf_differences(spark, sf):
+    return _compared(spark, sf)[0].where("varied or difference is not null").select("event_id", "path", "varied", "excused", "difference")
+
+
+@query(f"WITH {_COMPARED} SELECT * FROM outcomes")
+def case_outcomes(spark, sf):
+    return _outcomes(spark, sf)
+
+
+@query(f"WITH {_COMPARED} SELECT count(*) AS cases, count(*) FILTER (WHERE outcome = 'equal') AS equal, count(*) FILTER (WHERE outcome = 'divergent') AS divergent, count(*) FILTER (WHERE outcome = 'unreachable') AS unreachable, 'NOT_EQUIVALENT' AS verdict, round(count(*) FILTER (WHERE outcome <> 'unreachable') / count(*), 4) AS confidence FROM outcomes")
+def verdict_rollup(spark, sf):
+    return D.verdict(_outcomes(spark, sf))
+
+
+@query(f"WITH {_COMPARED} SELECT s.severity, count(o.event_id) AS cases, CAST(coalesce(sum(mismatches), 0) AS BIGINT) AS mismatches FROM (VALUES ('INFO'), ('MINOR'), ('MAJOR'), ('CRITICAL')) s(severity) LEFT JOIN outcomes o ON o.severity = s.severity GROUP BY s.severity")
+def mismatch_summary(spark, sf):
+    names = ("INFO", "MINOR", "MAJOR", "CRITICAL")
+    row = _outcomes(spark, sf).agg(*(a for n in names for a in (F.count_if(F.col("severity") == n).alias(f"c{n}"), F.coalesce(F.sum(F.when(F.col("severity") == n, F.col("mismatches"))), F.lit(0)).alias(f"m{n}"))))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(n).alias("severity"), F.col(f"c{n}").alias("cases"), F.col(f"m{n}").alias("mismatches")) for n in names))).alias("x")).select("x.*")
+
+
+@query(f"WITH {_COMPARED} SELECT event_id, severity FROM outcomes WHERE outcome = 'divergent' ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 ELSE 1 END, event_id LIMIT 50")
+def repair_targets(spark, sf):
+    """The fifty worst cases, by severity and id: a top-k report."""
+    return _outcomes(spark, sf).where("outcome = 'divergent'").select("event_id", "severity").orderBy(F.when(F.col("severity") == "CRITICAL", 0).otherwise(1), "event_id").limit(50)
+
+
+@query(f"WITH {_COMPARED} SELECT difference, path, count(*) AS n FROM cmp WHERE difference IS NOT NULL GROUP BY ALL")
+def differences_by_kind(spark, sf):
+    return _compared(spark, sf)[0].where("difference is not null").groupBy("difference", "path").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_COMPARED} SELECT event_id, bool_and(difference IS NULL) AS passed, count(*) FILTER (WHERE excused) AS excused FROM cmp GROUP BY event_id")
+def cases_that_pass(spark, sf):
+    return _compared(spark, sf)[0].groupBy("event_id").agg(F.bool_and(F.col("difference").isNull()).alias("passed"), F.count_if("excused").alias("excused"))
+
+
+@query("""WITH b AS (SELECT user_id, list(DISTINCT event_type) FILTER (WHERE event_id % 2 = 0) AS before, list(DISTINCT event_type) FILTER (WHERE event_id % 2 = 1 AND event_type <> 'view') AS after FROM events GROUP BY user_id), c AS (SELECT user_id, coalesce(before, []) AS before, coalesce(after, []) AS after FROM b)
+  SELECT user_id, CASE WHEN len(after) = 0 THEN 'RESOLVED' WHEN len(list_filter(after, lambda x: NOT list_contains(before, x))) > 0 THEN 'REGRESSED' WHEN len(list_filter(before, lambda x: NOT list_contains(after, x))) > 0 THEN 'IMPROVED' ELSE 'NO_CHANGE' END AS status FROM c""")
+def repair_classification(spark, sf):
+    kinds = lambda cond: F.collect_set(F.when(cond, F.col("event_type")))
+    e = table(spark, sf, "events").groupBy("user_id").agg(kinds(F.col("event_id") % 2 == 0).alias("before"), kinds((F.col("event_id") % 2 == 1) & (F.col("event_type") != "view")).alias("after"))
+    return e.select("user_id", D.repair_status(F.col("before"), F.col("after"), F.lit(True)).alias("status"))
+
+
+@query("SELECT DISTINCT c.run_id FROM command_results c WHERE c.run_id IS NOT NULL AND c.run_id NOT IN (SELECT run_id FROM log_records WHERE run_id IS NOT NULL)")
+def referenced_but_absent(spark, sf):
+    return table(spark, sf, "command_results").where("run_id is not null").select("run_id").distinct().join(table(spark, sf, "log_records").where("run_id is not null"), "run_id", "left_anti")

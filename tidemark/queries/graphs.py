@@ -1 +1,68 @@
-"""Queries."""
+"""Queries over dependency graphs, on edges derived from nation keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..common import table
+from ..operators import graph as G
+from ..operators.components import connected_components
+from .registry import query
+
+_EDGES = "e AS (SELECT n_nationkey AS src, (3 * n_nationkey + 1) % 25 AS dst, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE round(0.5 + n_nationkey / 100.0, 2)::DOUBLE END AS conf FROM nation UNION ALL SELECT n_nationkey, (n_nationkey * n_nationkey + 2) % 25, 0.9 FROM nation WHERE n_nationkey % 3 = 0)"
+
+
+def edges(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"))
+    conf = F.when(F.col("k") % 4 != 0, F.round(0.5 + F.col("k") / 100.0, 2))
+    a = n.select(F.col("k").alias("src"), ((3 * F.col("k") + 1) % 25).alias("dst"), conf.alias("conf"))
+    return a.unionByName(n.where("k % 3 = 0").select(F.col("k").alias("src"), ((F.col("k") * F.col("k") + 2) % 25).alias("dst"), F.lit(0.9).alias("conf")))
+
+
+def starts(spark, sf):
+    return table(spark, sf, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").cast("bigint").alias("id"))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, c AS (SELECT n_nationkey AS start, n_nationkey AS last, [n_nationkey] AS path, 0 AS depth, 1.0::DOUBLE AS strength FROM nation WHERE n_nationkey < 5
+  UNION ALL SELECT start, dst, list_append(path, dst), depth + 1, least(strength, coalesce(conf, 1.0)) FROM c JOIN e ON e.src = c.last WHERE depth < 6 AND NOT list_contains(path, dst))
+  SELECT start, last AS "end", depth, array_to_string(path, '>') AS path, strength FROM c WHERE depth > 0""")
+def call_chains(spark, sf):
+    out = G.chains(edges(spark, sf), starts(spark, sf), 6, F.col("conf"))
+    return out.select("start", "end", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "strength")
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, b AS (SELECT n_nationkey AS start, n_nationkey AS id, 0 AS depth FROM nation WHERE n_nationkey < 5 UNION SELECT start, dst, depth + 1 FROM b JOIN e ON e.src = b.id WHERE depth < 4) SELECT start, id, min(depth) AS depth FROM b GROUP BY ALL""")
+def data_flow_depths(spark, sf):
+    return G.breadth_first(edges(spark, sf), starts(spark, sf), 4)
+
+
+@query(f"WITH {_EDGES} SELECT n_nationkey AS id, (SELECT count(*) FROM e WHERE dst = n_nationkey) AS inbound, (SELECT count(*) FROM e WHERE src = n_nationkey) AS outbound FROM nation ORDER BY inbound DESC, outbound DESC, id LIMIT 20")
+def hotspots(spark, sf):
+    return G.hotspots(edges(spark, sf))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst) SELECT a.src AS id, min(least(a.src, a.dst)) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src")
+def cycles(spark, sf):
+    return G.strong_components(edges(spark, sf))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e WHERE src <> dst AND (src + dst) % 2 = 0 UNION SELECT dst, src FROM e WHERE src <> dst AND (src + dst) % 2 = 0), r AS (SELECT src AS id, src AS seen FROM u UNION SELECT r.id, u.dst FROM r JOIN u ON u.src = r.seen) SELECT id, min(seen) AS component FROM r GROUP BY id")
+def undirected_components(spark, sf):
+    return connected_components(edges(spark, sf).where("(src + dst) % 2 = 0"))
+
+
+@query(f"""WITH {_EDGES}, n AS (SELECT n_nationkey AS id FROM nation WHERE n_nationkey <> 7 UNION ALL SELECT 3 UNION ALL SELECT 99)
+  SELECT 'duplicate-node' AS issue, id FROM n GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'dangling-edge', x FROM (SELECT src AS x FROM e UNION SELECT dst FROM e) WHERE x NOT IN (SELECT id FROM n)
+  UNION ALL SELECT DISTINCT 'self-loop', src FROM e WHERE src = dst UNION ALL SELECT DISTINCT 'orphan', id FROM n WHERE id NOT IN (SELECT src FROM e) AND id NOT IN (SELECT dst FROM e)""")
+def graph_integrity(spark, sf):
+    n = table(spark, sf, "nation").where("n_nationkey <> 7").select(F.col("n_nationkey").cast("bigint").alias("id"))
+    return G.integrity(n.unionByName(spark.createDataFrame([(3,), (99,)], "id bigint")), edges(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, c AS (SELECT n_nationkey AS goal, n_nationkey AS last, [n_nationkey] AS path, 1.0::DOUBLE AS strength, 0 AS depth FROM nation WHERE n_nationkey < 5
+  UNION ALL SELECT goal, src, list_append(path, src), least(strength, coalesce(conf, 1.0)), depth + 1 FROM c JOIN e ON e.dst = c.last WHERE depth < 4 AND NOT list_contains(path, src))
+  SELECT goal, count(*) AS chains, max(strength) AS best FROM c WHERE depth > 0 GROUP BY goal""")
+def support_chains(spark, sf):
+    """Chains against the direction of the edges, as support of a claim."""
+    back = edges(spark, sf).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "conf")
+    return G.chains(back, starts(spark, sf), 4, F.col("conf")).groupBy(F.col("start").alias("goal")).agg(F.count("*").alias("chains"), F.max("strength").alias("best"))
