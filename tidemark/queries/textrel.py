@@ -1 +1,231 @@
-"""Queries."""
+"""Queries that draw relations from source texts and join them."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..common import table
+from ..operators import extract as E
+from ..operators.components import connected_components
+from ..operators.similarity import bigrams, contained_pairs
+from .registry import query
+
+_LEAD = r"'^(?:\s+|--[^\n]*(?:\n|$)|/\*(?:[^*]|\*+[^*/])*\*+/)+'"
+_BARE = r"regexp_replace(lower(regexp_replace(raw_text, '''(?:[^'']|'''')*''|--[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/', ' ', 'g')), '\s+', ' ', 'g')"
+
+
+def statements(spark, sf):
+    return table(spark, sf, "sql_statements")
+
+
+@query(f"""SELECT statement_id, CASE WHEN regexp_matches(b, '^create\\s+(or\\s+replace\\s+)?(constraint\\s+)?trigger\\b') THEN 'CREATE TRIGGER' WHEN regexp_matches(b, '^create\\s+(or\\s+replace\\s+)?(function|procedure)\\b') THEN 'CREATE FUNCTION'
+  WHEN regexp_matches(b, '^create\\s+(temp(orary)?\\s+|unlogged\\s+)?table\\b') THEN 'CREATE TABLE' WHEN regexp_matches(b, '^create\\s+(or\\s+replace\\s+)?(materialized\\s+)?view\\b') THEN 'CREATE VIEW' WHEN regexp_matches(b, '^create\\s+(unique\\s+)?index\\b') THEN 'CREATE INDEX'
+  WHEN regexp_matches(b, '^create\\s+sequence\\b') THEN 'CREATE SEQUENCE' WHEN regexp_matches(b, '^alter\\b') THEN 'ALTER' WHEN regexp_matches(b, '^drop\\b') THEN 'DROP' WHEN regexp_matches(b, '^truncate\\b') THEN 'TRUNCATE' WHEN regexp_matches(b, '^(select|with|values)\\b') THEN 'SELECT'
+  WHEN regexp_matches(b, '^insert\\b') THEN 'INSERT' WHEN regexp_matches(b, '^update\\b') THEN 'UPDATE' WHEN regexp_matches(b, '^delete\\b') THEN 'DELETE' WHEN regexp_matches(b, '^comment\\b') THEN 'COMMENT' ELSE 'OTHER' END AS kind
+  FROM (SELECT statement_id, lower(regexp_replace(raw_text, {_LEAD}, '')) AS b FROM sql_statements WHERE raw_text IS NOT NULL)""")
+def statement_verbs(spark, sf):
+    return statements(spark, sf).where("raw_text is not null").select("statement_id", E.verb_of(F.col("raw_text")).alias("kind"))
+
+
+@query(f"""SELECT statement_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all({_BARE}, '\\b(?:from|join|into|update|table(?: if (?:not )?exists)?|on) ([a-z_][a-z0-9_]*)(?:[^a-z0-9_. (]| [^.(]|$)', 1), lambda x: x NOT IN ('select', 'set', 'only', 'lateral', 'unnest', 'values', 'if', 'not', 'exists', 'as', 'each', 'row', 'dual')))), ',') AS tables FROM sql_statements WHERE lower(verb) = 'update'""")
+def statement_tables(spark, sf):
+    return statements(spark, sf).where("lower(verb) = 'update'").select("statement_id", F.array_join(E.tables_of(F.col("raw_text")), ",").alias("tables"))
+
+
+@query("""SELECT statement_id, regexp_matches(s, '\\bround\\s*\\(') AS rounding, regexp_matches(s, '\\border\\s+by\\b') AS ordering, regexp_matches(s, '\\b(sum|count|avg|min|max)\\s*\\(') AS aggregate, contains(s, '||') AS concat, regexp_matches(s, '\\b(begin|commit|rollback)\\b') AS transaction FROM (SELECT statement_id, lower(raw_text) AS s FROM sql_statements WHERE raw_text IS NOT NULL)""")
+def statement_signals(spark, sf):
+    return statements(spark, sf).where("raw_text is not null").select("statement_id", *(c.alias(n) for n, c in E.sql_signals(F.col("raw_text")).items()))
+
+
+@query("""SELECT span_id FROM (SELECT span_id, lower(trim(literal_value)) AS s FROM source_spans) WHERE length(s) >= 12 AND regexp_matches(s, '^(select|insert|update|delete|create|with)\\b') AND regexp_matches(s, '\\b(from|into|set|table|values|where)\\b')""")
+def literals_that_look_like_sql(spark, sf):
+    return table(spark, sf, "source_spans").where(E.looks_like_sql(F.col("literal_value"))).select("span_id")
+
+
+@query("""SELECT method_id, CASE WHEN regexp_matches(body, 'nativeQuery\\s*=\\s*true') THEN 'native-query' WHEN regexp_matches(body, '\\bjdbc\\w*\\.\\w+\\(') THEN 'jdbc-template' WHEN regexp_matches(body, '(?i)"\\s*(select|insert|update|delete)\\b') THEN 'raw-sql' WHEN regexp_matches(body, '\\w*[rR]epository\\d*\\.\\w+\\(') THEN 'orm' ELSE 'none' END AS mechanism FROM java_methods WHERE body IS NOT NULL""")
+def database_access(spark, sf):
+    return table(spark, sf, "java_methods").where("body is not null").select("method_id", E.access_mechanism(F.col("body")).alias("mechanism"))
+
+
+@query("""SELECT method_id, unnest(list_filter([CASE WHEN regexp_matches(body, 'catch\\s*\\([^)]*\\)\\s*\\{\\s*\\}') THEN 'swallowed-exception' END, CASE WHEN regexp_matches(body, 'RoundingMode\\.(HALF_EVEN|DOWN)') THEN 'rounding-mode' END], lambda x: x IS NOT NULL)) AS finding FROM java_methods""")
+def suspicious_code(spark, sf):
+    found = table(spark, sf, "java_methods").where("body is not null").select("method_id", F.explode(E.suspicious(F.col("body"))).alias("finding"))
+    return found.where(F.col("finding").isin("swallowed-exception", "rounding-mode"))
+
+
+@query()
+def suspicious_code_all(spark, sf):
+    return table(spark, sf, "java_methods").where("body is not null").select("method_id", F.explode(E.suspicious(F.col("body"))).alias("finding"))
+
+
+@query("""WITH p(name, pat) AS (VALUES ('jdbc', 'jdbc:[a-z]+'), ('http', 'https?://'), ('amqp', 'amqp://'), ('mail', 'smtp')), h AS (SELECT name, file_id, row_number() OVER (PARTITION BY name ORDER BY file_id) AS rn FROM model_files JOIN p ON regexp_matches(lower(file_content), pat)) SELECT name, file_id FROM h WHERE rn <= 8""")
+def external_dependencies(spark, sf):
+    """Signatures of other systems with the first eight files of each, a bound of the report."""
+    pats = {"jdbc": "jdbc:[a-z]+", "http": "https?://", "amqp": "amqp://", "mail": "smtp"}
+    low = F.lower("file_content")
+    names = F.array_compact(F.array(*(F.when(low.rlike(p), n) for n, p in pats.items())))
+    hits = table(spark, sf, "model_files").where("file_content is not null").select("file_id", F.explode(names).alias("name"))
+    return hits.withColumn("rn", F.row_number().over(W.partitionBy("name").orderBy("file_id"))).where("rn <= 8").select("name", "file_id")
+
+
+@query()
+def script_statements(spark, sf):
+    files = table(spark, sf, "model_files").where(F.lower("file_path").endswith(".sql"))
+    return E.extracted(files, "file_id", ["file_content"], E.split_statements, "number bigint, line bigint, statement string")
+
+
+@query()
+def schema_objects(spark, sf):
+    files = table(spark, sf, "model_files").where(F.lower("file_path").endswith(".sql"))
+    return E.extracted(files, "file_id", ["file_content"], E.ddl_objects, "kind string, name string, line bigint, column string, type string, nullable boolean, precision bigint")
+
+
+@query()
+def java_outline(spark, sf):
+    files = table(spark, sf, "model_files").where(F.lower("file_path").endswith(".java"))
+    return E.extracted(files, "file_id", ["file_content"], E.java_methods, "name string, returns string, modifiers string, line bigint, end_line bigint")
+
+
+@query()
+def mapped_routes(spark, sf):
+    files = table(spark, sf, "model_files").where(F.lower("file_path").endswith(".java"))
+    return E.extracted(files, "file_id", ["file_content"], E.routes, "method string, path string, line bigint")
+
+
+@query()
+def configuration_settings(spark, sf):
+    files = table(spark, sf, "model_files").where(F.lower("file_path").rlike(r"\.(properties|ini|ya?ml)$"))
+    return E.extracted(files, "file_id", ["file_path", "file_content"], E.settings, "key string, value string, secret boolean")
+
+
+@query("""WITH t AS (SELECT method_id, list_filter(regexp_split_to_array(lower(body), '[^a-z0-9_]+'), lambda x: x <> '') AS t FROM java_methods WHERE body IS NOT NULL)
+  SELECT method_id, len(list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS pairs FROM t""")
+def token_bigrams(spark, sf):
+    return table(spark, sf, "java_methods").where("body is not null").select("method_id", F.size(bigrams(F.col("body"))).alias("pairs"))
+
+
+_SIM = """t AS (SELECT method_id AS id, list_filter(regexp_split_to_array(lower(normalized_body), '[^a-z0-9_]+'), lambda x: x <> '') AS t FROM java_methods WHERE normalized_body IS NOT NULL),
+  g AS (SELECT id, list_sort(list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS g FROM t), k AS (SELECT min(id) AS id, g, len(g) AS n FROM g WHERE len(g) >= 10 GROUP BY g),
+  pairs AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g)) AS common, a.n AS size_a, b.n AS size_b FROM k a JOIN k b ON a.id < b.id AND 5 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)),
+  sim AS (SELECT * FROM pairs WHERE 4 * common >= 3 * least(size_a, size_b))"""
+
+
+@query(f"WITH {_SIM} SELECT * FROM sim")
+def duplicated_calculations(spark, sf):
+    """Pairs of representatives of equal bodies; membership is in duplicated_calculation_groups."""
+    bodies = table(spark, sf, "java_methods").select(F.col("method_id").alias("id"), F.col("normalized_body").alias("text"))
+    return contained_pairs(bodies)[1]
+
+
+@query()
+def duplicated_calculation_groups(spark, sf):
+    """One row per method: its class of equal bodies, linked group, links and mean similarity of its class."""
+    bodies = table(spark, sf, "java_methods").select(F.col("method_id").alias("id"), F.col("normalized_body").alias("text"))
+    members, pairs = contained_pairs(bodies)
+    groups = connected_components(pairs, "a", "b").withColumnRenamed("id", "rep")
+    score = F.col("common") / F.least("size_a", "size_b")
+    ends = pairs.select(F.col("a").alias("rep"), score.alias("score")).unionByName(pairs.select(F.col("b").alias("rep"), score.alias("score")))
+    links = ends.groupBy("rep").agg(F.count("*").alias("links"), F.round(F.avg("score"), 3).alias("similarity"))
+    return members.join(links, "rep", "left").join(groups, "rep", "left").select("id", "rep", F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"), "similarity")
+
+
+@query("""SELECT s.statement_id, m.method_id FROM sql_statements s JOIN java_methods m ON m.repository = s.repository AND s.line_no BETWEEN m.line_no AND m.end_line""")
+def range_join_lines(spark, sf):
+    s = statements(spark, sf).select("statement_id", "repository", F.col("line_no").alias("at"))
+    m = table(spark, sf, "java_methods").select("method_id", "repository", "line_no", "end_line")
+    return range_join(s, m, "repository", "at", "line_no", "end_line").select("statement_id", "method_id")
+
+
+def range_join(points, spans, key, at, lo, hi, width: int = 32):
+    """Points within spans of the same key, by an equi-join on cells of ``width`` that a span covers."""
+    cells = spans.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
+    return points.withColumn("_cell", F.floor(F.col(at) / width)).join(cells, [key, "_cell"]).where(F.col(at).between(F.col(lo), F.col(hi))).drop("_cell")
+
+
+@query("""SELECT declaring_type, CASE WHEN count(DISTINCT relative_path) = 1 THEN min(relative_path) END AS resolved FROM java_methods WHERE declaring_type IS NOT NULL GROUP BY declaring_type""")
+def unambiguous_types(spark, sf):
+    m = table(spark, sf, "java_methods").where("declaring_type is not null")
+    return m.groupBy("declaring_type").agg(F.when(F.count_distinct("relative_path") == 1, F.min("relative_path")).alias("resolved"))
+
+
+@query("SELECT span_id FROM source_spans ANTI JOIN (SELECT file_id FROM model_files WHERE lang_hint = 'java') f USING (file_id)")
+def dangling_references(spark, sf):
+    return table(spark, sf, "source_spans").join(table(spark, sf, "model_files").where("lang_hint = 'java'").select("file_id"), "file_id", "left_anti").select("span_id")
+
+
+_TEMPLATES = ("/api/accounts/{id}/ledger", "/api/accounts/{id}", "/api/transfers/{id}", "/api/{x}/{y}")
+
+
+@query("""WITH l AS (SELECT log_id, regexp_extract(message, '\\b(?:GET|POST|PUT|DELETE) (/[^ ?]*)', 1) AS path FROM log_records), t(template, pat) AS (VALUES ('/api/accounts/{id}/ledger', '^/api/accounts/[^/]+/ledger$'), ('/api/accounts/{id}', '^/api/accounts/[^/]+$'), ('/api/transfers/{id}', '^/api/transfers/[^/]+$'), ('/api/{x}/{y}', '^/api/[^/]+/[^/]+$'))
+  SELECT log_id, template FROM l JOIN t ON regexp_matches(path, pat) WHERE path <> ''""")
+def route_template_matches(spark, sf):
+    import re
+
+    path = F.regexp_extract("message", r"\b(?:GET|POST|PUT|DELETE) (/[^ ?]*)", 1)
+    pats = {t: "^" + re.sub(r"\\\{[^}]*\\\}", "[^/]+", re.escape(t)) + "$" for t in _TEMPLATES}
+    hit = F.array_compact(F.array(*(F.when(path.rlike(p), t) for t, p in pats.items())))
+    return table(spark, sf, "log_records").where(path != "").select("log_id", F.explode(hit).alias("template"))
+
+
+@query("""WITH k AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(item_text), '[^a-z]+'), lambda x: length(x) > 9)) AS k FROM eval_items), m AS (SELECT item_id, doc_id, len(list_filter(k, lambda x: contains(lower(text), x))) AS n FROM k JOIN documents ON text IS NOT NULL) SELECT item_id, count(*) FILTER (WHERE n >= 2) AS docs, bool_or(n >= 2) AS found FROM m GROUP BY item_id""")
+def keyword_matches(spark, sf):
+    """Stated items (a table of fixed size) against all documents: a document counts if it holds two of an item's long words.
+
+    Keywords become one lookup table joined on words, so documents are not paired with items."""
+    kw = table(spark, sf, "eval_items").select("item_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("item_text"), "[^a-z]+"), lambda x: F.length(x) > 9))).alias("word"))
+    words = kw.select("word").distinct().agg(F.collect_list("word").alias("all"))  # bounded by the fixed table
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", F.lower("text").alias("low")).join(words, how="cross")  # a single row
+    held = docs.select("doc_id", F.explode(F.filter("all", lambda w: F.contains(F.col("low"), w))).alias("word"))
+    hits = held.join(kw, "word").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).where("n >= 2").groupBy("item_id").agg(F.count("*").alias("docs"))
+    items = table(spark, sf, "eval_items").select("item_id").distinct()
+    return items.join(hits, "item_id", "left").select("item_id", F.coalesce("docs", F.lit(0)).alias("docs"), F.col("docs").isNotNull().alias("found"))
+
+
+@query("""WITH q AS (SELECT DISTINCT file_id, literal_value AS quote FROM source_spans WHERE length(literal_value) >= 40), r AS (SELECT a.file_id, a.quote, b.file_id AS other, row_number() OVER (PARTITION BY a.file_id, a.quote ORDER BY b.file_id) AS rn FROM q a JOIN q b ON a.quote = b.quote AND a.file_id <> b.file_id) SELECT file_id, quote, other FROM r WHERE rn <= 3""")
+def quotes_found_elsewhere(spark, sf):
+    """Up to three other files that hold a quoted literal, ranked by id before the join so that no group is paired with itself."""
+    q = table(spark, sf, "source_spans").where(F.length("literal_value") >= 40).select("file_id", F.col("literal_value").alias("quote")).distinct()
+    first = q.withColumn("rn", F.row_number().over(W.partitionBy("quote").orderBy("file_id"))).where("rn <= 4").groupBy("quote").agg(F.array_sort(F.collect_list("file_id")).alias("ids"))
+    return q.join(first, "quote").select("file_id", "quote", F.explode(F.slice(F.filter("ids", lambda i: i != F.col("file_id")), 1, 3)).alias("other"))
+
+
+@query("""SELECT s.span_id, CASE WHEN f.file_id IS NULL THEN 'file-missing' WHEN s.end_pos > length(f.file_content) THEN 'out-of-range' WHEN substr(f.file_content, CAST(s.start_pos + 1 AS INTEGER), CAST(s.end_pos - s.start_pos AS INTEGER)) = coalesce(s.raw_text, s.comment_text) THEN 'matched'
+  WHEN contains(f.file_content, coalesce(s.raw_text, s.comment_text)) THEN 'relocated' ELSE 'drifted' END AS verdict FROM source_spans s LEFT JOIN model_files f ON f.file_id = s.file_id""")
+def citation_recheck(spark, sf):
+    s = table(spark, sf, "source_spans").select("span_id", F.col("file_id").alias("cited"), "start_pos", "end_pos", F.coalesce("raw_text", "comment_text").alias("quote"))
+    f = table(spark, sf, "model_files").select("file_id", "file_content")
+    at = F.substr("file_content", (F.col("start_pos") + 1).cast("int"), (F.col("end_pos") - F.col("start_pos")).cast("int"))
+    verdict = F.when(F.col("file_id").isNull(), "file-missing").when(F.col("end_pos") > F.length("file_content"), "out-of-range").when(at == F.col("quote"), "matched").when(F.contains("file_content", F.col("quote")), "relocated").otherwise("drifted")
+    return s.join(f, F.col("cited") == F.col("file_id"), "left").select("span_id", verdict.alias("verdict"))
+
+
+@query()
+def quotes_anchored(spark, sf):
+    """The place of each long comment in its file, found by words alone."""
+    s = table(spark, sf, "source_spans").where("comment_text is not null and line_no is not null").select("span_id", "file_id", F.col("comment_text").alias("quote"))
+    both = s.join(table(spark, sf, "model_files").select("file_id", F.col("file_content").alias("content")), "file_id")
+    return E.extracted(both, "span_id", ["content", "quote"], E.anchor, "first_line bigint, last_line bigint, score double")
+
+
+@query("""SELECT repository, count(*) AS statements, count(*) FILTER (WHERE verb IS NULL) AS unclassified, count(*) FILTER (WHERE writes) AS writing FROM sql_statements GROUP BY repository""")
+def repository_statements(spark, sf):
+    return statements(spark, sf).groupBy("repository").agg(F.count("*").alias("statements"), F.count_if(F.col("verb").isNull()).alias("unclassified"), F.count_if("writes").alias("writing"))
+
+
+@query("""WITH u AS (SELECT repository, unnest(tables_used) AS t FROM sql_statements) SELECT repository, array_to_string(list_sort(list(DISTINCT t)), ',') AS stores FROM u GROUP BY repository""")
+def stores_by_repository(spark, sf):
+    return statements(spark, sf).select("repository", F.explode("tables_used").alias("t")).groupBy("repository").agg(F.array_join(F.array_sort(F.collect_set("t")), ",").alias("stores"))
+
+
+@query("""WITH r AS (SELECT repository, relative_path, method_name, count(*) AS n FROM java_methods GROUP BY ALL) SELECT repository, relative_path, method_name, n FROM r WHERE n > 1""")
+def colliding_names(spark, sf):
+    return table(spark, sf, "java_methods").groupBy("repository", "relative_path", "method_name").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("""WITH l AS (SELECT file_id, unnest(string_split(file_content, chr(10))) AS line, generate_subscripts(string_split(file_content, chr(10)), 1) AS pos FROM model_files WHERE lower(file_path) LIKE '%.yaml')
+  SELECT file_id, pos AS first, array_to_string(list(line) OVER (PARTITION BY file_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), '|') AS three FROM l""")
+def line_windows(spark, sf):
+    lines = table(spark, sf, "model_files").where(F.lower("file_path").endswith(".yaml")).select("file_id", F.posexplode(F.split("file_content", "\n")).alias("pos", "line"))
+    w = W.partitionBy("file_id").orderBy("pos").rowsBetween(0, 2)
+    return lines.select("file_id", (F.col("pos") + 1).cast("bigint").alias("first"), F.array_join(F.collect_list("line").over(w), "|").alias("three"))
