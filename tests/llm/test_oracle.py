@@ -1,0 +1,22 @@
+"""Queries of the subpackage against their SQL, and all of them on the smallest data."""
+
+import pytest
+
+from oracle import connection, same
+from tidemark.llm import queries as llm
+
+
+@pytest.fixture(scope="module")
+def con(sf):
+    return connection(sf)
+
+
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_query_equals_sql(spark, sf, con, name):
+    same(spark, sf, llm.queries()[name], llm.oracle_sql()[name], con)
+
+
+@pytest.mark.parametrize("name", sorted(set(llm.queries()) - set(llm.oracle_sql())))
+def test_query_runs(spark, sf, name):
+    df = llm.queries()[name](spark, sf)
+    assert df.columns and df.count() >= 0

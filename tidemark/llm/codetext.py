@@ -51,7 +51,8 @@ _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _BREAK = re.compile(r"[.!?…](?:\s|$)|\n\s*\n|[={}<>\[\]|\\/@#$%^*+~_&;()`]|\s--+|--+\s|::|->|\d")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _LATIN_LETTER = re.compile(r"[a-zA-Z]")
-_INNER_UPPER = re.compile(r"[a-zß-ÿ][A-Z]|^[A-Z]{2,}$")
+_CAPITALS = re.compile(r"\b[^\W\d_]{2,}\b(?<=[A-ZÀ-ÞА-Я]{2})")
+_INNER_UPPER = re.compile(r"[a-zß-ÿ][A-Z]")
 
 
 def _bare(word: str) -> str:
@@ -122,8 +123,14 @@ def language(auto: ahocorasick.Automaton, text: str) -> tuple[str, int] | None:
     words_of: Counter = Counter()
     longest: Counter = Counter()
     for stretch in _BREAK.split(body):
-        words = [w for w in _WORD.findall(stretch)]
-        if len(words) < MIN_WORDS or sum(bool(_INNER_UPPER.search(w)) for w in words) * 3 > len(words):
+        words = _WORD.findall(stretch)
+        capitals = sum(w.isupper() and len(w) > 1 for w in words)
+        if 0 < capitals < len(words):  # keywords and names, unless all is in capitals
+            stretch = _CAPITALS.sub(" ", stretch)
+            words = _WORD.findall(stretch)
+        if len(words) < MIN_WORDS or sum(len(w) > 1 for w in words) * 3 < len(words) * 2:
+            continue
+        if sum(bool(_INNER_UPPER.search(w)) for w in words) * 3 > len(words):
             continue
         score, hits = votes(auto, stretch)
         if not hits:

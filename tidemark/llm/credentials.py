@@ -29,7 +29,7 @@ _TOKEN_FORMS = (
     r"|sk-[A-Za-z0-9_-]{32,}|AKIA[0-9A-Z]{16}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"
 )
 _SEP = r"\s*(?::=|=>|[:=])\s*"
-_QUOTED = r"(?P<q>\\?[\"'`])(?P<v>(?:(?!(?P=q))[^\r\n])+)(?P=q)"
+_QUOTED = r"(?P<q>\\?[\"'`])(?P<v>(?:(?!(?P=q))[^\r\n]){1,4096})(?P=q)"  # no credential on one line is longer
 
 RULES = {
     "pem": r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[\s\S]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)",

@@ -57,7 +57,7 @@ def plan(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     per = per.withColumn("before", F.sum("tokens").over(W.partitionBy("source").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)))  # at most RANGES rows per source
     per = per.withColumn("before", F.coalesce("before", F.lit(0)))
     size = per.groupBy("source").agg(F.sum("tokens").alias("available"))
-    t = targets.where("mix_name is not null and source_name is not null and target_share > 0 and max_repeats > 0")
+    t = targets.where("mix_name is not null and source_name is not null and target_share > 0 and max_repeats > 0").select("mix_name", "source_name", "target_share", "max_repeats")
     t = t.join(size, t["source_name"] == size["source"], "left").drop("source").withColumn("available", F.coalesce("available", F.lit(0)))
     most = F.min(F.floor(F.col("available") * F.col("max_repeats") / F.col("target_share"))).over(W.partitionBy("mix_name"))  # a mix has one row per source
     limit = F.least(most, F.lit(total_tokens)) if total_tokens is not None else most

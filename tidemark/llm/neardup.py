@@ -82,7 +82,7 @@ def classes(records: DataFrame, k: int = 5, min_tokens: int = 30) -> tuple[DataF
     ``records``: (id, text). Null texts and texts of fewer than ``min_tokens`` tokens take no
     part; rows repeated under one id count once (the greatest text).
     """
-    rec = records.where("id is not null and text is not null")
+    rec = records.where("id is not null and text is not null").select("id", "text")
     sets = checkpointed(spread(rec).mapInPandas(_sets(k, min_tokens), "id bigint, n int, d1 bigint, d2 bigint, counts array<int>, grams array<bigint>"))
     ids = sets.groupBy("id").agg(F.max(F.struct("d1", "d2")).alias("d")).select("id", "d.d1", "d.d2")
     reps = ids.groupBy("d1", "d2").agg(F.min("id").alias("rep"))

@@ -140,5 +140,24 @@ def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (p1_found, p1_redacted_files, p2_found, p2_record_share, p3_found, p3_file_shares, p5_found, p5_groups, p6_found, p6_rates, p7_found, p7_leaked_items, p8_mix, p8_shares, p9_found, p9_paragraphs, p9_documents)}
 
 
+_WORDS = "list_transform(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x))"
+_RECORDS = "SELECT 'java_methods' AS source_table, method_id AS record_id, body AS t FROM java_methods UNION ALL SELECT 'sql_statements', statement_id, raw_text FROM sql_statements"
+_SHARED = f"""r AS ({_RECORDS}), w AS (SELECT source_table, record_id, s, substr(t, s, {RUN}) AS x FROM (SELECT *, unnest(range(1, length(t) - {RUN} + 2)) AS s FROM r WHERE length(t) >= {RUN})),
+  hot AS (SELECT x FROM w GROUP BY x HAVING count(DISTINCT (source_table, record_id)) > 1), k AS (SELECT source_table, record_id, s, lead(s) OVER (PARTITION BY source_table, record_id ORDER BY s) AS n FROM w WHERE x IN (SELECT x FROM hot)),
+  shared AS (SELECT source_table, record_id, CAST(sum(least({RUN}, coalesce(n - s, {RUN}))) AS BIGINT) AS shared_chars FROM k GROUP BY ALL)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can say: exact windows, exact shingle sets and exact runs of words."""
+    doc, item = _WORDS.format("text"), _WORDS.format("item_text")
+    return {
+        "p2_found": f"WITH {_SHARED} SELECT * FROM shared",
+        "p2_record_share": f"WITH {_SHARED} SELECT r.source_table, r.record_id, coalesce(length(t), 0) AS chars, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN length(t) > 0 THEN round(coalesce(shared_chars, 0) / length(t), 4) ELSE 0 END AS share FROM r LEFT JOIN shared USING (source_table, record_id)",
+        "p5_found": f"""WITH t AS (SELECT method_id AS id, regexp_extract_all(normalized_body, '[A-Za-z0-9_$]+|[^\\sA-Za-z0-9_$]') AS t FROM java_methods WHERE normalized_body IS NOT NULL),
+  g AS (SELECT id, list_distinct(list_transform(range(1, len(t) - {CLONE_GRAM - 2}), lambda i: array_to_string(t[i:i + {CLONE_GRAM - 1}], ' '))) AS g FROM t WHERE len(t) >= {CLONE_TOKENS}),
+  u AS (SELECT id, len(g) AS n, unnest(g) AS x FROM g), c AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM u a JOIN u b ON a.x = b.x AND a.id < b.id GROUP BY ALL)
+  SELECT a AS method_a, b AS method_b FROM c WHERE k * {CLONE_SIMILARITY.denominator} >= {CLONE_SIMILARITY.numerator} * (na + nb - k)""",
+        "p7_found": f"""WITH d AS (SELECT doc_id, {doc} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {item} AS w FROM eval_items WHERE item_text IS NOT NULL),
+  dw AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + {LEAK_WORDS - 1}], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - {LEAK_WORDS - 2})) AS k FROM d)), iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k + {LEAK_WORDS - 1}], ' ') AS x FROM (SELECT item_id, w, unnest(range(1, len(w) - {LEAK_WORDS - 2})) AS k FROM i))
+  SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (x)""",
+    }
