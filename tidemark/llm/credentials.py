@@ -37,6 +37,9 @@ RULES = {
     "argument": r"(?i)" + _KEY + r"[\"'`]\s*,\s*" + _QUOTED,
     "attribute": r"(?i)" + _KEY + r"[\"']\s+value\s*=\s*" + _QUOTED,
     "element": r"(?i)<(?P<n>[\w.:-]*" + _KEY + r")>(?P<v>[^<>\r\n]+)</",
+    "login": r"(?i)(?:login|log_in|sign_?in|authenticate|basic_?auth|credentials?)\s*\(\s*[\"'`][^\"'`\r\n]*[\"'`]\s*,\s*" + _QUOTED,
+    "option": r"(?i)\s(?:-u|--user)[ =]\s*[\"']?[\w.@-]+:(?P<v>[^\s\"'`<>]+)",
+    "pair": r"(?i)" + _KEY + r"[\"']\s*,\s*[\"']val(?:ue)?[\"']\s*:\s*" + _QUOTED,
     "docker": r"(?i)[\"']auth[\"']\s*:\s*" + _QUOTED,
     "header": r"(?i)authorization(?:\\?[\"'])?\s*[:=,]\s*(?:\\?[\"'])?(?:bearer|basic|token)\s+(?P<v>[^\s\"'`;,\\]+)",
     "said": r"(?i)\b(?:password|passphrase|passcode|secret|api key|token|pwd)\s+(?:is\s+|was\s+)?(?P<q>[\"'`]?)(?P<v>[^\s\"'`<>,;()]+)(?P=q)",
@@ -62,6 +65,12 @@ def _is_name(v: str) -> bool:
     return bool(re.fullmatch(r"(?:[A-Za-z]+|[a-z]+(?:[A-Z][a-z]+)*|[A-Z][a-z]+(?:[A-Z][a-z]+)*|[A-Za-z]+(?:_[A-Za-z0-9]+)*)[0-9]{0,3}", v)) and _turns(v) < 3
 
 
+def _grouped(v: str) -> bool:
+    """Groups of one length, as issued passwords have them, also where all are letters."""
+    parts = v.split("-")
+    return len(parts) > 2 and len(parts[0]) > 3 and len({len(x) for x in parts}) == 1 and v.replace("-", "").isalnum()
+
+
 def _literal(v: str) -> bool:
     return len(v) >= 4 and not _PLACEHOLDER.fullmatch(v) and "***" not in v and "${" not in v and "{{" not in v
 
@@ -85,15 +94,15 @@ def accepted(rule: str, m: re.Match) -> tuple[int, int] | None:
     end = start + len(v)
     if not _literal(v):
         return None
-    if rule in ("quoted", "argument", "attribute", "element", "docker"):
+    if rule in ("quoted", "argument", "attribute", "element", "docker", "login", "pair"):
         words = v.split()
         if len(words) > 1 and (len(words) > 6 or not (re.search(r"[0-9]", v) or re.search(r"(?i)passphrase", m[0][: m.start("v") - m.start()]))):
             return None
-        if re.fullmatch(r"[a-z_. -]+|[A-Z_]+", v) and len(words) == 1:
+        if re.fullmatch(r"[a-z_. -]+|[A-Z_]+", v) and len(words) == 1 and not _grouped(v):
             return None
         if re.fullmatch(r"[\w.]+\(.*\)", v) or re.match(r"(?:process\.env|os\.environ|System\.getenv)", v):
             return None
-    elif rule == "bare":
+    elif rule == "bare" and not _grouped(v):
         after = text[m.end("v") : m.end("v") + 1]
         if after in ("(", "[") and after:
             return None
@@ -112,10 +121,12 @@ def accepted(rule: str, m: re.Match) -> tuple[int, int] | None:
             end -= len(v) - len(stripped)
             v = stripped
             mixed = re.search(r"[0-9]", v) and re.search(r"[A-Za-z]", v) or re.search(r"[A-Za-z][#!$%_.]", v)
-            if not mixed or len(v) < 6 or "://" in v or "=" in v.rstrip("="):
+            if not (mixed or _grouped(v)) or len(v) < 6 or "://" in v or "=" in v.rstrip("="):
                 return None
         elif re.fullmatch(r"[a-z_]+", v):
             return None
+    elif rule in ("userinfo", "option") and re.fullmatch(r"[0-9]{1,5}", v):
+        return None
     elif rule == "header":
         if len(v) < 8:
             return None
