@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import stored
 from ..functions.text import tokens
 
 
@@ -20,15 +21,16 @@ def contained_pairs(bodies: DataFrame, containment: tuple[int, int] = (3, 4), si
     to at least ``containment``, with sizes no further apart than ``size_ratio``.
 
     The smaller set of such a pair shares one of its rarest ``size - need + 1`` pairs with the
-    other, so only these are looked up; nothing is cut off by how frequent a pair of tokens is.
+    other, so only these are looked up, by 64-bit hashes; nothing is cut off by how frequent a pair of tokens is.
     ``bodies`` is (id, text); null texts and sets under ``least`` pairs take no part.
     """
     p, q = containment
-    sets = bodies.where("id is not null and text is not null").select("id", F.array_sort(bigrams(F.col("text"))).alias("grams")).where(F.size("grams") >= least)
-    keyed = sets.withColumn("key", F.sha2(F.array_join("grams", "\n"), 256))
+    hashed = F.array_sort(F.transform(bigrams(F.col("text")), lambda g: F.xxhash64(g)))
+    sets = stored(bodies.where("id is not null and text is not null").select("id", hashed.alias("grams")).where(F.size("grams") >= least))
+    keyed = sets.withColumn("key", F.sha2(F.array_join("grams", ","), 256))
     reps = keyed.groupBy("key").agg(F.min("id").alias("rep"))
     members = keyed.join(reps, "key").select("id", "rep")
-    kept = keyed.join(reps, (keyed["key"] == reps["key"]) & (keyed["id"] == reps["rep"]), "left_semi").select("id", "grams", F.size("grams").alias("n")).dropDuplicates(["id"])
+    kept = stored(keyed.join(reps, (keyed["key"] == reps["key"]) & (keyed["id"] == reps["rep"]), "left_semi").select("id", "grams", F.size("grams").alias("n")).dropDuplicates(["id"]))
     posts = kept.select("id", "n", F.explode("grams").alias("gram"))
     often = posts.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     shared = posts.join(often, "gram")
