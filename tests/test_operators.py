@@ -166,3 +166,15 @@ def test_gateway_refuses_writes(spark):
     page = gateway.run(spark, "SELECT id FROM range(10)", max_rows=3)
     assert page.truncated and page.rows.count() == 3
     assert not gateway.run(spark, "SELECT id FROM range(3)", max_rows=3).truncated
+
+
+def test_declarations():
+    assert E.dependencies("a/package.json", '{"dependencies": {"zod": "^3"}, "devDependencies": {"vitest": "1"}}') == [("zod", "^3", "runtime"), ("vitest", "1", "dev")]
+    assert E.dependencies("pom.xml", "<dependency><groupId>g</groupId><artifactId>a</artifactId><version>1</version></dependency>") == [("g:a", "1", "compile")]
+    assert E.dependencies("requirements.txt", "numpy==1.2\nregex\n") == [("numpy", "1.2", "runtime"), ("regex", None, "runtime")]
+    assert E.scheduled_jobs('@Scheduled(cron = "0 0 * * *")\nvoid a() {}\n@Scheduled(fixedRate=5)') == [("cron", "0 0 * * *", 1), ("fixedRate", "5", 3)]
+    assert E.json_in_prose('text {not json} then {"b": [1], "a": "}"} end') == [('{"a": "}", "b": [1]}',)]
+    assert E.json_in_prose("none") == [] and E.json_in_prose("```json\n[1]\n```") == [("[1]",)]
+    assert E.imports("package a.b;\nimport c.D;\nimport static e.F.*;\n// class X\nclass Y {}") == [("a.b.Y", "c.D"), ("a.b.Y", "e.F.*")]
+    src = 'x = "a // b"; /* c\n d */ y'
+    assert len(E.masked(src)) == len(src) and E.masked(src).split() == ["x", "=", ";", "y"]

@@ -60,3 +60,16 @@ def leaves(df: DataFrame, column: str, keep: list[str], depth: int = 8) -> DataF
         names = ", ".join(f"t.{k}" for k in keep)
         level = df.sparkSession.sql(f"SELECT {names}, concat(t.path, CASE WHEN t.path = '' THEN '' ELSE '.' END, coalesce(x.key, cast(x.pos AS string))) AS path, x.value AS value FROM _open_leaves t, LATERAL variant_explode(t.value) x")
     return done.unionByName(level)
+
+
+SECRET_KEYS = r"(?i)pass(?:word|wd|phrase)?|secret|token|credential|api[_-]?key|authorization|private[_-]?key"
+
+
+def redact_keys(json: Column, depth: int = 8) -> Column:
+    """A JSON text with the scalar values of secret-named keys replaced, at any level.
+
+    Strings, numbers and words after such a key are replaced in the canonical text, where a
+    quote within a string is always escaped; objects and arrays under one stay as they are.
+    """
+    key = r'("(?:[^"\\]|\\.)*?(?:' + SECRET_KEYS.removeprefix("(?i)") + r')(?:[^"\\]|\\.)*?"\s*:\s*)'
+    return F.regexp_replace(canonical(json), "(?i)" + key + r'("(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null)', '$1"[redacted]"')

@@ -261,3 +261,59 @@ def anchor(text: str, quote: str, enough: float = 0.7, gap: int = 3) -> list[tup
         return []
     best = max(groups, key=lambda g: (len(g), max(strong[i] for i in g), -g[0]))
     return [(best[0] + 1, best[-1] + 1, round(max(strong[i] for i in best), 4))]
+
+
+def scheduled_jobs(source: str) -> list[tuple[str, str, int]]:
+    """(kind, value, line) of scheduled methods: cron, fixedRate or fixedDelay."""
+    return [(m[1], m[2].strip("\""), source.count("\n", 0, m.start()) + 1) for m in re.finditer(r"@Scheduled\s*\(\s*(cron|fixedRate|fixedDelay)\s*=\s*(\"[^\"]*\"|\d+)", source)]
+
+
+def dependencies(path: str, text: str) -> list[tuple[str, str | None, str]]:
+    """(name, version, scope) declared by pom.xml, package.json, requirements.txt and Gradle files."""
+    name = path.rsplit("/", 1)[-1].lower()
+    out: list[tuple[str, str | None, str]] = []
+    if name == "pom.xml":
+        for block in re.findall(r"<dependency>([\s\S]*?)</dependency>", text):
+            tag = lambda t: (re.search(rf"<{t}>\s*([^<]*?)\s*</{t}>", block) or [None, None])[1]  # noqa: B023, E731
+            out.append((f"{tag('groupId')}:{tag('artifactId')}", tag("version"), tag("scope") or "compile"))
+    elif name == "package.json":
+        for scope, key in (("runtime", "dependencies"), ("dev", "devDependencies")):
+            body = re.search(rf'"{key}"\s*:\s*\{{([^}}]*)\}}', text)
+            out += [(n, v, scope) for n, v in re.findall(r'"([^"]+)"\s*:\s*"([^"]*)"', body[1])] if body else []
+    elif name == "requirements.txt":
+        out += [(n, v or None, "runtime") for n, v in re.findall(r"(?m)^\s*([A-Za-z0-9_.-]+)\s*(?:==\s*([^\s#;]+))?", text) if n]
+    elif name.startswith("build.gradle"):
+        out += [(f"{g}:{a}", v or None, s) for s, g, a, v in re.findall(r"(?m)^\s*(\w+)\s*\(?['\"]([\w.-]+):([\w.-]+)(?::([\w.-]+))?['\"]", text)]
+    return out
+
+
+def json_in_prose(text: str) -> list[tuple[str]]:
+    """The first JSON object or array that parses: a whole text, a fenced block, or a balanced stretch."""
+    import json
+
+    tries = [text, *re.findall(r"```(?:json)?\s*\n([\s\S]*?)```", text)]
+    for t in tries:
+        try:
+            v = json.loads(t)
+        except (ValueError, RecursionError):
+            continue
+        if isinstance(v, (dict, list)):
+            return [(json.dumps(v, sort_keys=True),)]
+    decoder = json.JSONDecoder()
+    for m in re.finditer(r"[{\[]", text):
+        try:
+            v, _ = decoder.raw_decode(text, m.start())
+        except (ValueError, RecursionError):
+            continue
+        return [(json.dumps(v, sort_keys=True),)]
+    return []
+
+
+def imports(source: str) -> list[tuple[str, str]]:
+    """(class, imported name) edges of a Java file."""
+    m = re.search(r"(?m)^\s*package\s+([\w.]+)\s*;", source)
+    c = re.search(r"\b(?:class|interface|enum|record)\s+(\w+)", masked(source))
+    if not c:
+        return []
+    owner = f"{m[1]}.{c[1]}" if m else c[1]
+    return sorted({(owner, x) for x in re.findall(r"(?m)^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;", source)})

@@ -49,7 +49,7 @@ def scan_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFr
     out = out.where(~F.exists(F.split("path", "/"), lambda s: s.isin(*SKIPPED_FOLDERS)))
     if glob:
         out = out.where(F.col("path").rlike(glob_pattern(glob)))
-    readable = (F.col("bytes") <= MAX_TEXT_BYTES) & ~F.contains(F.decode(F.substring("content", 1, 8000), F.lit("ISO-8859-1")), F.lit("\u0000"))
+    readable = (F.col("bytes") <= MAX_TEXT_BYTES) & ~F.contains(F.decode(F.substring("content", 1, 8000), "ISO-8859-1"), F.lit("\u0000"))
     text = F.when(readable, F.try_validate_utf8(F.col("content").cast("string")))
     return out.select("path", "bytes", text.alias("text")).withColumn("lines", F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))))
 
@@ -64,8 +64,9 @@ def new_artifacts(index: DataFrame, written: DataFrame) -> DataFrame:
     rows = content_ids(written, "content")
     old = index.select("path", F.col("artifact_id").alias("_old"))
     joined = rows.join(old, "path", "left")
-    checked = joined.withColumn("_ok", F.when(F.col("_old").isNotNull() & (F.col("_old") != F.col("artifact_id")), F.raise_error(F.concat(F.lit("another content under "), F.col("path")))).otherwise(F.lit(True)))
-    return checked.where(F.col("_ok") & F.col("_old").isNull()).drop("_ok", "_old")
+    conflict = F.raise_error(F.concat(F.lit("another content under "), F.col("path"))).cast("boolean")
+    keep = F.when(F.col("_old").isNull(), True).when(F.col("_old") == F.col("artifact_id"), False).otherwise(conflict)
+    return joined.where(keep).drop("_old")
 
 
 def upsert(index: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,3 +120,35 @@ def markdown_report(df: DataFrame, title: str, order: str) -> DataFrame:
     body = df.select((F.row_number().over(W.orderBy(order)) + 2).alias("pos"), cells.alias("line"))
     head = df.sparkSession.createDataFrame([(0, f"# {title}"), (1, "| " + " | ".join(df.columns) + " |"), (2, "|" + " --- |" * len(df.columns))], "pos int, line string")
     return head.unionByName(body)
+
+
+def list_folder(spark: SparkSession, root: str, recursive: bool = False, limit: int = 500) -> tuple[DataFrame, bool]:
+    """(path, bytes) of the entries of a folder, in order, at most ``limit``, and whether there are more."""
+    tree = scan_tree(spark, root).select("path", "bytes")
+    entries = tree if recursive else tree.where(~F.contains("path", F.lit("/")))
+    first = entries.orderBy("path").limit(limit + 1)
+    return first.limit(limit), first.count() > limit
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """An artifact index kept as one JSON array; anything else ends the query."""
+    return spark.read.schema(ARTIFACT).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+
+
+def snapshot(tables: dict[str, DataFrame], folder: str) -> None:
+    """Tables as immutable Parquet folders; a snapshot is never written over."""
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{folder}/{name}")
+
+
+def restore(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+
+
+def export_checked(df: DataFrame, path: str, facts: dict) -> None:
+    """Write a report as JSON lines if every fact (an aggregate and its expected value) holds."""
+    row = df.agg(*(expr.alias(n) for n, (expr, _) in facts.items())).first()
+    wrong = [n for n, (_, want) in facts.items() if row[n] != want]
+    if wrong:
+        raise ValueError(f"facts that do not hold: {', '.join(wrong)}")
+    df.write.mode("errorifexists").json(path)
