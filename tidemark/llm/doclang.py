@@ -48,8 +48,13 @@ DOUBT_BITS = 8.0
 #: Bytes that are scored at a time.
 BLOCK = 1 << 20
 
+_ENOUGH = re.compile(r"(?:[^\W\d_]+(?:[\W\d_]+|$)){%d}" % MIN_WORDS)
 LETTERS = re.compile(r"[^\W\d_]+")
-_NOISE = re.compile(r"`[^`\n]*`|\S*\d\S*|https?://\S+")
+_NOISE = re.compile(r"`[^`\n]*`|(?<!\S)[^\s\d]*\d\S*|https?://\S+")
+_END = re.compile(r"[.!?…]+(?=\s)|\n+")
+_OTHER = re.compile(r"[\W\d_]+")
+#: Letters of a script that is not judged here stand for the ends of paragraphs and sentences.
+_PART, _STOP = "\ua500", "\ua501"
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 
 
@@ -83,7 +88,7 @@ def words_line(sentence: str) -> tuple[str, int]:
 
 def paragraphs(text: str) -> list[tuple[int, str]]:
     """(number, text) of the parts between blank lines that count: not fenced and of enough words."""
-    return [(i, p) for i, p in enumerate(text.split("\n\n")) if not p.startswith("```") and len(LETTERS.findall(p)) >= MIN_WORDS]
+    return [(i, p) for i, p in enumerate(text.split("\n\n")) if not p.startswith("```") and _ENOUGH.search(p)]
 
 
 class Judge:
@@ -138,14 +143,17 @@ class Judge:
         return out + self._block(block)
 
     def _block(self, parts: list[str]) -> list[tuple[str, float, int]]:
+        # one pass each over the whole block: noise out, ends of sentences marked, all but letters to blanks
+        text = _NOISE.sub(" ", f" {_PART} ".join(p.replace(_PART, " ").replace(_STOP, " ") for p in parts))
+        text = _OTHER.sub(" ", _END.sub(_STOP, text)).lower()
         lines, owner, weight = [], [], []
-        for i, p in enumerate(parts):
-            for s in _SENTENCE.split(p):
-                line, n = words_line(s)
-                if n:
-                    lines.append((line + " ").encode("utf-8", "ignore"))
+        for i, p in enumerate(text.split(_PART)):
+            for s in p.split(_STOP):
+                s = s.strip(" ")
+                if s:
+                    lines.append((s + " ").encode("utf-8", "ignore"))
                     owner.append(i)
-                    weight.append(n)
+                    weight.append(s.count(" ") + 1)
         if not lines:
             return [(CODES[0], 0.0, 0)] * len(parts)
         starts = np.r_[0, np.cumsum([len(b) for b in lines])[:-1]]

@@ -16,22 +16,43 @@ def _grams(data: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each wanted key, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == wanted, at, -1)
+class Keys:
+    """Places of sorted keys by a table over their hashes; keys that share a slot are searched for."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.shift = np.uint64(64 - max(8, int(len(keys)).bit_length() + 3))
+        self.slots = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        at = self._slot(keys)
+        self.slots[at] = np.arange(len(keys), dtype=np.int32)
+        self.crowded = np.bincount(at, minlength=len(self.slots)) > 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each wanted key, or -1."""
+        if not len(self.keys):
+            return np.full(len(wanted), -1)
+        slot = self._slot(wanted)
+        at = self.slots[slot]
+        miss = np.flatnonzero(self.keys[at] != wanted)
+        rare = miss[self.crowded[slot[miss]]]
+        at[miss] = -1
+        if len(rare):
+            k = np.searchsorted(self.keys, wanted[rare])
+            k[k == len(self.keys)] = 0
+            at[rare] = np.where(self.keys[k] == wanted[rare], k, -1)
+        return at
 
 
 @dataclass
 class Order:
     """Statistics of one context length: exact code lengths of seen continuations, escape costs of seen contexts."""
 
-    grams: np.ndarray  # context and symbol, sorted
+    grams: Keys  # context and symbol
     bits: np.ndarray  # grams x classes
-    contexts: np.ndarray
+    contexts: Keys
     escape: np.ndarray  # contexts x classes; 0 where a class never saw the context
 
 
@@ -69,21 +90,27 @@ class Ppm:
             else:
                 lower = self._lookup(grams & np.uint64((1 << 8 * d) - 1), d - 1)
             bits = np.where(seen > 0, direct, escape[ctx] + lower)
-            below = Order(grams, bits.astype(np.float32), contexts, escape.astype(np.float32))
+            below = Order(Keys(grams), bits.astype(np.float32), Keys(contexts), escape.astype(np.float32))
             self.orders.append(below)
 
     def _lookup(self, grams: np.ndarray, d: int) -> np.ndarray:
         """Code lengths of the last bytes of ``grams`` in contexts of at most ``d`` bytes."""
-        out = np.zeros((len(grams), self.classes), np.float32)
-        left = np.arange(len(grams))
+        order = self.orders[d]
+        at = order.grams.find(grams & np.uint64((1 << 8 * (d + 1)) - 1))
+        out = order.bits[at]
+        left = np.flatnonzero(at < 0)
+        out[left] = 0
+        at = order.contexts.find((grams[left] & np.uint64((1 << 8 * (d + 1)) - 1)) >> np.uint64(8))
+        out[left[at >= 0]] += order.escape[at[at >= 0]]
+        d -= 1
         while d >= 0 and len(left):
             order = self.orders[d]
             g = grams[left] & np.uint64((1 << 8 * (d + 1)) - 1)
-            at = _find(order.grams, g)
+            at = order.grams.find(g)
             hit = at >= 0
             out[left[hit]] += order.bits[at[hit]]
             left, g = left[~hit], g[~hit]
-            at = _find(order.contexts, g >> np.uint64(8))
+            at = order.contexts.find(g >> np.uint64(8))
             known = at >= 0
             out[left[known]] += order.escape[at[known]]
             d -= 1
