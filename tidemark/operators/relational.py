@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..common import stored
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order; of equal rows any one. Null keys form a key."""
@@ -97,13 +99,13 @@ def seen_before(df: DataFrame, key: str, raw: str) -> DataFrame:
 def number_after(df: DataFrame, order: str, top: DataFrame, name: str, ranges: int = 64) -> DataFrame:
     """Consecutive ids from ``top`` + 1 in an order, without a sort in one task: rows are counted
     in ranges of the order, and each range numbers its own rows from the count before it."""
-    ranged = df.repartitionByRange(ranges, order).withColumn("_part", F.spark_partition_id())
+    ranged = stored(df.repartitionByRange(ranges, order).withColumn("_part", F.spark_partition_id()))  # ranges are sampled, so they are fixed here
     before = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = before.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # one row per range
-    start = top.select(F.coalesce(F.col(top.columns[0]), F.lit(0)).alias("_top"))
-    counted = before.select("_part", "_before").join(start, how="cross")  # a single row
+    start = top.select(F.coalesce(F.col(top.columns[0]), F.lit(0))).scalar()
+    counted = before.select("_part", (F.col("_before") + start).alias("_before"))
     numbered = ranged.withColumn("_rn", F.row_number().over(W.partitionBy("_part").orderBy(order)))
-    return numbered.join(counted, "_part").withColumn(name, F.col("_top") + F.col("_before") + F.col("_rn")).drop("_part", "_before", "_rn", "_top")
+    return numbered.join(counted, "_part").withColumn(name, F.col("_before") + F.col("_rn")).drop("_part", "_before", "_rn")
 
 
 def apply_deltas(base: DataFrame, deltas: DataFrame, key: str, delta_key: str, column: str) -> DataFrame:

@@ -174,9 +174,9 @@ def keyword_matches(spark, sf):
 
     Keywords become one lookup table joined on words, so documents are not paired with items."""
     kw = table(spark, sf, "eval_items").select("item_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("item_text"), "[^a-z]+"), lambda x: F.length(x) > 9))).alias("word"))
-    words = kw.select("word").distinct().agg(F.collect_list("word").alias("all"))  # bounded by the fixed table
-    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", F.lower("text").alias("low")).join(words, how="cross")  # a single row
-    held = docs.select("doc_id", F.explode(F.filter("all", lambda w: F.contains(F.col("low"), w))).alias("word"))
+    words = kw.select("word").distinct().agg(F.collect_list("word").alias("words"))  # bounded by the fixed table
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", F.lower("text").alias("low")).withColumn("words", words.scalar())
+    held = docs.select("doc_id", F.explode(F.filter("words", lambda w: F.contains(F.col("low"), w))).alias("word"))
     hits = held.join(kw, "word").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).where("n >= 2").groupBy("item_id").agg(F.count("*").alias("docs"))
     items = table(spark, sf, "eval_items").select("item_id").distinct()
     return items.join(hits, "item_id", "left").select("item_id", F.coalesce("docs", F.lit(0)).alias("docs"), F.col("docs").isNotNull().alias("found"))
