@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Last path steps that may differ from run to run if they did so between baseline and probe.
-VOLATILE = r"(?:^|\.)(?:id|[A-Za-z]*Id|[A-Za-z]*_id|[A-Za-z]*At|[A-Za-z]*_at|timestamp|ts|[dD]uration[A-Za-z]*|elapsed[A-Za-z]*)$"
-CLOCKS = r"(?:^|\.)(?:now|timestamp|ts|[A-Za-z]*At|[A-Za-z]*_at)$"
+# Last steps of a path that may differ from run to run, and those that read a clock.
+MINTED_NAMES = r"(?i)^(?:id|uuid|guid|seq|sequence|nonce|pid|time|timestamp|datetime)$"
+MINTED_ENDS = r"(?:Id|Uuid|Guid|Ref|Number|Token|Nonce)$"
+CLOCK_NAMES = r"(?i)^(?:time|timestamp|datetime)$"
+CLOCK_ENDS = r"(?:At|Time)$"
+DURATION_ENDS = r"(?:Ms|Millis|Micros|Nanos)$"
 
 
 def excuse(path: Column, varied: Column) -> Column:
-    """Whether a difference is put down to the run: clocks always, ids and durations if they varied before."""
-    return path.rlike(CLOCKS) | (varied & path.rlike(VOLATILE))
+    """Whether a difference is put down to the run: clocks always, other minted names if they varied before."""
+    leaf = F.element_at(F.filter(F.split(path, r"\."), lambda x: x != ""), -1)
+    leaf = F.coalesce(leaf, F.lit(""))
+    clock = leaf.rlike(CLOCK_NAMES) | leaf.rlike(CLOCK_ENDS)
+    return clock | (varied & (leaf.rlike(MINTED_NAMES) | leaf.rlike(MINTED_ENDS) | leaf.rlike(DURATION_ENDS)))
 
 
 def difference_kind(expected: Column, actual: Column, present: Column) -> Column:

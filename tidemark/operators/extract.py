@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 
 from ..common import spread
 
-# Order of the rules by which a statement's verb is told.
-_VERBS = [
-    ("CREATE TRIGGER", r"^create\s+(?:or\s+replace\s+)?(?:constraint\s+)?trigger\b"), ("CREATE FUNCTION", r"^create\s+(?:or\s+replace\s+)?(?:function|procedure)\b"),
-    ("CREATE TABLE", r"^create\s+(?:temp(?:orary)?\s+|unlogged\s+)?table\b"), ("CREATE VIEW", r"^create\s+(?:or\s+replace\s+)?(?:materialized\s+)?view\b"), ("CREATE INDEX", r"^create\s+(?:unique\s+)?index\b"),
-    ("CREATE SEQUENCE", r"^create\s+sequence\b"), ("ALTER", r"^alter\b"), ("DROP", r"^drop\b"), ("TRUNCATE", r"^truncate\b"), ("SELECT", r"^(?:select|with|values)\b"), ("INSERT", r"^insert\b"), ("UPDATE", r"^update\b"), ("DELETE", r"^delete\b"), ("COMMENT", r"^comment\b"),
-]
-#: Words after FROM and the like that are no tables.
-_NO_TABLE = ("select", "set", "only", "lateral", "unnest", "values", "if", "not", "exists", "as", "each", "row", "dual")
+# Kinds of statements by their first word, words after FROM and the like that are
+# no tables, and the words by which a literal is taken for SQL.
+_KINDS = {"select": ("select", "with"), "insert": ("insert",), "update": ("update", "merge"), "delete": ("delete",), "ddl": ("alter", "drop", "truncate")}
+_CREATED = ("trigger", "function", "procedure")
+_NO_TABLE = ("SELECT", "UNNEST", "GENERATE_SERIES", "LATERAL", "DUAL", "ONLY", "OF", "SET", "WHERE")
+_SQL_FIRST = "SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP|WITH|MERGE|TRUNCATE"
+_SQL_SECOND = "FROM|INTO|SET|VALUES|TABLE|INDEX|VIEW|TRIGGER|FUNCTION|PROCEDURE|WHERE|SELECT"
 
 
 def without_leading_comments(sql: Column) -> Column:
@@ -26,29 +25,36 @@ def without_leading_comments(sql: Column) -> Column:
 
 
 def verb_of(sql: Column) -> Column:
-    """The kind of a statement, OTHER if none is known."""
+    """The kind of a statement: select, insert, update, delete, ddl, function, trigger, procedure or unknown."""
     body = F.lower(without_leading_comments(sql))
-    out = F.lit("OTHER")
-    for name, pattern in reversed(_VERBS):
-        out = F.when(body.rlike(pattern), name).otherwise(out)
-    return out
+    created = F.lit("ddl")
+    for word in reversed(_CREATED):
+        created = F.when(body.rlike(rf"\b{word}\b"), word).otherwise(created)
+    out = F.when(body.startswith("create"), created)
+    for kind, words in _KINDS.items():
+        out = out.when(body.rlike("^(?:" + "|".join(words) + ")"), kind)
+    return out.otherwise("unknown")
 
 
 def tables_of(sql: Column) -> Column:
-    """Sorted distinct names after FROM, JOIN, INTO, UPDATE, TABLE and ON, outside literals and comments."""
-    bare = F.regexp_replace(sql, r"'(?:[^']|'')*'|--[^\n]*|/\*(?:[^*]|\*(?!/))*\*/", " ")
-    names = F.regexp_extract_all(F.lower(bare), F.lit(r"\b(?:from|join|into|update|table(?:\s+if\s+(?:not\s+)?exists)?|on)\s+([a-z_][a-z0-9_]*)\b(?!\s*\.|\s*\()"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.filter(names, lambda n: ~n.isin(*_NO_TABLE))))
+    """Sorted distinct names after FROM, JOIN, INTO, UPDATE, TABLE and ON, as they are written."""
+    names = F.flatten(F.array(*(
+        F.regexp_extract_all(sql, F.lit(rf"(?i)\b{word}\s+([A-Za-z_][\w$.]*)"), F.lit(1))
+        for word in ("FROM", "JOIN", "INTO", "UPDATE", r"TABLE(?:\s+IF\s+(?:NOT\s+)?EXISTS)?", "ON"))))
+    return F.array_sort(F.array_distinct(F.filter(names, lambda n: ~F.upper(n).isin(*_NO_TABLE))))
 
 
 def sql_signals(sql: Column) -> dict[str, Column]:
-    s = F.lower(sql)
-    return {"rounding": s.rlike(r"\bround\s*\("), "ordering": s.rlike(r"\border\s+by\b"), "aggregate": s.rlike(r"\b(?:sum|count|avg|min|max)\s*\("), "concat": s.contains("||"), "transaction": s.rlike(r"\b(?:begin|commit|rollback)\b")}
+    s = F.upper(sql)
+    return {
+        "rounding": s.rlike(r"\b(?:ROUND|TRUNC|NUMERIC)\s*\(|\bCAST\s*\([^)]*\bAS\b[^)]*(?:NUMERIC|DECIMAL)"), "ordering": s.rlike(r"\bORDER\s+BY\b"), "aggregate": s.rlike(r"\b(?:COUNT|SUM|AVG|MIN|MAX)\s*\("),
+        "concat": sql.rlike(r"\|\||\bCONCAT\s*\("), "transaction": s.rlike(r"\b(?:BEGIN|COMMIT|ROLLBACK|START\s+TRANSACTION|SAVEPOINT)\b"),
+    }
 
 
 def looks_like_sql(text: Column) -> Column:
-    s = F.lower(F.trim(text))
-    return (F.length(s) >= 12) & s.rlike(r"^(?:select|insert|update|delete|create|with)\b") & s.rlike(r"\b(?:from|into|set|table|values|where)\b")
+    s = F.upper(F.trim(text))
+    return (F.length(s) >= 12) & s.rlike(rf"^(?:{_SQL_FIRST})\b") & s.rlike(rf"\b(?:{_SQL_SECOND})\b")
 
 
 def access_mechanism(body: Column) -> Column:
@@ -56,16 +62,31 @@ def access_mechanism(body: Column) -> Column:
     return F.when(body.rlike(r"nativeQuery\s*=\s*true"), "native-query").when(body.rlike(r"\bjdbc\w*\.\w+\("), "jdbc-template").when(body.rlike(r"(?i)\"\s*(?:select|insert|update|delete)\b"), "raw-sql").when(body.rlike(r"\w*[rR]epository\d*\.\w+\("), "orm").otherwise("none")
 
 
-#: Code that deserves a look: name and pattern.
-SUSPICIOUS = {
-    "swallowed-exception": r"catch\s*\([^)]*\)\s*\{\s*\}", "time-dependence": r"\b(?:LocalDate(?:Time)?\.now|System\.currentTimeMillis|Instant\.now|new\s+Date)\(", "unchecked-cast": r"\(\s*(?:List|Map|Set)\s*<[^>]*>\s*\)",
-    "string-sql": r"\"\s*(?:SELECT|INSERT|UPDATE|DELETE)\b[^\"]*\"\s*\+", "retry-loop": r"(?s)\bfor\s*\([^)]*\bretr", "rounding-mode": r"RoundingMode\.(?:HALF_EVEN|DOWN)", "magic-number": r"[^\w.\"](?:[1-9]\d{3,})(?:\.\d+)?[^\w.\"]",
-}
+# What reads a clock or chance, transactions by hand, writing calls, hints of repeatable writes, marks of unfinished work.
+CLOCKS = r"\bnew\s+(?:java\.util\.)?Date\s*\(|\bSystem\s*\.\s*currentTimeMillis\s*\(|\bLocal(?:Date|DateTime|Time)\s*\.\s*now\s*\(|\bCalendar\s*\.\s*getInstance\s*\(|\bInstant\s*\.\s*now\s*\(|\bnew\s+Random\s*\(|\bMath\s*\.\s*random\s*\(|\bUUID\s*\.\s*randomUUID\s*\("
+SQL_CLOCKS = r"(?i)\b(?:NOW\s*\(\s*\)|CURRENT_DATE|CURRENT_TIMESTAMP|LOCALTIMESTAMP|clock_timestamp\s*\(\s*\))"
+TRANSACTIONS = r"\bsetAutoCommit\s*\(|\.commit\s*\(\s*\)|\.rollback\s*\(\s*\)"
+WRITES = r"(?i)\.(?:insert|update|delete|save|persist|executeUpdate|execute|send|post|create)\w*\s*\(|\b(?:INSERT|UPDATE|DELETE)\s+"
+REPEATABLE = r"(?i)idempoten|dedup|duplicate[-_ ]?key|already[-_ ]?processed"
+UNFINISHED = r"(?i)\b(?:TODO|FIXME|HACK|XXX|WORKAROUND|temporar|for now|do not (?:remove|delete|touch)|nobody knows|don'?t ask)\b"
+
+
+def detectors(body: Column) -> dict[str, Column]:
+    """Conditions under which a method's body deserves a look."""
+    return {
+        "swallowed-exception": body.rlike(r"\bcatch[ \t]*\([^)]*\)[ \t]*\{\s*\}|\bcatch[ \t]*\([^)]*\)[ \t]*\{(?:[^{};]*\b(?:log(?:ger)?|LOG|System\.err|System\.out)\b[^{};]*;\s*)+\}"),
+        "time-dependence": body.rlike(CLOCKS) | body.rlike(SQL_CLOCKS),
+        "transaction-boundary": body.rlike(TRANSACTIONS),
+        "retry-without-idempotency": body.rlike(r"(?i)retry|retries|attempt|maxAttempts") & body.rlike(WRITES) & ~body.rlike(REPEATABLE),
+        "unchecked-cast": body.rlike(r"\(\s*(?:List|Map|Set|Collection)\s*<[^>]*>\s*\)\s*\w"),
+        "magic-number": F.size(F.filter(F.regexp_extract_all(F.regexp_replace(body, r"\"(?:[^\"\\\n]|\\.)*\"", ""), F.lit(r"(?<![\w.])(-?\d+(?:\.\d+)?)(?![\w.])"), F.lit(1)), lambda n: ~n.isin("0", "1", "2", "-1", "10", "0.0", "1.0"))) > 0,
+        "misleading-comment": F.exists(F.regexp_extract_all(body, F.lit(r"(//[^\n]*|/\*[\s\S]*?\*/)"), F.lit(1)), lambda c: c.rlike(UNFINISHED)),
+    }
 
 
 def suspicious(body: Column) -> Column:
     """Names of the detectors that fire, in a fixed order."""
-    return F.array_compact(F.array(*(F.when(body.rlike(p), n) for n, p in SUSPICIOUS.items())))
+    return F.array_compact(F.array(*(F.when(c, n) for n, c in detectors(body).items())))
 
 
 def split_statements(sql: str) -> list[tuple[int, int, str]]:
@@ -317,3 +338,24 @@ def imports(source: str) -> list[tuple[str, str]]:
         return []
     owner = f"{m[1]}.{c[1]}" if m else c[1]
     return sorted({(owner, x) for x in re.findall(r"(?m)^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;", source)})
+
+
+# Signatures of other systems in Java code, their kind, and whether they make results vary.
+EXTERNAL = {
+    "system-clock": ("clock", True, r"\bSystem\s*\.\s*currentTimeMillis\b|\bnew\s+(?:java\.util\.)?Date\s*\(|\bLocal(?:Date|DateTime|Time)\s*\.\s*now\b|\bInstant\s*\.\s*now\b|\bCalendar\s*\.\s*getInstance\b"),
+    "random": ("random", True, r"\bnew\s+Random\b|\bMath\s*\.\s*random\b|\bThreadLocalRandom\b"),
+    "uuid": ("random", True, r"\bUUID\s*\.\s*randomUUID\b"),
+    "http-client": ("network", True, r"\bRestTemplate\b|\bWebClient\b|\bHttpClient\b|\bOkHttpClient\b|\bHttpURLConnection\b"),
+    "jdbc": ("database", False, r"\bDriverManager\b|\bDataSource\b|\bJdbcTemplate\b|\bjava\.sql\."),
+    "jpa": ("database", False, r"\bEntityManager\b|\borg\.springframework\.data\.jpa\b"),
+    "filesystem": ("filesystem", False, r"\bjava\.nio\.file\.Files\b|\bnew\s+File\s*\(|\bFileWriter\b|\bFileInputStream\b"),
+    "message-queue": ("queue", True, r"\bKafkaTemplate\b|\bRabbitTemplate\b|\bJmsTemplate\b|\b@KafkaListener\b|\b@RabbitListener\b"),
+}
+_EXTERNAL = {n: (k, v, re.compile(p)) for n, (k, v, p) in EXTERNAL.items()}
+
+
+def external_uses(source: str) -> list[tuple[str, str, bool, int]]:
+    """(name, kind, nondeterministic, line of the first use) of the systems that a file's code uses."""
+    code = masked(source)
+    hits = ((n, k, v, p.search(code)) for n, (k, v, p) in _EXTERNAL.items())
+    return [(n, k, v, code.count("\n", 0, m.start()) + 1) for n, k, v, m in hits if m]

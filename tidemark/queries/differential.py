@@ -8,11 +8,11 @@ from ..common import table
 from ..operators import differential as D
 from .registry import query
 
-_LEAVES = """base AS (SELECT event_id, unnest(['k', 'value', 'event_type', 'user_id', 'ts']) AS path, unnest([json_extract_string(props, '$.k'), CAST(CAST(value AS DECIMAL(18,4)) AS VARCHAR), event_type, CAST(user_id AS VARCHAR), CAST(epoch_us(ts) AS VARCHAR)]) AS value FROM events),
-  probe AS (SELECT event_id, path, CASE WHEN path = 'ts' OR path = 'user_id' AND event_id % 3 = 0 THEN value || '9' ELSE value END AS value FROM base),
-  cand AS (SELECT event_id, path, CASE WHEN path = 'value' AND event_id % 7 = 0 THEN CAST(CAST(value AS DECIMAL(18,4)) + 0.0001 AS VARCHAR) WHEN path = 'event_type' AND event_id % 11 = 0 THEN '17' WHEN path IN ('ts', 'user_id') THEN value || '1' ELSE value END AS value FROM base WHERE event_id % 13 <> 0 AND NOT (path = 'k' AND event_id % 17 = 0))"""
+_LEAVES = """base AS (SELECT event_id, unnest(['k', 'value', 'event_type', 'userId', 'timestamp']) AS path, unnest([json_extract_string(props, '$.k'), CAST(CAST(value AS DECIMAL(18,4)) AS VARCHAR), event_type, CAST(user_id AS VARCHAR), CAST(epoch_us(ts) AS VARCHAR)]) AS value FROM events),
+  probe AS (SELECT event_id, path, CASE WHEN path = 'timestamp' OR path = 'userId' AND event_id % 3 = 0 THEN value || '9' ELSE value END AS value FROM base),
+  cand AS (SELECT event_id, path, CASE WHEN path = 'value' AND event_id % 7 = 0 THEN CAST(CAST(value AS DECIMAL(18,4)) + 0.0001 AS VARCHAR) WHEN path = 'event_type' AND event_id % 11 = 0 THEN '17' WHEN path IN ('timestamp', 'userId') THEN value || '1' ELSE value END AS value FROM base WHERE event_id % 13 <> 0 AND NOT (path = 'k' AND event_id % 17 = 0))"""
 _COMPARED = _LEAVES + """, j AS (SELECT b.event_id, b.path, b.value AS expected, c.value AS actual, c.event_id IS NOT NULL AS answered, p.event_id IS NOT NULL AND b.value IS DISTINCT FROM p.value AS varied FROM base b LEFT JOIN probe p USING (event_id, path) LEFT JOIN cand c ON c.event_id = b.event_id AND c.path = b.path),
-  x AS (SELECT *, path IN ('ts') OR (varied AND path IN ('user_id', 'ts')) AS excused FROM j),
+  x AS (SELECT *, path IN ('timestamp') OR (varied AND path IN ('userId', 'timestamp')) AS excused FROM j),
   cmp AS (SELECT *, CASE WHEN excused THEN NULL WHEN NOT answered THEN 'missing-field' WHEN expected IS NOT DISTINCT FROM actual THEN NULL WHEN TRY_CAST(expected AS DOUBLE) = TRY_CAST(actual AS DOUBLE) THEN NULL
     WHEN (TRY_CAST(expected AS DOUBLE) IS NULL) <> (TRY_CAST(actual AS DOUBLE) IS NULL) THEN 'type-difference' WHEN floor(TRY_CAST(expected AS DOUBLE) + 0.5) = floor(TRY_CAST(actual AS DOUBLE) + 0.5) THEN 'precision' ELSE 'value-difference' END AS difference FROM x),
   seen AS (SELECT DISTINCT event_id FROM cand),
@@ -22,11 +22,11 @@ _COMPARED = _LEAVES + """, j AS (SELECT b.event_id, b.path, b.value AS expected,
 
 def _leaves(spark, sf):
     e = table(spark, sf, "events")
-    pairs = {"k": F.get_json_object("props", "$.k"), "value": F.col("value").cast("decimal(18,4)").cast("string"), "event_type": F.col("event_type"), "user_id": F.col("user_id").cast("string"), "ts": F.unix_micros(F.col("ts").cast("timestamp")).cast("string")}
+    pairs = {"k": F.get_json_object("props", "$.k"), "value": F.col("value").cast("decimal(18,4)").cast("string"), "event_type": F.col("event_type"), "userId": F.col("user_id").cast("string"), "timestamp": F.unix_micros(F.col("ts").cast("timestamp")).cast("string")}
     base = e.select("event_id", F.explode(F.array(*(F.struct(F.lit(p).alias("path"), v.alias("value")) for p, v in pairs.items()))).alias("x")).select("event_id", "x.path", "x.value")
     path, ident, value = F.col("path"), F.col("event_id"), F.col("value")
-    probe = base.withColumn("value", F.when((path == "ts") | ((path == "user_id") & (ident % 3 == 0)), F.concat(value, F.lit("9"))).otherwise(value))
-    cand = base.where((ident % 13 != 0) & ~((path == "k") & (ident % 17 == 0))).withColumn("value", F.when((path == "value") & (ident % 7 == 0), (value.try_cast("decimal(18,4)") + F.lit("0.0001").cast("decimal(18,4)")).cast("decimal(18,4)").cast("string")).when((path == "event_type") & (ident % 11 == 0), "17").when(path.isin("ts", "user_id"), F.concat(value, F.lit("1"))).otherwise(value))
+    probe = base.withColumn("value", F.when((path == "timestamp") | ((path == "userId") & (ident % 3 == 0)), F.concat(value, F.lit("9"))).otherwise(value))
+    cand = base.where((ident % 13 != 0) & ~((path == "k") & (ident % 17 == 0))).withColumn("value", F.when((path == "value") & (ident % 7 == 0), (value.try_cast("decimal(18,4)") + F.lit("0.0001").cast("decimal(18,4)")).cast("decimal(18,4)").cast("string")).when((path == "event_type") & (ident % 11 == 0), "17").when(path.isin("timestamp", "userId"), F.concat(value, F.lit("1"))).otherwise(value))
     return base, probe, cand
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..common import table
+from ..functions import files as C
 from ..functions import text as T
 from ..operators import relational as R
 from .registry import query
@@ -207,18 +208,18 @@ def glob_filter(spark, sf):
     return table(spark, sf, "model_files").where(p.rlike(T.glob_pattern("**/*.{java,sql}")) | p.rlike(T.glob_pattern("config/{fees,ledger}/*.y*ml"))).select("file_id", "file_path")
 
 
-@query("""SELECT file_id, CASE WHEN regexp_matches(lower(file_path), '(^|/)(test|tests)/') THEN 'test' WHEN regexp_matches(lower(file_path), '(^|/)migrations?/') THEN 'migration' WHEN regexp_matches(lower(file_path), '(^|/)config/') THEN 'config' WHEN regexp_matches(lower(file_path), '\\.(java|ts|py)$') THEN 'source' WHEN regexp_matches(lower(file_path), '\\.md$') THEN 'doc' ELSE 'other' END AS category FROM model_files""")
+@query("""WITH f AS (SELECT file_id, file_path AS p, lower(file_path) AS l, regexp_extract(file_path, '([^/]*)$', 1) AS b, CASE WHEN regexp_matches(file_path, '[^/]\\.[^./]+$') THEN lower(regexp_extract(file_path, '(\\.[^./]+)$', 1)) ELSE '' END AS e FROM model_files)
+  SELECT file_id, CASE WHEN regexp_matches(p, '(^|/)migrations?(/|$)') OR regexp_matches(b, '^v[0-9]+__') THEN 'migration' WHEN e = '.sql' AND regexp_matches(b, '(?i)schema|seed|ddl') THEN 'schema' WHEN regexp_matches(p, '(^|/)(test|tests|__tests__)(/|$)') OR regexp_matches(b, '\\.(test|spec)\\.[a-z]+$') THEN 'test'
+  WHEN e IN ('.md', '.txt') OR b = 'LICENSE' THEN 'documentation' WHEN b IN ('pom.xml', 'build.gradle', 'package.json', 'Makefile') OR e = '.gradle' THEN 'build' WHEN e IN ('.sh', '.bash') OR b IN ('Dockerfile', 'Procfile') THEN 'script'
+  WHEN e IN ('.properties', '.yaml', '.yml', '.toml', '.ini', '.env') OR b = 'application.xml' OR contains(l, '/config/') OR ends_with(l, '.conf') THEN 'configuration' WHEN contains(l, '/generated/') OR contains(l, '/target/') OR contains(l, '/build/') THEN 'generated'
+  WHEN e IN ('.java', '.ts', '.py', '.js') THEN 'source' WHEN e IN ('.xml', '.json') THEN 'configuration' ELSE 'other' END AS category FROM f""")
 def file_categories(spark, sf):
-    p = F.lower("file_path")
-    c = F.when(p.rlike("(^|/)(test|tests)/"), "test").when(p.rlike("(^|/)migrations?/"), "migration").when(p.rlike("(^|/)config/"), "config").when(p.rlike(r"\.(java|ts|py)$"), "source").when(p.rlike(r"\.md$"), "doc").otherwise("other")
-    return table(spark, sf, "model_files").select("file_id", c.alias("category"))
+    return table(spark, sf, "model_files").select("file_id", C.category(F.col("file_path")).alias("category"))
 
 
-@query("""SELECT file_id, coalesce(CASE lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'java' THEN 'java' WHEN 'ts' THEN 'typescript' WHEN 'sql' THEN 'sql' WHEN 'py' THEN 'python' WHEN 'json' THEN 'json' WHEN 'yml' THEN 'yaml' WHEN 'yaml' THEN 'yaml' WHEN 'xml' THEN 'xml' END, 'other') AS language FROM model_files""")
+@query("""SELECT file_id, CASE lower(regexp_extract(file_path, '(\\.[^./]+)$', 1)) WHEN '.java' THEN 'Java' WHEN '.ts' THEN 'TypeScript' WHEN '.sql' THEN 'SQL' WHEN '.py' THEN 'Python' WHEN '.json' THEN 'JSON' WHEN '.yml' THEN 'YAML' WHEN '.yaml' THEN 'YAML' WHEN '.xml' THEN 'XML' WHEN '.md' THEN 'Markdown' WHEN '.properties' THEN 'Properties' WHEN '.txt' THEN 'Text' END AS language FROM model_files""")
 def language_by_extension(spark, sf):
-    names = {"java": "java", "ts": "typescript", "sql": "sql", "py": "python", "json": "json", "yml": "yaml", "yaml": "yaml", "xml": "xml"}
-    m = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
-    return table(spark, sf, "model_files").select("file_id", F.coalesce(F.element_at(m, F.lower(F.regexp_extract("file_path", r"\.([A-Za-z0-9]+)$", 1))), F.lit("other")).alias("language"))
+    return table(spark, sf, "model_files").select("file_id", C.language(F.col("file_path")).alias("language"))
 
 
 @query("SELECT file_id, NOT list_contains(string_split(file_path, '/'), '') AND NOT list_contains(string_split(file_path, '/'), '..') AND NOT list_contains(string_split(file_path, '/'), '.') AS safe, file_path = 'config' OR starts_with(file_path, 'config/') AS inside FROM model_files")

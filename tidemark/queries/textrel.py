@@ -12,33 +12,33 @@ from ..operators.similarity import bigrams, contained_pairs
 from .registry import query
 
 _LEAD = r"'^(?:\s+|--[^\n]*(?:\n|$)|/\*(?:[^*]|\*+[^*/])*\*+/)+'"
-_BARE = r"regexp_replace(lower(regexp_replace(raw_text, '''(?:[^'']|'''')*''|--[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/', ' ', 'g')), '\s+', ' ', 'g')"
 
 
 def statements(spark, sf):
     return table(spark, sf, "sql_statements")
 
 
-@query(f"""SELECT statement_id, CASE WHEN regexp_matches(b, '^create\\s+(or\\s+replace\\s+)?(constraint\\s+)?trigger\\b') THEN 'CREATE TRIGGER' WHEN regexp_matches(b, '^create\\s+(or\\s+replace\\s+)?(function|procedure)\\b') THEN 'CREATE FUNCTION'
-  WHEN regexp_matches(b, '^create\\s+(temp(orary)?\\s+|unlogged\\s+)?table\\b') THEN 'CREATE TABLE' WHEN regexp_matches(b, '^create\\s+(or\\s+replace\\s+)?(materialized\\s+)?view\\b') THEN 'CREATE VIEW' WHEN regexp_matches(b, '^create\\s+(unique\\s+)?index\\b') THEN 'CREATE INDEX'
-  WHEN regexp_matches(b, '^create\\s+sequence\\b') THEN 'CREATE SEQUENCE' WHEN regexp_matches(b, '^alter\\b') THEN 'ALTER' WHEN regexp_matches(b, '^drop\\b') THEN 'DROP' WHEN regexp_matches(b, '^truncate\\b') THEN 'TRUNCATE' WHEN regexp_matches(b, '^(select|with|values)\\b') THEN 'SELECT'
-  WHEN regexp_matches(b, '^insert\\b') THEN 'INSERT' WHEN regexp_matches(b, '^update\\b') THEN 'UPDATE' WHEN regexp_matches(b, '^delete\\b') THEN 'DELETE' WHEN regexp_matches(b, '^comment\\b') THEN 'COMMENT' ELSE 'OTHER' END AS kind
+@query(f"""SELECT statement_id, CASE WHEN starts_with(b, 'create') THEN CASE WHEN regexp_matches(b, '\\btrigger\\b') THEN 'trigger' WHEN regexp_matches(b, '\\bfunction\\b') THEN 'function' WHEN regexp_matches(b, '\\bprocedure\\b') THEN 'procedure' ELSE 'ddl' END
+  WHEN regexp_matches(b, '^(select|with)') THEN 'select' WHEN regexp_matches(b, '^insert') THEN 'insert' WHEN regexp_matches(b, '^(update|merge)') THEN 'update' WHEN regexp_matches(b, '^delete') THEN 'delete' WHEN regexp_matches(b, '^(alter|drop|truncate)') THEN 'ddl' ELSE 'unknown' END AS kind
   FROM (SELECT statement_id, lower(regexp_replace(raw_text, {_LEAD}, '')) AS b FROM sql_statements WHERE raw_text IS NOT NULL)""")
 def statement_verbs(spark, sf):
     return statements(spark, sf).where("raw_text is not null").select("statement_id", E.verb_of(F.col("raw_text")).alias("kind"))
 
 
-@query(f"""SELECT statement_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all({_BARE}, '\\b(?:from|join|into|update|table(?: if (?:not )?exists)?|on) ([a-z_][a-z0-9_]*)(?:[^a-z0-9_. (]| [^.(]|$)', 1), lambda x: x NOT IN ('select', 'set', 'only', 'lateral', 'unnest', 'values', 'if', 'not', 'exists', 'as', 'each', 'row', 'dual')))), ',') AS tables FROM sql_statements WHERE lower(verb) = 'update'""")
+@query("""WITH w AS (SELECT statement_id, list_concat(regexp_extract_all(raw_text, '(?i)\\bFROM\\s+([A-Za-z_][\\w$.]*)', 1), regexp_extract_all(raw_text, '(?i)\\bJOIN\\s+([A-Za-z_][\\w$.]*)', 1), regexp_extract_all(raw_text, '(?i)\\bINTO\\s+([A-Za-z_][\\w$.]*)', 1),
+  regexp_extract_all(raw_text, '(?i)\\bUPDATE\\s+([A-Za-z_][\\w$.]*)', 1), regexp_extract_all(raw_text, '(?i)\\bTABLE(?:\\s+IF\\s+(?:NOT\\s+)?EXISTS)?\\s+([A-Za-z_][\\w$.]*)', 1), regexp_extract_all(raw_text, '(?i)\\bON\\s+([A-Za-z_][\\w$.]*)', 1)) AS t FROM sql_statements WHERE raw_text IS NOT NULL)
+  SELECT statement_id, array_to_string(list_sort(list_distinct(list_filter(t, lambda x: upper(x) NOT IN ('SELECT', 'UNNEST', 'GENERATE_SERIES', 'LATERAL', 'DUAL', 'ONLY', 'OF', 'SET', 'WHERE')))), ',') AS tables FROM w""")
 def statement_tables(spark, sf):
-    return statements(spark, sf).where("lower(verb) = 'update'").select("statement_id", F.array_join(E.tables_of(F.col("raw_text")), ",").alias("tables"))
+    return statements(spark, sf).where("raw_text is not null").select("statement_id", F.array_join(E.tables_of(F.col("raw_text")), ",").alias("tables"))
 
 
-@query("""SELECT statement_id, regexp_matches(s, '\\bround\\s*\\(') AS rounding, regexp_matches(s, '\\border\\s+by\\b') AS ordering, regexp_matches(s, '\\b(sum|count|avg|min|max)\\s*\\(') AS aggregate, contains(s, '||') AS concat, regexp_matches(s, '\\b(begin|commit|rollback)\\b') AS transaction FROM (SELECT statement_id, lower(raw_text) AS s FROM sql_statements WHERE raw_text IS NOT NULL)""")
+@query("""SELECT statement_id, regexp_matches(s, '\\b(ROUND|TRUNC|NUMERIC)\\s*\\(|\\bCAST\\s*\\([^)]*\\bAS\\b[^)]*(NUMERIC|DECIMAL)') AS rounding, regexp_matches(s, '\\bORDER\\s+BY\\b') AS ordering, regexp_matches(s, '\\b(COUNT|SUM|AVG|MIN|MAX)\\s*\\(') AS aggregate, regexp_matches(raw_text, '\\|\\||\\bCONCAT\\s*\\(') AS concat,
+  regexp_matches(s, '\\b(BEGIN|COMMIT|ROLLBACK|START\\s+TRANSACTION|SAVEPOINT)\\b') AS transaction FROM (SELECT statement_id, raw_text, upper(raw_text) AS s FROM sql_statements WHERE raw_text IS NOT NULL)""")
 def statement_signals(spark, sf):
     return statements(spark, sf).where("raw_text is not null").select("statement_id", *(c.alias(n) for n, c in E.sql_signals(F.col("raw_text")).items()))
 
 
-@query("""SELECT span_id FROM (SELECT span_id, lower(trim(literal_value)) AS s FROM source_spans) WHERE length(s) >= 12 AND regexp_matches(s, '^(select|insert|update|delete|create|with)\\b') AND regexp_matches(s, '\\b(from|into|set|table|values|where)\\b')""")
+@query("""SELECT span_id FROM (SELECT span_id, upper(trim(literal_value)) AS s FROM source_spans) WHERE length(s) >= 12 AND regexp_matches(s, '^(SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP|WITH|MERGE|TRUNCATE)\\b') AND regexp_matches(s, '\\b(FROM|INTO|SET|VALUES|TABLE|INDEX|VIEW|TRIGGER|FUNCTION|PROCEDURE|WHERE|SELECT)\\b')""")
 def literals_that_look_like_sql(spark, sf):
     return table(spark, sf, "source_spans").where(E.looks_like_sql(F.col("literal_value"))).select("span_id")
 
@@ -48,10 +48,12 @@ def database_access(spark, sf):
     return table(spark, sf, "java_methods").where("body is not null").select("method_id", E.access_mechanism(F.col("body")).alias("mechanism"))
 
 
-@query("""SELECT method_id, unnest(list_filter([CASE WHEN regexp_matches(body, 'catch\\s*\\([^)]*\\)\\s*\\{\\s*\\}') THEN 'swallowed-exception' END, CASE WHEN regexp_matches(body, 'RoundingMode\\.(HALF_EVEN|DOWN)') THEN 'rounding-mode' END], lambda x: x IS NOT NULL)) AS finding FROM java_methods""")
+@query("""SELECT method_id, unnest(list_filter([CASE WHEN regexp_matches(body, '\\bcatch[ \\t]*\\([^)]*\\)[ \\t]*\\{\\s*\\}') OR regexp_matches(body, '\\bcatch[ \\t]*\\([^)]*\\)[ \\t]*\\{([^{};]*\\b(log(ger)?|LOG|System\\.err|System\\.out)\\b[^{};]*;\\s*)+\\}') THEN 'swallowed-exception' END,
+  CASE WHEN regexp_matches(body, '(?i)retry|retries|attempt') AND regexp_matches(body, '(?i)\\.(insert|update|delete|save|persist|executeUpdate|execute|send|post|create)\\w*\\s*\\(|\\b(INSERT|UPDATE|DELETE)\\s+') AND NOT regexp_matches(body, '(?i)idempoten|dedup|duplicate[-_ ]?key|already[-_ ]?processed') THEN 'retry-without-idempotency' END,
+  CASE WHEN len(list_filter(regexp_extract_all(body, '(//[^\n]*|/\\*(?:[^*]|\\*+[^*/])*\\*+/)', 1), lambda c: regexp_matches(c, '(?i)\\b(TODO|FIXME|HACK|XXX|WORKAROUND|temporar|for now|do not (remove|delete|touch)|nobody knows|don''?t ask)\\b'))) > 0 THEN 'misleading-comment' END], lambda x: x IS NOT NULL)) AS finding FROM java_methods""")
 def suspicious_code(spark, sf):
     found = table(spark, sf, "java_methods").where("body is not null").select("method_id", F.explode(E.suspicious(F.col("body"))).alias("finding"))
-    return found.where(F.col("finding").isin("swallowed-exception", "rounding-mode"))
+    return found.where(F.col("finding").isin("swallowed-exception", "retry-without-idempotency", "misleading-comment"))
 
 
 @query()
@@ -59,14 +61,12 @@ def suspicious_code_all(spark, sf):
     return table(spark, sf, "java_methods").where("body is not null").select("method_id", F.explode(E.suspicious(F.col("body"))).alias("finding"))
 
 
-@query("""WITH p(name, pat) AS (VALUES ('jdbc', 'jdbc:[a-z]+'), ('http', 'https?://'), ('amqp', 'amqp://'), ('mail', 'smtp')), h AS (SELECT name, file_id, row_number() OVER (PARTITION BY name ORDER BY file_id) AS rn FROM model_files JOIN p ON regexp_matches(lower(file_content), pat)) SELECT name, file_id FROM h WHERE rn <= 8""")
+@query()
 def external_dependencies(spark, sf):
-    """Signatures of other systems with the first eight files of each, a bound of the report."""
-    pats = {"jdbc": "jdbc:[a-z]+", "http": "https?://", "amqp": "amqp://", "mail": "smtp"}
-    low = F.lower("file_content")
-    names = F.array_compact(F.array(*(F.when(low.rlike(p), n) for n, p in pats.items())))
-    hits = table(spark, sf, "model_files").where("file_content is not null").select("file_id", F.explode(names).alias("name"))
-    return hits.withColumn("rn", F.row_number().over(W.partitionBy("name").orderBy("file_id"))).where("rn <= 8").select("name", "file_id")
+    """Uses of other systems in masked Java, with the first eight files of each, a bound of the report."""
+    java = table(spark, sf, "model_files").where(F.lower("file_path").endswith(".java"))
+    uses = E.extracted(java, "file_id", ["file_content"], E.external_uses, "name string, kind string, nondeterministic boolean, line bigint")
+    return uses.withColumn("rn", F.row_number().over(W.partitionBy("name").orderBy("file_id"))).where("rn <= 8").drop("rn")
 
 
 @query()

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.text import glob_pattern
 
 #: Folders that a source tree scan leaves out, and the largest text that is read.
-SKIPPED_FOLDERS = ("node_modules", ".git", "dist", "build", "target", "coverage", ".next", "__pycache__")
+SKIPPED_FOLDERS = (".git", "node_modules", "target", "build", "dist", ".next", ".idea", ".gradle", ".mvn", "__pycache__", ".venv", "coverage")
 MAX_TEXT_BYTES = 2 * 1024 * 1024
 
 EVENT = T.StructType([
@@ -39,6 +39,11 @@ def append_events(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def line_count(text):
+    """Lines of a text; a line end at its end begins no further line, an empty text has none."""
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, "\n")) - text.endswith("\n").cast("int"))
+
+
 def scan_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """(path, bytes, text, lines) of the files below a folder, without the skipped ones. Large or
     binary files keep a null text; ``glob`` is matched against the path below the root."""
@@ -51,7 +56,7 @@ def scan_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFr
         out = out.where(F.col("path").rlike(glob_pattern(glob)))
     readable = (F.col("bytes") <= MAX_TEXT_BYTES) & ~F.contains(F.decode(F.substring("content", 1, 8000), "ISO-8859-1"), F.lit("\u0000"))
     text = F.when(readable, F.try_validate_utf8(F.col("content").cast("string")))
-    return out.select("path", "bytes", text.alias("text")).withColumn("lines", F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))))
+    return out.select("path", "bytes", text.alias("text")).withColumn("lines", F.when(F.col("text").isNotNull(), line_count(F.col("text"))))
 
 
 def content_ids(df: DataFrame, content: str, name: str = "artifact_id") -> DataFrame:
