@@ -26,17 +26,17 @@ CODES = list(LANGUAGES)
 
 #: A few sentences in each language, so that a language without labelled rows has a model too.
 SEED = {
-    "en": "The people who live here have always known that there is more than one way to do it, and they are not afraid to try what others would not. When it was late, we went back to the house because nobody had told us where they were. If you want to see this, you should ask before the others come, although it has been a long day. We found the old letters under the table, where someone must have left them during the war. Each of these people has been working for a small company that sells wooden chairs, and most of their customers are from other countries. Could you please send us the report which we discussed yesterday? Nothing would make me happier, whether or not the weather gets better.",
-    "de": "Die Menschen, die hier wohnen, haben immer gewusst, dass es mehr als einen Weg gibt, und sie haben keine Angst, das zu versuchen, was andere nicht tun würden. Als es spät war, gingen wir zurück zum Haus, weil uns niemand gesagt hatte, wo sie sind. Wenn du das sehen willst, solltest du fragen, bevor die anderen kommen, obwohl es ein langer Tag war. Wir fanden die alten Briefe unter dem Tisch, wo sie jemand während des Krieges liegen gelassen haben muss. Jeder von ihnen arbeitet für eine kleine Firma, die Stühle aus Holz verkauft, und die meisten ihrer Kunden kommen aus anderen Ländern. Könnten Sie uns bitte den Bericht schicken, über den wir gestern gesprochen haben? Nichts würde mich glücklicher machen.",
-    "fr": "Les gens qui habitent ici ont toujours su qu'il y a plus d'une façon de le faire, et ils n'ont pas peur d'essayer ce que les autres ne feraient pas. Quand il était tard, nous sommes rentrés à la maison parce que personne ne nous avait dit où ils étaient. Si vous voulez voir cela, il faut demander avant que les autres arrivent, bien que la journée ait été longue. Nous avons trouvé les vieilles lettres sous la table, où quelqu'un les avait laissées pendant la guerre. Chacun d'eux travaille pour une petite société qui vend des chaises en bois, et la plupart de leurs clients viennent d'autres pays. Pourriez-vous nous envoyer le rapport dont nous avons parlé hier, s'il vous plaît? Rien ne me rendrait plus heureux.",
-    "es": "La gente que vive aquí siempre ha sabido que hay más de una manera de hacerlo, y no tiene miedo de probar lo que otros no harían. Cuando ya era tarde, volvimos a la casa porque nadie nos había dicho dónde estaban. Si quieres ver esto, debes preguntar antes de que lleguen los demás, aunque ha sido un día muy largo. Encontramos las viejas cartas debajo de la mesa, donde alguien las dejó durante la guerra. Cada uno de ellos trabaja para una pequeña empresa que vende sillas de madera, y la mayoría de sus clientes son de otros países. ¿Podría usted enviarnos el informe del que hablamos ayer, por favor? Nada me haría más feliz.",
-    "pt": "As pessoas que moram aqui sempre souberam que há mais de uma maneira de fazer isso, e não têm medo de tentar o que os outros não fariam. Quando já era tarde, voltamos para casa porque ninguém nos tinha dito onde eles estavam. Se você quer ver isso, deve perguntar antes que os outros cheguem, embora tenha sido um dia muito longo. Encontramos as velhas cartas debaixo da mesa, onde alguém as deixou durante a guerra. Cada um deles trabalha para uma pequena empresa que vende cadeiras de madeira, e a maioria dos seus clientes é de outros países. Poderia enviar-nos o relatório de que falamos ontem, por favor? Nada me faria mais feliz.",
-    "it": "Le persone che vivono qui hanno sempre saputo che c'è più di un modo per farlo, e non hanno paura di provare quello che gli altri non farebbero. Quando era tardi siamo tornati a casa perché nessuno ci aveva detto dove erano. Se vuoi vedere questo, devi chiedere prima che arrivino gli altri, anche se è stata una giornata molto lunga. Abbiamo trovato le vecchie lettere sotto il tavolo, dove qualcuno le aveva lasciate durante la guerra. Ognuno di loro lavora per una piccola azienda che vende sedie di legno, e la maggior parte dei loro clienti viene da altri paesi. Potrebbe mandarci la relazione di cui abbiamo parlato ieri, per favore? Niente mi renderebbe più felice.",
-    "nl": "De mensen die hier wonen hebben altijd geweten dat er meer dan één manier is om het te doen, en ze zijn niet bang om te proberen wat anderen niet zouden doen. Toen het laat was gingen we terug naar het huis omdat niemand ons had verteld waar ze waren. Als je dit wilt zien, moet je het vragen voordat de anderen komen, hoewel het een lange dag is geweest. Wij vonden de oude brieven onder de tafel, waar iemand ze tijdens de oorlog moet hebben laten liggen. Elk van hen werkt voor een klein bedrijf dat houten stoelen verkoopt, en de meeste van hun klanten komen uit andere landen. Zou u ons alstublieft het verslag willen sturen waarover wij gisteren spraken? Niets zou mij gelukkiger maken.",
-    "sv": "Människorna som bor här har alltid vetat att det finns mer än ett sätt att göra det, och de är inte rädda för att prova det som andra inte skulle göra. När det var sent gick vi tillbaka till huset eftersom ingen hade sagt till oss var de var. Om du vill se detta bör du fråga innan de andra kommer, även om det har varit en lång dag. Vi hittade de gamla breven under bordet, där någon måste ha lämnat dem under kriget. Var och en av dem arbetar för ett litet företag som säljer stolar av trä, och de flesta av deras kunder kommer från andra länder. Kan ni vara snälla och skicka oss rapporten som vi talade om i går? Ingenting skulle göra mig lyckligare.",
-    "pl": "Ludzie, którzy tu mieszkają, zawsze wiedzieli, że jest więcej niż jeden sposób, aby to zrobić, i nie boją się próbować tego, czego inni by nie zrobili. Kiedy było późno, wróciliśmy do domu, ponieważ nikt nam nie powiedział, gdzie oni są. Jeśli chcesz to zobaczyć, powinieneś zapytać, zanim przyjdą inni, chociaż był to długi dzień. Znaleźliśmy stare listy pod stołem, gdzie ktoś musiał je zostawić podczas wojny. Każdy z nich pracuje dla małej firmy, która sprzedaje drewniane krzesła, a większość ich klientów pochodzi z innych krajów. Czy mogliby państwo przesłać nam sprawozdanie, o którym rozmawialiśmy wczoraj? Nic nie uczyniłoby mnie szczęśliwszym.",
-    "tr": "Burada yaşayan insanlar bunu yapmanın birden fazla yolu olduğunu her zaman biliyordu ve başkalarının yapmayacağı şeyleri denemekten korkmuyorlar. Geç olduğunda eve geri döndük çünkü kimse bize nerede olduklarını söylememişti. Bunu görmek istiyorsan, diğerleri gelmeden önce sormalısın, uzun bir gün olmasına rağmen bu çok iyi bir fikir. Eski mektupları masanın altında bulduk, birisi onları savaş sırasında orada bırakmış olmalı. Her biri ahşap sandalye satan küçük bir şirket için çalışıyor ve müşterilerinin çoğu başka ülkelerden geliyor. Dün konuştuğumuz raporu bize gönderebilir misiniz lütfen? Hiçbir şey beni daha mutlu edemez, hava düzelse de düzelmese de.",
-    "ru": "Люди, которые здесь живут, всегда знали, что есть больше чем один способ это сделать, и они не боятся пробовать то, чего другие не стали бы делать. Когда было поздно, мы вернулись домой, потому что никто не сказал нам, где они были. Если ты хочешь это увидеть, надо спросить, прежде чем придут другие, хотя это был долгий день. Мы нашли старые письма под столом, где их кто-то оставил во время войны. Каждый из них работает в небольшой компании, которая продаёт деревянные стулья, и большинство их клиентов из других стран. Не могли бы вы прислать нам отчёт, о котором мы говорили вчера? Ничто не сделало бы меня счастливее.",
+    "en": "The people who live here have always known that there is more than one way to do it, and they are not afraid to try what others would not. When it was late, we went back to the house because nobody had told us where they were. If you want to see this, you should ask before the others come, although it has been a long day. We found the old letters under the table, where someone must have left them during the war. Each of these people has been working for a small company that sells wooden chairs, and most of their customers are from other countries. Could you please send us the report which we discussed yesterday? Nothing would make me happier, whether or not the weather gets better. The bank pays a quarterly dividend to the owners of the pension fund, unless a court order or an expired contract forbids the payment. A customer may cancel a standing order, dispute a cheque or ask for a refund on any working day; the guarantee, the mortgage and the remaining balance are checked by the branch.",
+    "de": "Die Menschen, die hier wohnen, haben immer gewusst, dass es mehr als einen Weg gibt, und sie haben keine Angst, das zu versuchen, was andere nicht tun würden. Als es spät war, gingen wir zurück zum Haus, weil uns niemand gesagt hatte, wo sie sind. Wenn du das sehen willst, solltest du fragen, bevor die anderen kommen, obwohl es ein langer Tag war. Wir fanden die alten Briefe unter dem Tisch, wo sie jemand während des Krieges liegen gelassen haben muss. Jeder von ihnen arbeitet für eine kleine Firma, die Stühle aus Holz verkauft, und die meisten ihrer Kunden kommen aus anderen Ländern. Könnten Sie uns bitte den Bericht schicken, über den wir gestern gesprochen haben? Nichts würde mich glücklicher machen. Die Bank zahlt den Eigentümern des Pensionsfonds eine vierteljährliche Dividende, sofern kein Gerichtsbeschluss und kein abgelaufener Vertrag die Zahlung verbietet. Ein Kunde kann einen Dauerauftrag kündigen, einen Scheck beanstanden oder an jedem Werktag eine Erstattung verlangen; die Bürgschaft, die Hypothek und der restliche Saldo werden von der Filiale geprüft.",
+    "fr": "Les gens qui habitent ici ont toujours su qu'il y a plus d'une façon de le faire, et ils n'ont pas peur d'essayer ce que les autres ne feraient pas. Quand il était tard, nous sommes rentrés à la maison parce que personne ne nous avait dit où ils étaient. Si vous voulez voir cela, il faut demander avant que les autres arrivent, bien que la journée ait été longue. Nous avons trouvé les vieilles lettres sous la table, où quelqu'un les avait laissées pendant la guerre. Chacun d'eux travaille pour une petite société qui vend des chaises en bois, et la plupart de leurs clients viennent d'autres pays. Pourriez-vous nous envoyer le rapport dont nous avons parlé hier, s'il vous plaît? Rien ne me rendrait plus heureux. La banque verse un dividende trimestriel aux titulaires du fonds de pension, sauf si une décision de justice ou un contrat expiré interdit le paiement. Un client peut annuler un ordre permanent, contester un chèque ou demander un remboursement chaque jour ouvré; la garantie, l'hypothèque et le solde restant sont vérifiés par l'agence.",
+    "es": "La gente que vive aquí siempre ha sabido que hay más de una manera de hacerlo, y no tiene miedo de probar lo que otros no harían. Cuando ya era tarde, volvimos a la casa porque nadie nos había dicho dónde estaban. Si quieres ver esto, debes preguntar antes de que lleguen los demás, aunque ha sido un día muy largo. Encontramos las viejas cartas debajo de la mesa, donde alguien las dejó durante la guerra. Cada uno de ellos trabaja para una pequeña empresa que vende sillas de madera, y la mayoría de sus clientes son de otros países. ¿Podría usted enviarnos el informe del que hablamos ayer, por favor? Nada me haría más feliz. El banco paga un dividendo trimestral a los titulares del fondo de pensiones, salvo que una orden judicial o un contrato vencido prohíba el pago. Un cliente puede cancelar una orden permanente, disputar un cheque o pedir un reembolso en cualquier día hábil; la garantía, la hipoteca y el saldo restante se comprueban en la sucursal. La entidad recibe una factura extranjera tras un cambio de titular.",
+    "pt": "As pessoas que moram aqui sempre souberam que há mais de uma maneira de fazer isso, e não têm medo de tentar o que os outros não fariam. Quando já era tarde, voltamos para casa porque ninguém nos tinha dito onde eles estavam. Se você quer ver isso, deve perguntar antes que os outros cheguem, embora tenha sido um dia muito longo. Encontramos as velhas cartas debaixo da mesa, onde alguém as deixou durante a guerra. Cada um deles trabalha para uma pequena empresa que vende cadeiras de madeira, e a maioria dos seus clientes é de outros países. Poderia enviar-nos o relatório de que falamos ontem, por favor? Nada me faria mais feliz. O banco paga um dividendo trimestral aos titulares do fundo de pensões, salvo se uma ordem judicial ou um contrato vencido proibir o pagamento. Um cliente pode cancelar uma ordem permanente, contestar um cheque ou pedir um reembolso em qualquer dia útil; a garantia, a hipoteca e o saldo restante são verificados pela agência.",
+    "it": "Le persone che vivono qui hanno sempre saputo che c'è più di un modo per farlo, e non hanno paura di provare quello che gli altri non farebbero. Quando era tardi siamo tornati a casa perché nessuno ci aveva detto dove erano. Se vuoi vedere questo, devi chiedere prima che arrivino gli altri, anche se è stata una giornata molto lunga. Abbiamo trovato le vecchie lettere sotto il tavolo, dove qualcuno le aveva lasciate durante la guerra. Ognuno di loro lavora per una piccola azienda che vende sedie di legno, e la maggior parte dei loro clienti viene da altri paesi. Potrebbe mandarci la relazione di cui abbiamo parlato ieri, per favore? Niente mi renderebbe più felice. La banca paga un dividendo trimestrale ai titolari del fondo pensione, salvo che un ordine del tribunale o un contratto scaduto vieti il pagamento. Un cliente può annullare un ordine permanente, contestare un assegno o chiedere un rimborso in ogni giorno lavorativo; la garanzia, il mutuo e il saldo residuo sono controllati dalla filiale.",
+    "nl": "De mensen die hier wonen hebben altijd geweten dat er meer dan één manier is om het te doen, en ze zijn niet bang om te proberen wat anderen niet zouden doen. Toen het laat was gingen we terug naar het huis omdat niemand ons had verteld waar ze waren. Als je dit wilt zien, moet je het vragen voordat de anderen komen, hoewel het een lange dag is geweest. Wij vonden de oude brieven onder de tafel, waar iemand ze tijdens de oorlog moet hebben laten liggen. Elk van hen werkt voor een klein bedrijf dat houten stoelen verkoopt, en de meeste van hun klanten komen uit andere landen. Zou u ons alstublieft het verslag willen sturen waarover wij gisteren spraken? Niets zou mij gelukkiger maken. De bank betaalt een kwartaaldividend aan de eigenaren van het pensioenfonds, tenzij een gerechtelijk bevel of een verlopen contract de betaling verbiedt. Een klant kan een doorlopende opdracht annuleren, een cheque betwisten of op elke werkdag een terugbetaling vragen; de garantie, de hypotheek en het resterende saldo worden door het kantoor gecontroleerd.",
+    "sv": "Människorna som bor här har alltid vetat att det finns mer än ett sätt att göra det, och de är inte rädda för att prova det som andra inte skulle göra. När det var sent gick vi tillbaka till huset eftersom ingen hade sagt till oss var de var. Om du vill se detta bör du fråga innan de andra kommer, även om det har varit en lång dag. Vi hittade de gamla breven under bordet, där någon måste ha lämnat dem under kriget. Var och en av dem arbetar för ett litet företag som säljer stolar av trä, och de flesta av deras kunder kommer från andra länder. Kan ni vara snälla och skicka oss rapporten som vi talade om i går? Ingenting skulle göra mig lyckligare. Banken betalar en kvartalsvis utdelning till pensionsfondens ägare, om inte ett domstolsbeslut eller ett utgånget avtal förbjuder betalningen. En kund kan avbryta ett stående uppdrag, bestrida en check eller begära återbetalning varje vardag; garantin, lånet och det återstående saldot kontrolleras av kontoret.",
+    "pl": "Ludzie, którzy tu mieszkają, zawsze wiedzieli, że jest więcej niż jeden sposób, aby to zrobić, i nie boją się próbować tego, czego inni by nie zrobili. Kiedy było późno, wróciliśmy do domu, ponieważ nikt nam nie powiedział, gdzie oni są. Jeśli chcesz to zobaczyć, powinieneś zapytać, zanim przyjdą inni, chociaż był to długi dzień. Znaleźliśmy stare listy pod stołem, gdzie ktoś musiał je zostawić podczas wojny. Każdy z nich pracuje dla małej firmy, która sprzedaje drewniane krzesła, a większość ich klientów pochodzi z innych krajów. Czy mogliby państwo przesłać nam sprawozdanie, o którym rozmawialiśmy wczoraj? Nic nie uczyniłoby mnie szczęśliwszym. Bank wypłaca kwartalną dywidendę właścicielom funduszu emerytalnego, chyba że nakaz sądowy lub wygasła umowa zabrania wypłaty. Klient może odwołać stałe zlecenie, zakwestionować czek albo zażądać zwrotu w każdy dzień roboczy; gwarancja, hipoteka i pozostałe saldo są sprawdzane przez oddział.",
+    "tr": "Burada yaşayan insanlar bunu yapmanın birden fazla yolu olduğunu her zaman biliyordu ve başkalarının yapmayacağı şeyleri denemekten korkmuyorlar. Geç olduğunda eve geri döndük çünkü kimse bize nerede olduklarını söylememişti. Bunu görmek istiyorsan, diğerleri gelmeden önce sormalısın, uzun bir gün olmasına rağmen bu çok iyi bir fikir. Eski mektupları masanın altında bulduk, birisi onları savaş sırasında orada bırakmış olmalı. Her biri ahşap sandalye satan küçük bir şirket için çalışıyor ve müşterilerinin çoğu başka ülkelerden geliyor. Dün konuştuğumuz raporu bize gönderebilir misiniz lütfen? Hiçbir şey beni daha mutlu edemez, hava düzelse de düzelmese de. Banka, bir mahkeme kararı ya da süresi dolmuş bir sözleşme ödemeyi yasaklamadıkça emeklilik fonunun sahiplerine üç ayda bir temettü öder. Bir müşteri her iş günü düzenli ödeme talimatını iptal edebilir, bir çeke itiraz edebilir veya iade isteyebilir; teminat, ipotek ve kalan bakiye şube tarafından denetlenir.",
+    "ru": "Люди, которые здесь живут, всегда знали, что есть больше чем один способ это сделать, и они не боятся пробовать то, чего другие не стали бы делать. Когда было поздно, мы вернулись домой, потому что никто не сказал нам, где они были. Если ты хочешь это увидеть, надо спросить, прежде чем придут другие, хотя это был долгий день. Мы нашли старые письма под столом, где их кто-то оставил во время войны. Каждый из них работает в небольшой компании, которая продаёт деревянные стулья, и большинство их клиентов из других стран. Не могли бы вы прислать нам отчёт, о котором мы говорили вчера? Ничто не сделало бы меня счастливее. Банк выплачивает ежеквартальные дивиденды владельцам пенсионного фонда, если решение суда или истёкший договор не запрещает выплату. Клиент может отменить постоянное поручение, оспорить чек или потребовать возврат в любой рабочий день; гарантию, ипотеку и оставшийся остаток проверяет отделение.",
 }
 
 #: Bounds of the sample from which the models are fitted: documents per language, characters of each.
