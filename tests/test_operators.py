@@ -111,7 +111,7 @@ def test_quality(spark):
 
 def test_containment_pairs_against_brute_force(spark):
     rnd = random.Random(3)
-    words = [f"w{i}" for i in range(60)]
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
     texts = []
     for _ in range(12):
         base = [rnd.choice(words) for _ in range(40)]

@@ -64,5 +64,5 @@ def elapsed_ms(start: Column, end: Column) -> Column:
 
 
 def branch_count(body: Column) -> Column:
-    """One more than the branching words and operators of a body of code."""
-    return F.size(F.regexp_extract_all(body, F.lit(r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?"), F.lit(0))) + 1
+    """Branching words and operators of a body of code."""
+    return F.size(F.regexp_extract_all(body, F.lit(r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?"), F.lit(0)))

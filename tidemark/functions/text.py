@@ -9,7 +9,8 @@ ELLIPSIS = "…"
 
 
 def pad_right(c: Column, n: int) -> Column:
-    """Blanks up to ``n`` characters; a longer text stays whole."""
+    """Blanks up to ``n`` characters; a longer text stays whole, null counts as empty."""
+    c = F.coalesce(c, F.lit(""))
     return F.when(F.length(c) < n, F.rpad(c, n, " ")).otherwise(c)
 
 
@@ -33,9 +34,29 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(small > 0, F.size(F.array_intersect(a, b)) / small).otherwise(F.lit(0.0))
 
 
+# Folders of a host that are not shown, and forms of secrets with what stands for them.
+HOST_PATHS = r"(?<![\w.-])/(?:Users|home|private|var|tmp|opt|Volumes)/[^\s\"'`)\]},;]*"
+SECRETS = (
+    (r"\bsk-[A-Za-z0-9_-]{8,}", "[redacted api key]"),
+    (r"\bAQ\.[A-Za-z0-9_.-]{8,}", "[redacted api key]"),
+    (r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{8,}", "Bearer [redacted]"),
+    (r"(?i)\bAuthorization\s*[:=]\s*[^\s\"'`]{8,}", "Authorization: [redacted]"),
+)
+
+
 def mask_paths(c: Column) -> Column:
-    """Home folders replaced by a tilde."""
-    return F.regexp_replace(c, r"(?:/home/|/Users/)[^/\s]+", "~")
+    return F.regexp_replace(c, HOST_PATHS, "[host path withheld]")
+
+
+def mask_secrets(c: Column) -> Column:
+    for pattern, instead in SECRETS:
+        c = F.regexp_replace(c, pattern, instead)
+    return c
+
+
+def for_display(c: Column, most: int = 240) -> Column:
+    """A text without host paths and secrets, blanks collapsed, clipped."""
+    return clip(collapse_blanks(mask_secrets(mask_paths(c))), most)
 
 
 def slug(c: Column, most: int = 120) -> Column:
@@ -77,7 +98,7 @@ def head_and_tail(c: Column, most: int) -> Column:
     """A long text as its head (60 %), a note of what is left out, and its tail."""
     head = most * 6 // 10
     tail = most - head
-    note = F.concat(F.lit("[... "), (F.length(c) - most).cast("string"), F.lit(" characters left out ...]"))
+    note = F.concat(F.lit("\n…["), (F.length(c) - most).cast("string"), F.lit(" characters omitted]…\n"))
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, head), note, F.substr(c, F.length(c) - tail + 1))).otherwise(c)
 
 

@@ -79,7 +79,7 @@ def detectors(body: Column) -> dict[str, Column]:
         "transaction-boundary": body.rlike(TRANSACTIONS),
         "retry-without-idempotency": body.rlike(r"(?i)retry|retries|attempt|maxAttempts") & body.rlike(WRITES) & ~body.rlike(REPEATABLE),
         "unchecked-cast": body.rlike(r"\(\s*(?:List|Map|Set|Collection)\s*<[^>]*>\s*\)\s*\w"),
-        "magic-number": F.size(F.filter(F.regexp_extract_all(F.regexp_replace(body, r"\"(?:[^\"\\\n]|\\.)*\"", ""), F.lit(r"(?<![\w.])(-?\d+(?:\.\d+)?)(?![\w.])"), F.lit(1)), lambda n: ~n.isin("0", "1", "2", "-1", "10", "0.0", "1.0"))) > 0,
+        "magic-number": F.exists(F.regexp_extract_all(F.regexp_replace(body, r"\"(?:[^\"\\\n]|\\.)*\"", "\"\""), F.lit(r"(?:[<>=!]=?|\+|-|\*|/|%|return)[ \t]*(-?\d+(?:\.\d+)?)"), F.lit(1)), lambda n: ~n.isin("0", "1", "2", "-1", "10", "0.0", "1.0")),
         "misleading-comment": F.exists(F.regexp_extract_all(body, F.lit(r"(//[^\n]*|/\*[\s\S]*?\*/)"), F.lit(1)), lambda c: c.rlike(UNFINISHED)),
     }
 

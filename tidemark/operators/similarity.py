@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..common import stored
-from ..functions.text import tokens
+
+
+def code_tokens(text):
+    """Names and single other characters of a body of code, with string literals as STR and numbers as NUM."""
+    plain = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\\n]|\\.)*"', " STR "), r"\b\d+(?:\.\d+)?\b", " NUM ")
+    return F.regexp_extract_all(plain, F.lit(r"([A-Za-z_$][\w$]*|[^\sA-Za-z_$])"), F.lit(1))
 
 
 def bigrams(text):
     """The set of neighbouring token pairs of a text."""
-    t = tokens(text)
+    t = code_tokens(text)
     return F.when(F.size(t) > 1, F.array_distinct(F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))).otherwise(F.array().cast("array<string>"))
 
 

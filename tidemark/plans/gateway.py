@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Statements that may run and words that may not occur in them.
 READING = frozenset("select with show explain values table".split())
-WRITING = frozenset("insert update delete merge upsert create alter drop truncate grant revoke copy call do vacuum analyze reindex refresh cluster lock set reset begin commit rollback savepoint prepare execute deallocate listen notify load import".split())
+WRITING = frozenset("insert update delete drop alter create truncate grant revoke copy call do set reset lock vacuum reindex cluster analyze begin commit rollback savepoint prepare execute deallocate merge refresh listen notify discard import".split())
 
 _LITERALS = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*[\s\S]*?\*/|\$(\w*)\$[\s\S]*?\$\1\$")
 

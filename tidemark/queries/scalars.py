@@ -34,7 +34,7 @@ def lenient_casts(spark, sf):
     return table(spark, sf, "documents").where("text is not null").select("doc_id", S.lenient_decimal(n).cast("double").alias("dec"), S.lenient_long(n).alias("whole"))
 
 
-@query("SELECT method_id, len(regexp_extract_all(body, '\\b(?:if|for|while|case|catch)\\b|&&|\\|\\||\\?')) + 1 AS branches FROM java_methods WHERE body IS NOT NULL")
+@query("SELECT method_id, len(regexp_extract_all(body, '\\b(?:if|for|while|case|catch)\\b|&&|\\|\\||\\?')) AS branches FROM java_methods WHERE body IS NOT NULL")
 def branch_counts(spark, sf):
     return table(spark, sf, "java_methods").where("body is not null").select("method_id", S.branch_count(c("body")).alias("branches"))
 
@@ -96,11 +96,17 @@ def set_containment(spark, sf):
     return a.join(b, c("b") == c("a") + 1).select("a", "b", F.round(T.containment(c("ta"), c("tb")), 6).alias("score"))
 
 
-@query("SELECT command_id, regexp_replace(cwd, '(/home/|/Users/)[^/\\s]+', '~', 'g') AS cwd FROM command_results WHERE cwd IS NOT NULL")
+@query("""SELECT command_id, regexp_replace(cwd, '(^|[^\\w.-])/(?:Users|home|private|var|tmp|opt|Volumes)/[^\\s"''`)\\]},;]*', '\\1[host path withheld]', 'g') AS cwd FROM command_results WHERE cwd IS NOT NULL""")
 def host_paths_masked(spark, sf):
     return table(spark, sf, "command_results").where("cwd is not null").select("command_id", T.mask_paths(c("cwd")).alias("cwd"))
 
 
+@query("""WITH a AS (SELECT log_id, regexp_replace(message, '\\bsk-[A-Za-z0-9_-]{8,}', '[redacted api key]', 'g') AS m FROM log_records WHERE message IS NOT NULL), b AS (SELECT log_id, regexp_replace(regexp_replace(regexp_replace(m, '\\bAQ\\.[A-Za-z0-9_.-]{8,}', '[redacted api key]', 'g'), '(?i)\\bBearer\\s+[A-Za-z0-9._~+/=-]{8,}', 'Bearer [redacted]', 'g'), '(?i)\\bAuthorization\\s*[:=]\\s*[^\\s"''`]{8,}', 'Authorization: [redacted]', 'g') AS m FROM a)
+  SELECT log_id, m FROM b""")
+def secrets_masked(spark, sf):
+    return table(spark, sf, "log_records").where("message is not null").select("log_id", T.mask_secrets(c("message")).alias("m"))
+
+
 @query("SELECT c_custkey, left(regexp_replace(regexp_replace(lower(c_name || ' / ' || c_mktsegment), '[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g'), 120) AS slug, sha256(c_name) AS digest FROM customer")
 def slugs_and_digests(spark, sf):
     name = F.concat("c_name", F.lit(" / "), "c_mktsegment")
@@ -135,7 +141,7 @@ def template_names(spark, sf):
     return table(spark, sf, "model_files").where(F.contains("file_content", F.lit("{{"))).select("file_id", T.template_variables(c("file_content")).alias("v")).where(F.size("v") == 1).select("file_id", F.array_join("v", ",").alias("names"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 60) || '[... ' || (length(text) - 100) || ' characters left out ...]' || right(text, 40) ELSE text END AS short FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 60) || chr(10) || '…[' || (length(text) - 100) || ' characters omitted]…' || chr(10) || right(text, 40) ELSE text END AS short FROM documents WHERE text IS NOT NULL")
 def head_and_tail_clip(spark, sf):
     return table(spark, sf, "documents").where("text is not null").select("doc_id", T.head_and_tail(c("text"), 100).alias("short"))
 

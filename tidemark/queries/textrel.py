@@ -99,13 +99,13 @@ def configuration_settings(spark, sf):
     return E.extracted(files, "file_id", ["file_path", "file_content"], E.settings, "key string, value string, secret boolean")
 
 
-@query("""WITH t AS (SELECT method_id, list_filter(regexp_split_to_array(lower(body), '[^a-z0-9_]+'), lambda x: x <> '') AS t FROM java_methods WHERE body IS NOT NULL)
+@query("""WITH t AS (SELECT method_id, regexp_extract_all(regexp_replace(regexp_replace(body, '"(?:[^"\\\\\n]|\\\\.)*"', ' STR ', 'g'), '\\b\\d+(?:\\.\\d+)?\\b', ' NUM ', 'g'), '[A-Za-z_$][\\w$]*|[^\\sA-Za-z_$]') AS t FROM java_methods WHERE body IS NOT NULL)
   SELECT method_id, len(list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS pairs FROM t""")
 def token_bigrams(spark, sf):
     return table(spark, sf, "java_methods").where("body is not null").select("method_id", F.size(bigrams(F.col("body"))).alias("pairs"))
 
 
-_SIM = """t AS (SELECT method_id AS id, list_filter(regexp_split_to_array(lower(normalized_body), '[^a-z0-9_]+'), lambda x: x <> '') AS t FROM java_methods WHERE normalized_body IS NOT NULL),
+_SIM = """t AS (SELECT method_id AS id, regexp_extract_all(regexp_replace(regexp_replace(normalized_body, '"(?:[^"\\\\\n]|\\\\.)*"', ' STR ', 'g'), '\\b\\d+(?:\\.\\d+)?\\b', ' NUM ', 'g'), '[A-Za-z_$][\\w$]*|[^\\sA-Za-z_$]') AS t FROM java_methods WHERE normalized_body IS NOT NULL),
   g AS (SELECT id, list_sort(list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS g FROM t), k AS (SELECT min(id) AS id, g, len(g) AS n FROM g WHERE len(g) >= 10 GROUP BY g),
   pairs AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g)) AS common, a.n AS size_a, b.n AS size_b FROM k a JOIN k b ON a.id < b.id AND 5 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)),
   sim AS (SELECT * FROM pairs WHERE 4 * common >= 3 * least(size_a, size_b))"""
