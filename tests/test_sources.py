@@ -73,12 +73,14 @@ def test_json_functions(spark):
 def test_text_functions(spark):
     assert one(spark, "abc", lambda c: T.pad_right(c, 2)) == "abc" and one(spark, "a", lambda c: T.pad_right(c, 3)) == "a  "
     assert one(spark, "abcdef", lambda c: T.clip(c, 4)) == "abc…" and one(spark, None, lambda c: T.clip(c, 4)) is None
-    assert one(spark, " Ab / cD..", T.slug) is None and one(spark, "--Ab c!", T.slug) == "ab-c"
+    assert one(spark, " Ab / cD..", T.slug) is None and one(spark, "/x", T.slug) is None and one(spark, "--Ab c!", T.slug) == "ab-c"
     assert one(spark, "a", T.fnv1a32) == "e40c292c" and one(spark, "foobar", T.fnv1a32) == "bf9cf968"
     assert one(spark, "aXbXX", lambda c: T.occurrences(c, "X")) == 3
     assert one(spark, "a\nb\nc", lambda c: T.line_of(c, F.lit(4))) == 3
     assert one(spark, "{{ a }} {{b.c}} {{a}}", T.template_variables) == ["a", "b.c"]
     assert T.glob_pattern("src/**/*.{ts,js}") == "^src/(?:.*/)?[^/]*\\.(?:ts|js)$"
+    assert T.glob_pattern("a{b?c") == "^a\\{b[^/]c$" and T.glob_pattern("{a.b, c}") == "^(?:a\\.b|c)$"
+    assert one(spark, "A b", T.stable_slug).endswith("-a-b") and len(one(spark, "x" * 99, T.stable_slug)) == 69
 
 
 def test_scalar_functions(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,10 +61,22 @@ def for_display(c: Column, most: int = 240) -> Column:
     return clip(collapse_blanks(mask_secrets(mask_paths(c))), most)
 
 
+def _dashed(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9._-]+", "-"), r"^-+|-+$", "")
+
+
 def slug(c: Column, most: int = 120) -> Column:
-    """Lower case with dashes for all but letters, digits, dot and underscore; null if a path step upwards is left."""
-    s = F.substring(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9._-]+", "-"), r"^-+|-+$", ""), 1, most)
-    return F.when(s.contains("..") | (s == ""), None).otherwise(s)
+    """Lower case with dashes for all but letters, digits, dot and underscore. Null for what could
+    leave a folder (two dots, a leading slash or backslash) and where nothing is left."""
+    t = F.trim(c)
+    s = _dashed(t)
+    return F.when(t.contains("..") | t.startswith("/") | t.startswith("\\") | (s == ""), None).otherwise(F.substring(s, 1, most))
+
+
+def stable_slug(c: Column) -> Column:
+    """An id that stays the same for a text: its hash and the end of its slug."""
+    s = _dashed(c)
+    return F.concat(fnv1a32(c), F.lit("-"), F.substr(s, F.greatest(F.lit(1), F.length(s) - 59)))
 
 
 def fnv1a32(c: Column) -> Column:
@@ -111,33 +125,23 @@ def cited_paths(c: Column, most: int = 8) -> Column:
     return F.slice(F.array_distinct(F.regexp_extract_all(c, F.lit(r"((?:[\w.-]+/)+[\w.-]+\.\w+)"), F.lit(1))), 1, most)
 
 
+_GLOB = re.compile(r"\*\*/|\*\*|\*|\?|\{[^}]*\}|[^*?{]+|\{")
+_GLOB_PARTS = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+
+
+def _literal(text: str) -> str:
+    return re.sub(r"([.^$+()\[\]|\\{}*?])", r"\\\1", text)
+
+
 def glob_pattern(glob: str) -> str:
-    """The anchored regular expression of a glob with **, *, ? and {a,b}."""
-    out, i, braces = ["^"], 0, 0
-    while i < len(glob):
-        ch = glob[i]
-        if glob.startswith("**/", i):
-            out.append("(?:.*/)?")
-            i += 2
-        elif glob.startswith("**", i):
-            out.append(".*")
-            i += 1
-        elif ch == "*":
-            out.append("[^/]*")
-        elif ch == "?":
-            out.append("[^/]")
-        elif ch == "{":
-            braces += 1
-            out.append("(?:")
-        elif ch == "}" and braces:
-            braces -= 1
-            out.append(")")
-        elif ch == "," and braces:
-            out.append("|")
+    """The anchored regular expression of a glob with **, *, ? and {a,b}; choices in braces are plain texts."""
+    out = []
+    for part in _GLOB.findall(glob):
+        if part.startswith("{") and part.endswith("}"):
+            out.append("(?:" + "|".join(_literal(x.strip()) for x in part[1:-1].split(",")) + ")")
         else:
-            out.append("\\" + ch if ch in r".^$+()[]|\{}" else ch)
-        i += 1
-    return "".join(out) + "$"
+            out.append(_GLOB_PARTS.get(part) or _literal(part))
+    return "^" + "".join(out) + "$"
 
 
 def safe_path(c: Column) -> Column:

@@ -191,13 +191,16 @@ def routes(source: str) -> list[tuple[str, str, int]]:
     return out
 
 
+# Fixed value: names of settings whose values are withheld.
+SECRET_SETTINGS = re.compile(r"(?i)(password|passwd|secret|token|api[-_.]?key|credential|private[-_.]?key|access[-_.]?key)")
+
+
 def settings(path: str, text: str) -> list[tuple[str, str | None, bool]]:
     """(key, value, secret) of .properties and YAML files; values of secret keys are withheld."""
     out: list[tuple[str, str | None, bool]] = []
-    secret = re.compile(r"(?i)pass(?:word|wd|phrase)?|secret|token|credential|api[_-]?key|private[_-]?key")
 
     def add(key: str, value: str) -> None:
-        hide = bool(secret.search(key.rsplit(".", 1)[-1]))
+        hide = bool(SECRET_SETTINGS.search(key))
         out.append((key, None if hide else value.strip().strip("\"'"), hide))
 
     if re.search(r"(?i)\.(?:properties|ini)$", path):

@@ -162,7 +162,7 @@ def flattened_json_settings(spark, sf):
     """(file_id, path, value, secret) of every leaf of JSON settings; values under secret names are withheld."""
     f = files(spark, sf).where(F.lower("file_path").endswith(".json"))
     leaves = J.leaves(f, "file_content", ["file_id"])
-    secret = F.element_at(F.split("path", r"\."), -1).rlike(J.SECRET_KEYS)
+    secret = F.col("path").rlike(E.SECRET_SETTINGS.pattern)
     return leaves.select("file_id", "path", F.when(~secret, F.to_json("value")).alias("value"), secret.alias("secret"))
 
 
