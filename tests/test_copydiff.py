@@ -33,6 +33,11 @@ def test_latest_fetch_counts_and_bad_rows_are_left_out(spark):
     assert found(spark, rows) == set()
 
 
+def test_names_that_become_equal(spark):
+    rows = [("legacy", "t", ['{"id": 1, "entry_type": "A"}', '{"id": 2, "x": "1", "x": "2"}'], T0), ("modern", "t", ['{"id": 1, "entry_type": "B", "entryType": "A"}', '{"id": 2, "x": "2"}'], T0)]
+    assert found(spark, rows) == set()
+
+
 def test_empty_sides(spark):
     assert found(spark, []) == set()
     assert found(spark, [("legacy", "t", ['{"id": 1}'], T0)]) == {("t", 1, "*", "missing_in_modern")}

@@ -100,7 +100,7 @@ def latest_rows(pages: DataFrame) -> DataFrame:
     """One row per (target_name, system, row_id) of the fetched pages: that of the latest fetch.
 
     Ties of executed_at fall to the higher result_id and later place in the page. Field
-    names become snake case. Rows that are no JSON object or have no whole-number id are left out.
+    names become snake case; of names that become equal the last counts. Rows that are no JSON object or have no whole-number id are left out.
     """
     snake = lambda n: F.lower(F.regexp_replace(n, r"([a-z0-9])([A-Z])", "$1_$2"))
     rows = (
@@ -108,7 +108,9 @@ def latest_rows(pages: DataFrame) -> DataFrame:
         .where(F.col("system").isin("legacy", "modern"))
         .withColumn("raw", F.from_json("row", "map<string,string>", {"mode": "PERMISSIVE"}))
         .where(F.col("raw").isNotNull())
-        .withColumn("fields", F.map_from_entries(F.transform(F.map_entries("raw"), lambda e: F.struct(snake(e["key"]).alias("key"), e["value"].alias("value")))))
+        .withColumn("named", F.transform(F.map_entries("raw"), lambda e: F.struct(snake(e["key"]).alias("key"), e["value"].alias("value"))))
+        .withColumn("names", F.array_distinct(F.transform("named", lambda e: e["key"])))
+        .withColumn("fields", F.map_from_arrays("names", F.transform("names", lambda n: F.element_at(F.filter("named", lambda e: e["key"] == n), -1)["value"])))
         .withColumn("row_id", F.element_at("fields", F.lit("id")).try_cast("decimal(38,6)").cast("bigint"))
         .where(F.col("row_id").isNotNull() & F.col("target_name").isNotNull())
     )

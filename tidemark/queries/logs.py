@@ -136,7 +136,7 @@ def nested_list_sizes(spark, sf):
 
 @query("SELECT (SELECT string_agg(n_name, ',' ORDER BY n_name) FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)) AS covered, coalesce((SELECT string_agg(n_name, ',' ORDER BY n_name) FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)), '') AS uncovered")
 def coverage_sets(spark, sf):
-    n = table(spark, sf, "nation").agg(F.collect_set("n_nationkey").alias("known"), F.map_from_entries(F.collect_set(F.struct("n_nationkey", "n_name"))).alias("names"))
+    n = R.first_per_key(table(spark, sf, "nation").where("n_nationkey is not null"), ["n_nationkey"], [F.col("n_name")]).agg(F.collect_set("n_nationkey").alias("known"), F.collect_set(F.struct("n_nationkey", "n_name")).alias("pairs")).withColumn("names", F.map_from_entries("pairs"))
     s = table(spark, sf, "supplier").agg(F.collect_set("s_nationkey").alias("seen"))
     named = lambda a: F.array_join(F.array_sort(F.transform(a, lambda k: F.element_at("names", k))), ",")
     return n.withColumn("seen", s.scalar()).select(named(F.array_intersect("known", "seen")).alias("covered"), named(F.array_except("known", "seen")).alias("uncovered"))
