@@ -48,7 +48,7 @@ DOUBT_BITS = 8.0
 #: Bytes that are scored at a time.
 BLOCK = 1 << 20
 
-_ENOUGH = re.compile(r"(?:[^\W\d_]+(?:[\W\d_]+|$)){%d}" % MIN_WORDS)
+_ENOUGH = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]++(?:[\W\d_]++|$)){%d}" % MIN_WORDS)
 LETTERS = re.compile(r"[^\W\d_]+")
 _NOISE = re.compile(r"`[^`\n]*`|(?<!\S)[^\s\d]*\d\S*|https?://\S+")
 _END = re.compile(r"[.!?…]+(?=\s)|\n+")
