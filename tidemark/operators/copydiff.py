@@ -103,14 +103,17 @@ def latest_rows(pages: DataFrame) -> DataFrame:
     names become snake case; of names that become equal the last counts. Rows that are no JSON object or have no whole-number id are left out.
     """
     snake = lambda n: F.lower(F.regexp_replace(n, r"([a-z0-9])([A-Z])", "$1_$2"))
+    named = F.transform(F.map_entries("raw"), lambda e: F.struct(snake(e["key"]).alias("key"), e["value"].alias("value")))
+    # names rarely become equal; only then the last of each is looked for
+    apart = F.size(F.array_distinct(F.transform(F.map_keys("raw"), lambda k: F.lower(F.replace(k, F.lit("_"), F.lit("")))))) == F.size("raw")
+    names = F.array_distinct(F.transform(named, lambda e: e["key"]))
+    merged = F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(named, lambda e: e["key"] == n), -1)["value"]))
     rows = (
         pages.select(F.lower(F.trim("system_label")).alias("system"), "target_name", "executed_at", "result_id", F.posexplode("result_rows").alias("pos", "row"))
         .where(F.col("system").isin("legacy", "modern"))
         .withColumn("raw", F.from_json("row", "map<string,string>", {"mode": "PERMISSIVE"}))
         .where(F.col("raw").isNotNull())
-        .withColumn("named", F.transform(F.map_entries("raw"), lambda e: F.struct(snake(e["key"]).alias("key"), e["value"].alias("value"))))
-        .withColumn("names", F.array_distinct(F.transform("named", lambda e: e["key"])))
-        .withColumn("fields", F.map_from_arrays("names", F.transform("names", lambda n: F.element_at(F.filter("named", lambda e: e["key"] == n), -1)["value"])))
+        .withColumn("fields", F.when(apart, F.map_from_entries(named)).otherwise(merged))
         .withColumn("row_id", F.element_at("fields", F.lit("id")).try_cast("decimal(38,6)").cast("bigint"))
         .where(F.col("row_id").isNotNull() & F.col("target_name").isNotNull())
     )
