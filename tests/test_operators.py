@@ -178,3 +178,12 @@ def test_declarations():
     assert E.imports("package a.b;\nimport c.D;\nimport static e.F.*;\n// class X\nclass Y {}") == [("a.b.Y", "c.D"), ("a.b.Y", "e.F.*")]
     src = 'x = "a // b"; /* c\n d */ y'
     assert len(E.masked(src)) == len(src) and E.masked(src).split() == ["x", "=", ";", "y"]
+
+
+def test_first_wins_takes_the_second_list_too_and_stops_at_its_bound(spark, sf):
+    from tidemark.queries import more
+
+    a, b = spark.createDataFrame([(1, "a"), (2, None)], "id long, name string"), spark.createDataFrame([(2, "b"), (3, "c")], "id long, name string")
+    assert rows(more.first_wins(a, b)) == [(1, "a"), (2, None), (3, "c")]
+    got = more.whole_union_first_wins(spark, sf)
+    assert got.count() == 200 and got.where("id >= 150").count() > 0

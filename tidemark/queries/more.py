@@ -85,6 +85,19 @@ def ordered_union_first_wins(spark, sf):
     return u.orderBy("src", "id").limit(200).select("id", "name")
 
 
+def first_wins(a, b):
+    """At most 200 rows of two lists one after the other, the first of each id."""
+    u = a.withColumn("src", F.lit(0)).unionByName(b.withColumn("src", F.lit(1)))
+    first = u.groupBy("id").agg(F.min(F.struct("src", "name")).alias("x"))
+    return first.orderBy("x.src", "id").limit(200).select("id", "x.name")
+
+
+@query("""WITH u AS (SELECT doc_id AS id, 0 AS src, source AS name FROM documents UNION ALL SELECT log_id, 1, component FROM log_records), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY src, name NULLS FIRST) AS rn FROM u) SELECT id, name FROM f WHERE rn = 1 ORDER BY src, id LIMIT 200""")
+def whole_union_first_wins(spark, sf):
+    """The union of ordered_union_first_wins over all rows of both tables; only the evidence list's bound of 200 is left."""
+    return first_wins(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name")), table(spark, sf, "log_records").select(F.col("log_id").alias("id"), F.col("component").alias("name")))
+
+
 @query("SELECT command_id, array_to_string(list_sort(list_distinct(list_filter(argv, lambda x: list_contains(['test', 'run', 'build', 'install'], x)))), ',') AS granted, least(coalesce(duration_ms, 60000), 60000) AS budget FROM command_results WHERE argv IS NOT NULL")
 def granted_and_budgets(spark, sf):
     allowed = F.array(*(F.lit(x) for x in ("test", "run", "build", "install")))
