@@ -127,3 +127,12 @@ def test_redaction_by_key(spark):
     got = one(spark, '{"a": {"dbPassword": "x\\"y", "n": 1}, "token": 5, "list": [{"apiKey": null}], "passwords": {"k": "v"}}', J.redact_keys)
     assert json.loads(got) == {"a": {"dbPassword": "[redacted]", "n": 1}, "token": "[redacted]", "list": [{"apiKey": "[redacted]"}], "passwords": {"k": "v"}}
     assert one(spark, "no json", J.redact_keys) is None
+
+
+def test_files_with_several_paths_and_variables_are_kept(spark):
+    from tidemark.queries import scalars
+
+    many = " ".join(f"b{9 - i}/c.py" for i in range(10))
+    files = spark.createDataFrame([(1, "x/b.md a/c.md x/b.md {{z}} {{ a.b }} {{z}}"), (2, many), (3, "none"), (4, None), (5, "{{one}} p/q.r")], "file_id long, file_content string")
+    assert sorted(map(tuple, scalars.all_paths(files).collect())) == [(1, "x/b.md a/c.md"), (2, " ".join(many.split()[:8])), (5, "p/q.r")]
+    assert sorted(map(tuple, scalars.all_names(files).collect())) == [(1, "z,a.b"), (5, "one")]

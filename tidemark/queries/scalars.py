@@ -141,6 +141,17 @@ def template_names(spark, sf):
     return table(spark, sf, "model_files").where(F.contains("file_content", F.lit("{{"))).select("file_id", T.template_variables(c("file_content")).alias("v")).where(F.size("v") == 1).select("file_id", F.array_join("v", ",").alias("names"))
 
 
+def all_names(files):
+    """(file_id, names) of every file with a template variable, these in order."""
+    return files.select("file_id", T.template_variables(c("file_content")).alias("v")).where(F.size("v") > 0).select("file_id", F.array_join("v", ",").alias("names"))
+
+
+@query("SELECT file_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS names FROM (SELECT file_id, regexp_extract_all(file_content, '\\{\\{\\s*([A-Za-z_][\\w.]*)\\s*\\}\\}', 1) AS l FROM model_files) WHERE len(l) > 0")
+def all_template_names(spark, sf):
+    """template_names without its bound of one variable a file."""
+    return all_names(table(spark, sf, "model_files"))
+
+
 @query("SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 60) || chr(10) || '…[' || (length(text) - 100) || ' characters omitted]…' || chr(10) || right(text, 40) ELSE text END AS short FROM documents WHERE text IS NOT NULL")
 def head_and_tail_clip(spark, sf):
     return table(spark, sf, "documents").where("text is not null").select("doc_id", T.head_and_tail(c("text"), 100).alias("short"))
@@ -156,6 +167,17 @@ def paths_cited(spark, sf):
     return table(spark, sf, "model_files").select("file_id", T.cited_paths(c("file_content")).alias("p")).where(F.size("p") == 1).select("file_id", F.array_join("p", " ").alias("paths"))
 
 
+def all_paths(files):
+    """(file_id, paths) of every file that cites a path, the first eight in order."""
+    return files.select("file_id", T.cited_paths(c("file_content")).alias("p")).where(F.size("p") > 0).select("file_id", F.array_join("p", " ").alias("paths"))
+
+
+@query("SELECT file_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:8], ' ') AS paths FROM (SELECT file_id, regexp_extract_all(file_content, '((?:[\\w.-]+/)+[\\w.-]+\\.\\w+)', 1) AS l FROM model_files) WHERE len(l) > 0")
+def all_paths_cited(spark, sf):
+    """paths_cited without its bound of one path a file; eight a file is the bound of the feature."""
+    return all_paths(table(spark, sf, "model_files"))
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.a.b') AS none, json_type(props, '$.k') IS NOT NULL AS present FROM events")
 def path_read(spark, sf):
     return table(spark, sf, "events").select("event_id", J.get_path(c("props"), "k").alias("k"), J.get_path(c("props"), "a.b").alias("none"), J.has_path(c("props"), "k").alias("present"))
