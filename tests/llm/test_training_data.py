@@ -368,3 +368,137 @@ def test_token_counts(spark):
     got = {r.doc_id: r.tokens for r in mixing.token_counts(docs).collect()}
     assert got[1] == 2 and got[5] > 1 and set(got) == {1, 5, 6}
     assert re.fullmatch(r"b|a", mixing.token_counts(docs).where("doc_id = 6").first().source)
+
+
+# -- SQL statements beyond queries and tables --------------------------------------------
+WHOLE = """ALTER TABLE ONLY a.t ADD COLUMN IF NOT EXISTS x int NOT NULL DEFAULT 0, DROP COLUMN y CASCADE, ALTER COLUMN z TYPE numeric(1,2) USING z::numeric, ALTER z SET DEFAULT 'x'::text, ALTER w DROP NOT NULL
+ALTER TABLE t RENAME COLUMN a TO b
+ALTER TABLE t OWNER TO bob
+ALTER TABLE t ENABLE ROW LEVEL SECURITY, DISABLE TRIGGER ALL, SET (fillfactor = 70), RESET (fillfactor), NO INHERIT p, SET SCHEMA s, CLUSTER ON i
+ALTER TABLE t ATTACH PARTITION p FOR VALUES FROM (1) TO (2)
+ALTER TABLE t ADD CONSTRAINT c CHECK (a > 1) NOT VALID, VALIDATE CONSTRAINT c, ADD CONSTRAINT k PRIMARY KEY USING INDEX i
+ALTER TABLE t ADD EXCLUDE USING gist (a WITH =, b WITH &&), REPLICA IDENTITY FULL
+ALTER ROLE bob WITH LOGIN INHERIT CONNECTION LIMIT 5 PASSWORD 'x' VALID UNTIL '2027-01-01'
+ALTER ROLE bob RENAME TO bill
+ALTER ROLE ALL IN DATABASE d SET search_path = a, b
+ALTER USER MAPPING FOR bob SERVER s OPTIONS (SET x 'y')
+ALTER DEFAULT PRIVILEGES FOR ROLE a IN SCHEMA s GRANT SELECT ON TABLES TO b
+ALTER SEQUENCE s RESTART WITH -1 OWNED BY t.a
+ALTER SYSTEM SET work_mem = '1MB'
+ALTER TYPE e ADD VALUE IF NOT EXISTS 'x' AFTER 'y'
+ALTER FUNCTION f(int, text) OWNER TO bob
+ALTER POLICY p ON t USING (a = 1)
+ALTER EVENT TRIGGER e DISABLE
+GRANT SELECT (a, b), UPDATE ON TABLE t, u TO bob, PUBLIC WITH GRANT OPTION
+GRANT ALL PRIVILEGES ON ALL TABLES IN SCHEMA a TO b
+GRANT EXECUTE ON FUNCTION f(int, text) TO GROUP g
+GRANT USAGE ON SCHEMA a, b TO c
+GRANT a, b TO c WITH ADMIN OPTION
+GRANT a TO b WITH INHERIT TRUE, SET FALSE
+GRANT USAGE ON FOREIGN DATA WRAPPER w TO b
+GRANT CREATE, CONNECT, TEMPORARY ON DATABASE d TO b
+GRANT SELECT ON LARGE OBJECT 12 TO b
+REVOKE GRANT OPTION FOR ALL ON t FROM PUBLIC CASCADE
+REVOKE a FROM b
+DROP TABLE IF EXISTS a.b, c CASCADE
+DROP FUNCTION f(int), g
+DROP TRIGGER IF EXISTS x ON t RESTRICT
+DROP INDEX CONCURRENTLY i
+DROP MATERIALIZED VIEW v
+DROP POLICY IF EXISTS p ON t
+DROP OPERATOR === (int, int)
+DROP OWNED BY a
+DROP DATABASE IF EXISTS d
+DROP USER MAPPING IF EXISTS FOR bob SERVER s
+SET search_path TO a, "b"
+SET LOCAL work_mem = '1MB'
+SET x = -1
+SET my.var TO DEFAULT
+SET TIME ZONE 'UTC'
+SET TRANSACTION ISOLATION LEVEL SERIALIZABLE, READ ONLY
+SET CONSTRAINTS ALL DEFERRED
+SET ROLE none
+SET SESSION AUTHORIZATION bob
+SET SESSION CHARACTERISTICS AS TRANSACTION READ ONLY
+TRUNCATE TABLE ONLY a, b.c RESTART IDENTITY CASCADE
+COPY t (a, b) FROM STDIN WITH (FORMAT csv, HEADER true, DELIMITER ',')
+COPY t TO '/x' CSV HEADER
+COPY (SELECT 1) TO PROGRAM 'x'
+COPY t FROM stdin
+CREATE DOMAIN d AS int CHECK (value > 0)
+CREATE OPERATOR === (leftarg = a, rightarg = b, procedure = f, commutator = ===)
+CREATE OPERATOR CLASS c FOR TYPE t USING btree AS OPERATOR 1 <, OPERATOR 2 <=
+CREATE POLICY p ON t FOR SELECT TO a USING (b = current_user)
+CREATE USER MAPPING FOR bob SERVER s OPTIONS (user 'x')
+CREATE FOREIGN TABLE f (a int) SERVER s
+CREATE FOREIGN DATA WRAPPER w
+CREATE RULE r AS ON INSERT TO t DO INSTEAD NOTHING
+CREATE PUBLICATION p FOR TABLE a, b
+CREATE TEXT SEARCH CONFIGURATION c (COPY = simple)
+CREATE CAST (a AS b) WITH FUNCTION f(a)
+CREATE STATISTICS s (dependencies) ON a, b FROM t
+CREATE EVENT TRIGGER e ON ddl_command_start EXECUTE FUNCTION f()
+CREATE LOCAL TEMPORARY TABLE t (a int) ON COMMIT DROP
+CREATE TABLE t (a int) PARTITION BY RANGE (a)
+CREATE DATABASE d OWNER = bob ENCODING 'UTF8'
+CREATE SCHEMA s AUTHORIZATION bob
+CREATE EXTENSION IF NOT EXISTS pgcrypto WITH SCHEMA s
+CREATE SEQUENCE s INCREMENT BY -1 OWNED BY t.a
+CREATE AGGREGATE g (int) (sfunc = f, stype = int, sortop = <)
+MERGE INTO t USING s ON t.a = s.a WHEN MATCHED THEN UPDATE SET b = s.b WHEN NOT MATCHED THEN INSERT VALUES (s.a, -1)
+PREPARE q (int) AS SELECT * FROM t WHERE a = $1
+CALL p(a => 1, b => -2)
+VACUUM (VERBOSE, ANALYZE) t
+SHOW server_version
+SELECT server, event, text FROM policy WHERE open = 1 AND system[1:2] = get(a)"""
+CUT = """ALTER TABLE t ADD COLUMN
+ALTER TABLE t DROP COLUMN
+ALTER TABLE t ADD a int,, DROP
+ALTER TABLE t ALTER COLUMN a TYPE int,, DROP b
+ALTER TABLE t RENAME
+ALTER TABLE
+ALTER TABEL t ADD a int
+ALTER TABLE t ALTER a TYPE int,
+ALTER ROLE
+ALTER ROLE bob
+CREATE TABEL t (a int)
+CREATE FOO TABLE t (a int)
+GRANT SELECT ON t TO
+GRANT SELECT ON TO bob
+GRANT SELECT TO bob
+GRANT SELECT,, UPDATE ON t TO bob
+REVOKE SELECT ON t
+DROP TABLE
+DROP TABEL t
+DROP TABLE a,, b
+DROP TABLE IF EXISTS
+SET search_path TO a,
+SET x =
+SET
+TRUNCATE TABLE
+TRUNCATE a,
+COPY t FROM
+COPY FROM stdin
+CALL p(a,, b)
+CREATE POLICY p ON t USING (a =
+ALTER TABLE t\\n<<<<<<< HEAD\\nADD a int\\n=======\\nADD b int\\n>>>>>>> x
+GRANT SELECT\\n<<<<<<< HEAD\\nON t TO a\\n=======\\nON t TO b\\n>>>>>>> x
+SET x = 1\\n=======\\n+ 2
+DROP TABLE a\\n>>>>>>> main
+CREATE EXTENSION a\\n=======\\nb"""
+
+
+@pytest.mark.parametrize("text", WHOLE.split("\n"))
+def test_whole_statements_are_valid(text):
+    assert syntax.failure("sql", text + ";") is None
+
+
+@pytest.mark.parametrize("text", CUT.replace("\\n", "\f").split("\n"))
+def test_cut_and_garbled_statements_are_not(text):
+    assert syntax.failure("sql", text.replace("\f", "\n") + ";") is not None
+
+
+@pytest.mark.parametrize(("step", "valid"), [("EXIT WHEN a > 1", True), ("CONTINUE", True), ("OPEN c FOR SELECT 1", True), ("GET DIAGNOSTICS n = ROW_COUNT", True), ("ASSERT a > 1, 'x'", True), ("open := 1", True), ("EXECUTE 'x' || a USING b", True), ("foo bar", False), ("RETRUN 1", False), ("foo a b c , ,", False), ("OPEN c,", False)])
+def test_steps_of_function_bodies(step, valid):
+    text = f"CREATE FUNCTION f() RETURNS int AS $$ BEGIN LOOP {step}; END LOOP; RETURN 1; END; $$ LANGUAGE plpgsql;"
+    assert (syntax.failure("sql", text) is None) == valid

@@ -167,16 +167,32 @@ name = ID | {' | '.join(repr(w) for w in sorted(TS_WORDS))} ;
 
 _SQL_RESERVED = frozenset(
     "all and any array as asc case cast check collate constraint create cross default desc distinct do else end except false fetch for foreign from full grant group having in inner intersect into is join lateral left like ilike similar limit natural not null offset on only or order"
-    " outer primary references returning right select some table then to true union unique user using when where window with isnull notnull".split()
+    " column outer primary references returning right select some table then to true union unique user using when where window with isnull notnull".split()
 )
 
 SQL = """
 script = (statement? ';')* statement? ;
 statement = query | insert | update | delete | create | alter | drop | comment | do | other ;
 do = 'do' ('language' id)? (BODY | STR) ('language' id)? ;
-other = verb loose* | 'set' loose+ | ('begin' | 'end' | 'commit' | 'rollback' | 'start') id* (ID | ',' | 'to')* | 'import' 'foreign' 'schema' loose+ | 'explain' ('(' loose* ')' | ID | 'analyze')* (query | insert | update | delete) | with? 'merge' 'into' loose+ ;
-verb = 'abort' | 'analyze' | 'call' | 'checkpoint' | 'close' | 'cluster' | 'commit' | 'copy' | 'deallocate' | 'declare' | 'discard' | 'execute' | 'fetch' | 'grant' | 'listen' | 'load' | 'lock' | 'move' | 'notify' | 'prepare' | 'reassign' | 'refresh' | 'reindex' | 'release'
-  | 'reset' | 'revoke' | 'rollback' | 'savepoint' | 'security' | 'show' | 'truncate' | 'unlisten' | 'vacuum' ;
+other = verb run? | grant | revoke | set | truncate | copy | ('begin' | 'end' | 'commit' | 'rollback' | 'start') id* (ID | ',' | 'to')* | 'import' 'foreign' 'schema' run | 'explain' ('(' run? ')' | ID | 'analyze')* (query | insert | update | delete) | with? 'merge' 'into' run ;
+verb = 'abort' | 'analyze' | 'call' | 'checkpoint' | 'close' | 'cluster' | 'commit' | 'deallocate' | 'declare' | 'discard' | 'execute' | 'fetch' | 'listen' | 'load' | 'lock' | 'move' | 'notify' | 'prepare' | 'reassign' | 'refresh' | 'reindex' | 'release'
+  | 'reset' | 'rollback' | 'savepoint' | 'security' | 'show' | 'unlisten' | 'vacuum' ;
+grant = 'grant' (privileges 'on' granted | names) 'to' grantees ('with' ('grant' id | grantoption (',' grantoption)*))? (ID 'by' name)? ;
+revoke = 'revoke' (('grant' | 'set' | name) id 'for')? (privileges 'on' granted | names) 'from' grantees (ID 'by' name)? ('cascade' | 'restrict')? ;
+grantoption = (id | 'set') (id | 'true' | 'false') ;
+privileges = privilege (',' privilege)* ;
+privilege = ('select' | 'references' | 'create' | 'all' ID? | 'alter' name | name) ('(' names ')')? ;
+granted = ('table' | 'foreign' ID ID? | 'sequence' | 'schema' | 'language' | 'type' | 'function' | 'procedure' | ID)? signature (',' signature)* | 'all' id 'in' 'schema' names | ID ID NUM (',' NUM)* ;
+signature = qname ('(' run? ')')? ;
+grantees = 'group'? name (',' 'group'? name)* ;
+set = 'set' ID? qname ('to' | '=') (setword (',' setword)*) | 'set' name setword+ (',' setword+)* ;
+setword = name | 'on' | 'true' | 'false' | 'default' | 'all' | 'only' | 'not' | 'as' | STR | ('-' | '+')? NUM | PARAM | 'interval' STR ;
+truncate = 'truncate' 'table'? 'only'? qname '*'? (',' 'only'? qname '*'?)* (ID 'identity')? ('cascade' | 'restrict')? ;
+copy = 'copy' (qname ('(' names ')')? ('from' | 'to') | '(' (query | insert | update | delete) ')' 'to') (STR | ID STR?) 'with'? ('(' run ')' | (ID | 'null' | 'not' | 'as' | STR | '*' | qname (',' qname)*)*) ('where' expr)? ;
+run = part (',' part)* ;
+part = (joint* piece)+ ;
+piece = word | STR | NUM | BODY | PARAM | '*' | '[' run? (':' run?)? ']' | '(' run? ')' ;
+joint = oper | '.' | ':' | ':=' | '::' ;
 loose = word | STR | NUM | BODY | PARAM | oper | '.' | ',' | ':' | ':=' | '::' | '[' loose* ']' | '(' loose* ')' ;
 oper = '=' | '*' | '<' | '>' | '-' | '+' | OP ;
 qname = name ('.' (name | '*'))* ;
@@ -206,26 +222,29 @@ update = with? 'update' 'only'? qname ('as'? name)? 'set' setlist ('from' fromit
 setlist = setone (',' setone)* ;
 setone = qname ('[' expr ']')* '=' value | '(' names ')' '=' ('row'? '(' valuelist ')' | '(' query ')') ;
 delete = with? 'delete' 'from' 'only'? qname ('as'? name)? ('using' fromitem (',' fromitem)*)? ('where' expr)? returning? ;
-comment = 'comment' 'on' ('column' | 'table' | 'function' | 'view' | 'type' | 'schema' | 'sequence' | 'index' | 'trigger' | 'constraint' | 'role' | 'extension' | 'materialized' | id)+ qname ('(' loose* ')')? ('on' qname)? 'is' (STR | 'null') ;
-drop = 'drop' (word)+ ('if' 'exists')? loose* ;
-alter = 'alter' 'table' ('if' 'exists')? 'only'? qname '*'? alteraction (',' alteraction)* | 'alter' ('user' | 'role' | id) name roleoption* | 'alter' (word | 'default') loose+ ;
-alteraction = 'add' 'column'? ('if' 'not' 'exists')? column | 'add' tableconstraint (id id)? | 'drop' 'column'? ('if' 'exists')? name (id)? | 'drop' 'constraint' ('if' 'exists')? name (id)? | 'alter' 'column'? name loose+ | ID loose+ | 'set' loose+ ;
-roleoption = 'with' | 'password' (STR | 'null') | 'in'? ('role' | 'group' | 'user') names | ID (STR | NUM | '-' NUM)? | 'no' id | 'set' loose+ ;
-create = 'create' ('or' 'replace')? (createtable | createview | createfunction | createindex | createrole | createtrigger | createseq | createtype | 'schema' ('if' 'not' 'exists')? loose* | 'extension' loose+ | ID loose+) ;
-createtable = ('temp' | 'temporary' | 'unlogged' | ID)* 'table' ('if' 'not' 'exists')? qname (('of' qname)? '(' (tableitem (',' tableitem)*)? ')' | ('(' names ')')? 'as' query | 'partition' 'of' qname ('for' 'values' loose+ | 'default')) (id '(' names ')')? ('partition' 'by' loose+)? ('with' '(' loose* ')')? ('as' query)? ('on' id loose+)? (ID name)? ;
-tableitem = column | tableconstraint | 'like' qname loose* ;
+comment = 'comment' 'on' ('column' | 'table' | 'function' | 'view' | 'type' | 'schema' | 'sequence' | 'index' | 'trigger' | 'constraint' | 'role' | 'extension' | 'materialized' | id)+ qname ('(' run? ')')? ('on' qname)? 'is' (STR | 'null') ;
+drop = 'drop' ('table' | 'materialized'? 'view' | 'index' ID? | 'sequence' | 'schema' | 'type' | 'function' | 'procedure' | 'extension' | 'role' | 'user' | 'group' | ID? 'language' | 'foreign' 'table') ('if' 'exists')? signature (',' signature)* ('cascade' | 'restrict')?
+  | 'drop' 'trigger' ('if' 'exists')? name 'on' qname ('cascade' | 'restrict')? | 'drop' 'foreign' ID ID ('if' 'exists')? names ('cascade' | 'restrict')? | 'drop' 'cast' ('if' 'exists')? '(' type 'as' type ')' ('cascade' | 'restrict')? | 'drop' 'user' KIND ('if' 'exists')? 'for' run | 'drop' KIND run | 'drop' OPERATOR loose+ ;
+alter = 'alter' 'table' ('if' 'exists')? 'only'? qname '*'? alteraction (',' alteraction)* | 'alter' 'table' 'all' 'in' run | 'alter' 'foreign' 'table' ('if' 'exists')? 'only'? qname '*'? alteraction (',' alteraction)* | 'alter' ('user' | 'role' | 'group') (name | 'all') roleoption+ | 'alter' 'user' KIND 'for' run
+  | 'alter' 'default' ID ('for' ('role' | 'user') names)? ('in' 'schema' names)? (grant | revoke) | 'alter' ('extension' | 'foreign' ID ID | 'function' | 'procedure' | 'index' | ID? 'language' | 'materialized' 'view' | 'schema' | 'sequence' | 'trigger' | 'type' | 'view' | KIND) run | 'alter' OPERATOR loose+ ;
+alteraction = 'add' 'column'? ('if' 'not' 'exists')? column | 'add' tableconstraint ('not' id)? | 'add' ('constraint' name)? ('primary' 'key' | 'unique') 'using' 'index' name attribute* | 'drop' 'column'? ('if' 'exists')? name ('cascade' | 'restrict')? | 'drop' 'constraint' ('if' 'exists')? name ('cascade' | 'restrict')? | 'alter' ('column' | 'constraint')? name part | (ID | 'set' | 'reset' | 'inherit' | 'no' | 'not' | 'cluster') part ;
+roleoption = 'with' | 'inherit' | 'password' (STR | 'null') | 'in'? ('role' | 'group' | 'user') names | 'in' ID name | ID (STR | NUM | '-' NUM)? | ID 'limit' '-'? NUM | ID 'to' name | ('add' | 'drop') 'user' names | 'no' id | set | 'set' name 'from' 'current' | 'reset' (qname | 'all') ;
+create = 'create' ('or' 'replace')? (createtable | createview | createfunction | createindex | createrole | createtrigger | createseq | createtype | 'schema' ('if' 'not' 'exists')? run | 'extension' run | 'cast' run | 'default'? KIND run | 'foreign' (ID ID | 'table') run | 'user' KIND ('if' 'not' 'exists')? 'for' run | KIND? 'language' run | OPERATOR loose+) ;
+createtable = (SCOPE? ('temp' | 'temporary') | 'unlogged')? 'table' ('if' 'not' 'exists')? qname (('of' qname)? '(' (tableitem (',' tableitem)*)? ')' | ('(' names ')')? 'as' query | 'partition' 'of' qname ('for' 'values' part | 'default')) (id '(' names ')')? ('partition' 'by' part)? ('with' '(' run? ')')? ('as' query)? ('on' id part)? (ID name)? ;
+tableitem = column | tableconstraint | 'like' qname part? ;
 column = name type columnconstraint* ;
-columnconstraint = ('constraint' name)? ('not' 'null' | 'null' | 'default' bexpr | 'primary' 'key' | 'unique' ('nulls' 'not'? 'distinct')? | 'check' '(' expr ')' | 'references' qname ('(' names ')')? refaction* | 'generated' ('always' | 'by' 'default') 'as' ('identity' ('(' loose* ')')? | '(' expr ')' 'stored') | 'collate' qname | attribute | 'compression' id | 'storage' id) ;
+columnconstraint = ('constraint' name)? ('not' 'null' | 'null' | 'default' bexpr | 'primary' 'key' | 'unique' ('nulls' 'not'? 'distinct')? | 'check' '(' expr ')' | 'references' qname ('(' names ')')? refaction* | 'generated' ('always' | 'by' 'default') 'as' ('identity' ('(' run? ')')? | '(' expr ')' 'stored') | 'collate' qname | attribute | 'compression' id | 'storage' id) ;
 attribute = 'not'? 'deferrable' | 'initially' ('deferred' | 'immediate') | 'no' 'inherit' ;
 refaction = 'on' ('delete' | 'update') ('set' ('null' | 'default') ('(' names ')')? | 'no' 'action' | 'restrict' | 'cascade') | 'match' id ;
-tableconstraint = ('constraint' name)? ('primary' 'key' '(' names ')' | 'unique' ('nulls' 'not'? 'distinct')? '(' names ')' | 'check' '(' expr ')' | 'foreign' 'key' '(' names ')' 'references' qname ('(' names ')')? refaction* | 'exclude' loose+) attribute* ;
-createview = ('temp' | 'temporary' | 'recursive' | 'materialized')* 'view' ('if' 'not' 'exists')? qname ('(' names ')')? ('with' '(' loose* ')')? 'as' query ('with' (ID | 'no' | 'check' | word)+)? ;
-createindex = 'unique'? 'index' (ID)? ('if' 'not' 'exists')? qname? 'on' 'only'? qname ('using' name)? '(' indexitem (',' indexitem)* ')' (ID '(' names ')')? ('with' '(' loose* ')')? ('where' expr)? ;
+tableconstraint = ('constraint' name)? ('primary' 'key' '(' names ')' | 'unique' ('nulls' 'not'? 'distinct')? '(' names ')' | 'check' '(' expr ')' | 'foreign' 'key' '(' names ')' 'references' qname ('(' names ')')? refaction* | 'exclude' ('using' name)? '(' excluded (',' excluded)* ')' ('where' '(' expr ')')?) attribute* ;
+excluded = indexitem 'with' (oper | ID '(' (id '.')* oper ')') ;
+createview = ('temp' | 'temporary' | 'recursive' | 'materialized')* 'view' ('if' 'not' 'exists')? qname ('(' names ')')? ('with' '(' run? ')')? 'as' query ('with' (ID | 'no' | 'check' | word)+)? ;
+createindex = 'unique'? 'index' (ID)? ('if' 'not' 'exists')? qname? 'on' 'only'? qname ('using' name)? '(' indexitem (',' indexitem)* ')' (ID '(' names ')')? ('with' '(' run? ')')? ('where' expr)? ;
 indexitem = expr ('collate' qname)? ID? ('asc' | 'desc')? ('nulls' ('first' | 'last'))? ;
 createrole = ('role' | 'user' | 'group') name roleoption* ;
-createseq = ('temp' | 'temporary')? 'sequence' ('if' 'not' 'exists')? qname loose* ;
-createtype = 'type' qname ('as' ('(' coldefs ')' | ID '(' (STR (',' STR)*)? ')' | 'range' '(' loose* ')'))? ;
-createtrigger = 'constraint'? 'trigger' name id event ('or' event)* 'on' qname ('from' qname)? (ID | 'not' ID)* ('references' loose+)? ('for' 'each_'? id? ('row' | id))? ('when' '(' expr ')')? 'execute_'? id? ('procedure' | 'function') qname '(' (expr (',' expr)*)? ')' ;
+createseq = ('temp' | 'temporary')? 'sequence' ('if' 'not' 'exists')? qname run? ;
+createtype = 'type' qname ('as' ('(' coldefs ')' | ID '(' (STR (',' STR)*)? ')' | 'range' '(' run? ')'))? ;
+createtrigger = 'constraint'? 'trigger' name id event ('or' event)* 'on' qname ('from' qname)? (ID | 'not' ID)* ('references' part)? ('for' 'each_'? id? ('row' | id))? ('when' '(' expr ')')? 'execute_'? id? ('procedure' | 'function') qname '(' (expr (',' expr)*)? ')' ;
 event = 'insert' | 'delete' | 'update' ('of' names)? | ID ;
 createfunction = ('function' | 'procedure') qname '(' (funcparam (',' funcparam)*)? ')' ('returns' ('table' '(' coldefs ')' | 'null' 'on' 'null' ID | type))? funcoption+ ;
 funcparam = ('in' | ID)? name? type (('default' | '=' | ':=') expr)? ;
@@ -251,9 +270,9 @@ windowdef = '(' name? ('partition' 'by' exprs)? ('order' 'by' sortlist)? (('rows
 frame = bound | 'between' bound 'and' bound ;
 bound = ('unbounded' | expr) ('preceding' | 'following') | 'current' 'row' ;
 """ + f"""
-name = ID | {' | '.join(repr(w) for w in sorted(SQL_WORDS - _SQL_RESERVED))} ;
+name = ID | KIND | OPERATOR | SCOPE | STEP | {' | '.join(repr(w) for w in sorted(SQL_WORDS - _SQL_RESERVED))} ;
 id = name ;
-word = ID | {' | '.join(repr(w) for w in sorted(SQL_WORDS))} ;
+word = ID | KIND | OPERATOR | SCOPE | STEP | {' | '.join(repr(w) for w in sorted(SQL_WORDS))} ;
 """
 
 #: Bodies of functions in the procedural language; embedded SQL takes the rules above.
@@ -262,7 +281,7 @@ script = blockstmt ';'? ;
 blockstmt = ('<' '<' id '>' '>' | OP id OP)? (ID (vardecl)*)? 'begin' step* ('exception' ('when' expr 'then' step*)+)? 'end' id? ;
 vardecl = name ID? type ('collate' qname)? ('not' 'null')? (('default' | ':=' | '=') expr)? ';' | name ID? ID? 'for' query ';' | name 'cursor_' ;
 step = blockstmt ';' | returnstep ';' | qname ('[' expr ']')* (':=' | '=') expr ';' | ifstep ';' | looplabel? ('while' expr | 'for' name 'in' (ID)? (expr '..' expr ('by' expr)? | query | ID expr ('using' exprs)?))? 'loop' step* 'end' 'loop' id? ';'
-  | ('exit_' | ID) id? ('when' expr)? ';' | 'raise' (ID | STR | ',' | expr | 'using' | '=')* ';' | 'perform' selectitem (',' selectitem)* ('from' fromitem (',' fromitem)*)? ('where' expr)? ('order' 'by' sortlist)? (limit)* ';' | 'null' ';' | statement ';' | casestep ';' | ('open_' | ID) loose* ';' ;
+  | STEP id? ('when' expr)? ';' | 'raise' (ID | STR | ',' | expr | 'using' | '=')* ';' | 'perform' selectitem (',' selectitem)* ('from' fromitem (',' fromitem)*)? ('where' expr)? ('order' 'by' sortlist)? (limit)* ';' | 'null' ';' | statement ';' | casestep ';' | STEP run ';' ;
 looplabel = '<' '<' id '>' '>' | OP id OP ;
 returnstep = 'return' (expr | ID expr | 'query' query | ID query)? ;
 ifstep = 'if' expr 'then' step* (('elsif' | ID) expr 'then' step*)* ('else' step*)? 'end' 'if' ;

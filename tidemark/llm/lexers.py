@@ -147,11 +147,33 @@ _SQL = re.compile(
     r"|(?P<op>::|:=|\.\.|[(),;.\[\]:])"
     r"|(?P<OP>[-+*/<>=~!@#%^&|`?]+)"
 )
+# Kinds of objects that are no words of the grammar, steps of the procedural language, marks of a merge.
+_KINDS = frozenset("access collation conversion database domain event large owned policy procedural publication routine rule server statistics subscription system tablespace text transform trusted".split())
+_STEPS = frozenset("assert continue exit get open".split())
+_STEP_AFTER = frozenset(("", ";", "begin", "then", "else", "loop"))
+_CONFLICT = re.compile(r"<{7}|={7}|>{7}|\|{7}")
 _DOLLAR = re.compile(r"\$([^\W\d]\w*)?\$")
+_SQL_WORD = re.compile(r"[^\W\d][\w$]*")
 _OPENERS = re.compile(r"/\*|\*/")
 
 
 def sql_tokens(text: str) -> Tokens:
+    """Tokens of SQL. Words that only name something after a verb or at the start of a step are told apart there alone."""
+    before = last = ""
+    for kind, at in _sql_tokens(text):
+        if kind == "ID" and text[at] not in "\"uU":
+            word = _SQL_WORD.match(text, at)[0].lower()
+            if last in ("create", "alter", "drop") or before == "or" and last == "replace":
+                kind = "OPERATOR" if word in ("operator", "aggregate") else "KIND" if word in _KINDS else "SCOPE" if word in ("global", "local") else kind
+            elif word == "mapping" and last == "user":
+                kind = "KIND"
+            elif word in _STEPS and last in _STEP_AFTER:
+                kind = "STEP"
+        yield kind, at
+        before, last = last, kind
+
+
+def _sql_tokens(text: str) -> Tokens:
     at, n = 0, len(text)
     while at < n:
         if text.startswith("/*", at):
@@ -181,6 +203,9 @@ def sql_tokens(text: str) -> Tokens:
             return
         kind, value = m.lastgroup, m[0]
         if kind == "OP":
+            if (at == 0 or text[at - 1] == "\n") and _CONFLICT.match(value):
+                yield "ERROR", at
+                return
             for stop in ("--", "/*"):  # a comment may follow an operator at once
                 cut = value.find(stop)
                 if cut > 0:
