@@ -502,3 +502,15 @@ def test_cut_and_garbled_statements_are_not(text):
 def test_steps_of_function_bodies(step, valid):
     text = f"CREATE FUNCTION f() RETURNS int AS $$ BEGIN LOOP {step}; END LOOP; RETURN 1; END; $$ LANGUAGE plpgsql;"
     assert (syntax.failure("sql", text) is None) == valid
+
+
+# -- parts that do not count ---------------------------------------------------------------
+def test_short_and_fenced_parts_have_languages_too(spark):
+    judge = doclang.Judge({})
+    de, code = "Das Wetter war gut und wir gingen mit unseren Freunden am Fluss entlang.", "```\nthe code that is in here was made by the people\n```"
+    docs = spark.createDataFrame([(1, "\n\n".join([code, code, de, "Das war nicht gut", " \n", "12 34"]), "de"), (2, "Das war nicht gut", "en"), (3, "12 34", "en"), (4, None, "en")], "doc_id long, text string, lang string")
+    got = sorted(((r.doc_id, r.seg_no, r.lang, r.counts) for r in doclang.part_languages(docs, judge).collect()), key=str)
+    assert got == [(1, 0, "en", False), (1, 1, "en", False), (1, 2, "de", True), (1, 3, "de", False), (1, 5, None, False), (2, 0, "de", False), (3, 0, None, False)]
+    assert [(r.doc_id, r.seg_no) for r in doclang.paragraph_languages(docs, judge).collect()] == [(1, 2)]
+    verdicts = {r.doc_id: (r.lang, r.languages, r.verdict) for r in doclang.document_languages(docs).collect()}
+    assert verdicts == {1: ("de", ["de"], "right"), 2: ("de", ["de"], "wrong"), 3: (None, None, "no text"), 4: (None, None, "no text")}

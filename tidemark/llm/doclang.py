@@ -50,7 +50,7 @@ BLOCK = 1 << 20
 
 _ENOUGH = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]++(?:[\W\d_]++|$)){%d}" % MIN_WORDS)
 LETTERS = re.compile(r"[^\W\d_]+")
-_NOISE = re.compile(r"`[^`\n]*`|(?<!\S)[^\s\d]*\d\S*|https?://\S+")
+_NOISE = re.compile("`[^`\n\ua500]*`" r"|(?<!\S)[^\s\d]*\d\S*|https?://\S+")
 _END = re.compile(r"[.!?…]+(?=\s)|\n+")
 _OTHER = re.compile(r"[\W\d_]+")
 #: Letters of a script that is not judged here stand for the ends of paragraphs and sentences.
@@ -86,9 +86,14 @@ def words_line(sentence: str) -> tuple[str, int]:
     return " ".join(words).lower(), len(words)
 
 
+def parts_of(text: str) -> list[tuple[int, str, bool]]:
+    """(number, text, counts) of the parts between blank lines that are not blank; those count that are not fenced and of enough words."""
+    return [(i, p, not p.startswith("```") and _ENOUGH.search(p) is not None) for i, p in enumerate(text.split("\n\n")) if p.strip()]
+
+
 def paragraphs(text: str) -> list[tuple[int, str]]:
-    """(number, text) of the parts between blank lines that count: not fenced and of enough words."""
-    return [(i, p) for i, p in enumerate(text.split("\n\n")) if not p.startswith("```") and _ENOUGH.search(p)]
+    """(number, text) of the parts that count."""
+    return [(i, p) for i, p, counts in parts_of(text) if counts]
 
 
 class Judge:
@@ -183,9 +188,15 @@ def fit(documents: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS
 
 
 def paragraph_languages(documents: DataFrame, judge: Judge | None = None) -> DataFrame:
-    """(doc_id, seg_no, lang, confidence, words, named) of each paragraph that counts.
+    """(doc_id, seg_no, lang, confidence, words, named) of each paragraph that counts."""
+    return part_languages(documents, judge, others=False).drop("counts")
+
+
+def part_languages(documents: DataFrame, judge: Judge | None = None, others: bool = True) -> DataFrame:
+    """(doc_id, seg_no, lang, confidence, words, named, counts) of each part that is not blank.
 
-    ``named`` is the language that the document's label names, if any. The corpus is read once
+    ``counts`` is false for fenced parts and those of few words; one of them without any word
+    has no language, and confidence 0. They are left out, and not scored, unless ``others``. ``named`` is the language that the document's label names, if any. The corpus is read once
     for the sample and once for the result and not shuffled. Null and empty texts have no
     paragraphs; documents under one id are each judged. Ties go to the language of more belief.
     """
@@ -193,25 +204,25 @@ def paragraph_languages(documents: DataFrame, judge: Judge | None = None) -> Dat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys, parts = [], []
-            for doc, text, named in zip(pdf["doc_id"].tolist(), pdf["text"], pdf["named"]):
-                for i, p in paragraphs(text):
-                    keys.append((doc, i, named))
-                    parts.append(p)
-            judged = shared.value.judge(parts)
-            yield pd.DataFrame([(d, i, c, conf, n, named) for (d, i, named), (c, conf, n) in zip(keys, judged)], columns=["doc_id", "seg_no", "lang", "confidence", "words", "named"])
+            found = [((doc, i, named, counts), p) for doc, text, named in zip(pdf["doc_id"].tolist(), pdf["text"], pdf["named"]) for i, p, counts in parts_of(text) if others or counts]
+            found.sort(key=lambda x: not x[0][3])  # a part's first letters are scored after those of the part before it, which must not depend on ``others``
+            keys = [k for k, _ in found]
+            judged = shared.value.judge([p for _, p in found])
+            yield pd.DataFrame([(d, i, c if n or counts else None, conf, n, named, counts) for (d, i, named, counts), (c, conf, n) in zip(keys, judged)], columns=["doc_id", "seg_no", "lang", "confidence", "words", "named", "counts"])
 
     held = documents.where("doc_id is not null and text is not null").select("doc_id", "text", named_language(F.col("lang")).alias("named"))
-    return spread(held).mapInPandas(run, "doc_id bigint, seg_no bigint, lang string, confidence double, words int, named string")
+    return spread(held).mapInPandas(run, "doc_id bigint, seg_no bigint, lang string, confidence double, words int, named string, counts boolean")
 
 
 def document_languages(documents: DataFrame) -> DataFrame:
     """(doc_id, named, lang, confidence, languages, verdict): each document's main language by
-    words, the languages of its paragraphs, and whether its label is right, wrong or missing."""
-    parts = paragraph_languages(documents)
-    by = parts.groupBy("doc_id", "lang").agg(F.sum("words").alias("words"), F.sum(F.col("confidence") * F.col("words")).alias("mass"))
-    docs = by.groupBy("doc_id").agg(
+    words, the languages of its paragraphs, and whether its label is right, wrong or missing.
+    Documents without a paragraph that counts are judged by their other parts."""
+    parts = part_languages(documents).where("lang is not null")
+    by = parts.groupBy("doc_id", "counts", "lang").agg(F.sum("words").alias("words"), F.sum(F.col("confidence") * F.col("words")).alias("mass"))
+    docs = by.groupBy("doc_id", "counts").agg(
         F.max_by("lang", F.struct("words", "lang")).alias("lang"), F.sum("words").alias("total"), F.max_by("mass", F.struct("words", "lang")).alias("mass"), F.array_sort(F.collect_set("lang")).alias("languages"))
+    docs = docs.groupBy("doc_id").agg(F.max_by(F.struct("lang", "total", "mass", "languages"), "counts").alias("d")).select("doc_id", "d.*")
     labels = documents.where("doc_id is not null").groupBy("doc_id").agg(F.max(named_language(F.col("lang"))).alias("named"))
     verdict = F.when(F.col("lang").isNull(), "no text").when(F.col("named").isNull(), "missing").when(F.col("named") == F.col("lang"), "right").otherwise("wrong")
     return labels.join(docs, "doc_id", "left").select("doc_id", "named", "lang", F.round(F.col("mass") / F.greatest("total", F.lit(1)), 4).alias("confidence"), "languages", verdict.alias("verdict"))
