@@ -187,3 +187,19 @@ def test_first_wins_takes_the_second_list_too_and_stops_at_its_bound(spark, sf):
     assert rows(more.first_wins(a, b)) == [(1, "a"), (2, None), (3, "c")]
     got = more.whole_union_first_wins(spark, sf)
     assert got.count() == 200 and got.where("id >= 150").count() > 0
+
+
+def test_quotes_wrapped_over_other_line_ends_are_anchored():
+    text = "alpha beta\nthe fee for a transfer is\nrounded half up to two\ndecimal places here\nend of it"
+    quote = "the fee for a\ntransfer is rounded half\nup to two decimal\nplaces here"
+    assert E.anchor(text, quote) == [(2, 4, 1.0)]
+    assert E.anchor(text, "the fee for a transfer is rounded half up to two decimal places here") == [(2, 4, 1.0)]
+    assert E.anchor(text, "decimal places here") == [(4, 4, 1.0)]
+    assert E.anchor("a b c\n\nd", "a b c") == [(1, 1, 1.0)]
+    words = ["fee", "transfers", "transfer", "half", "up", "end"]
+    rnd = random.Random(3)
+    for _ in range(200):  # the bound leaves nothing out
+        lines, q = [[rnd.choice(words) for _ in range(rnd.randrange(4))] for _ in range(8)], [rnd.choice(words) for _ in range(rnd.randrange(1, 8))]
+        scores = [E.fuzzy_overlap(q, sum(lines[i:j], [])) for i in range(8) for j in range(i + 2, min(i + 5, 8) + 1) if lines[i] and lines[j - 1]]
+        found = E.best_window(q, lines, 0.6)
+        assert (found[2] if found else None) == (max(scores) if max(scores, default=0) >= 0.6 else None)

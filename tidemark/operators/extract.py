@@ -264,9 +264,28 @@ def fuzzy_overlap(a: list[str], b: list[str], shortest: int = 4, ratio: float =
     return 2 * hits / (len(a) + len(b))
 
 
-def anchor(text: str, quote: str, enough: float = 0.7, gap: int = 3) -> list[tuple[int, int, float]]:
+def best_window(quote: list[str], lines: list[list[str]], enough: float, least: int = 2, most: int = 5) -> tuple[int, int, float] | None:
+    """(first line, last line, score) of the ``least`` to ``most`` lines, no blank ones at the ends, whose words together match a quote best, if well ``enough``."""
+    key = lambda w: w[:4]  # noqa: E731 - words that match agree in their first four letters
+    wanted = {key(w) for w in quote}
+    size, held = [len(ln) for ln in lines], [sum(key(w) in wanted for w in ln) for ln in lines]
+    best = None
+    for i in range(len(lines)):
+        for j in range(i + least - 1, min(i + most, len(lines))):
+            total = sum(size[i : j + 1]) + len(quote)
+            bound = 2 * min(sum(held[i : j + 1]), len(quote)) / total if total else 0.0
+            if size[i] and size[j] and bound >= enough and (best is None or bound > best[2]):
+                score = fuzzy_overlap(quote, [w for ln in lines[i : j + 1] for w in ln])
+                if score >= enough and (best is None or score > best[2]):
+                    best = i, j, score
+    return best
+
+
+def anchor(text: str, quote: str, enough: float = 0.7, gap: int = 3, wrapped: float = 0.6) -> list[tuple[int, int, float]]:
     """(first line, last line, score) of the best place of a quote in a text: lines that match
-    well, joined while at most ``gap`` apart; of several places the longest, then best, then first."""
+    well, joined while at most ``gap`` apart; of several places the longest, then best, then first.
+    A window of two to five lines that holds the quote's words at ``wrapped`` or more goes before
+    it where it scores no less, or where that place has fewer than half of the quote's lines."""
     words = lambda s: [w for w in re.split(r"[^a-z0-9_]+", s.lower()) if w]
     wanted = [q for q in (words(x) for x in quote.splitlines()) if q]
     lines = [words(x) for x in text.splitlines()]
@@ -281,9 +300,12 @@ def anchor(text: str, quote: str, enough: float = 0.7, gap: int = 3) -> list[tup
             groups[-1].append(i)
         else:
             groups.append([i])
-    if not groups:
+    window = best_window([w for q in wanted for w in q], lines, wrapped) if wanted else None
+    best = max(groups, key=lambda g: (len(g), max(strong[i] for i in g), -g[0])) if groups else []
+    if window and (2 * len(best) < len(wanted) or not best or window[2] >= max(strong[i] for i in best)):
+        return [(window[0] + 1, window[1] + 1, round(window[2], 4))]
+    if not best:
         return []
-    best = max(groups, key=lambda g: (len(g), max(strong[i] for i in g), -g[0]))
     return [(best[0] + 1, best[-1] + 1, round(max(strong[i] for i in best), 4))]
 
 
