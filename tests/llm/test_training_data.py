@@ -514,3 +514,11 @@ def test_short_and_fenced_parts_have_languages_too(spark):
     assert [(r.doc_id, r.seg_no) for r in doclang.paragraph_languages(docs, judge).collect()] == [(1, 2)]
     verdicts = {r.doc_id: (r.lang, r.languages, r.verdict) for r in doclang.document_languages(docs).collect()}
     assert verdicts == {1: ("de", ["de"], "right"), 2: ("de", ["de"], "wrong"), 3: (None, None, "no text"), 4: (None, None, "no text")}
+
+
+# -- long values -----------------------------------------------------------------------------
+def test_quoted_credentials_of_any_length(spark):
+    value = "aB3+" * 3000
+    text = f'{{"private_key": "{value}"}}'
+    got = credentials.find_credentials(spark.createDataFrame([("t", 1, "f", text)], "source_table string, record_id long, field_name string, content string")).collect()
+    assert {(r.start_pos, r.end_pos) for r in got} == {(text.index(value), text.index(value) + len(value))}
