@@ -92,15 +92,20 @@ def test_immutable_rows(spark):
 
 def test_differences(spark):
     schema = "case long, path string, value string"
-    base = spark.createDataFrame([(1, "fee", "0.53"), (1, "n", "60"), (1, "id", "7"), (1, "createdAt", "x"), (1, "gone", "1"), (1, "nul", None), (2, "a", "1")], schema)
+    base = spark.createDataFrame([(1, "fee", "0.53"), (1, "n", "60"), (1, "id", "7"), (1, "createdAt", '"x"'), (1, "gone", "1"), (1, "nul", "null"), (2, "a", "1"), (3, "a", "1")], schema)
     probe = spark.createDataFrame([(1, "fee", "0.53"), (1, "id", "8")], schema)
-    cand = spark.createDataFrame([(1, "fee", "0.54"), (1, "n", "sixty"), (1, "id", "9"), (1, "createdAt", "y"), (1, "nul", None)], schema)
+    cand = spark.createDataFrame([(1, "fee", "0.54"), (1, "n", '"60.0000"'), (1, "id", "9"), (1, "createdAt", '"y"'), (1, "nul", "null"), (1, "more", "1"), (3, "a", "1.0")], schema)
     compared = D.compare(base, probe, cand, ["case"])
     assert {r.path: r.difference for r in compared.where("case = 1").collect()} == {"fee": "precision", "n": "type-difference", "id": None, "createdAt": None, "gone": "missing-field", "nul": None}
-    outcomes = D.case_outcomes(compared, ["case"], cand)
-    assert rows(outcomes) == [(1, "divergent", 3, "CRITICAL"), (2, "unreachable", 0, None)]
+    cases = spark.createDataFrame([(1, "passing-against-legacy", True, "completed"), (2, "passing-against-legacy", True, None), (3, "passing-against-legacy", True, "completed")], "case long, status string, holds boolean, execution string")
+    outcomes = D.case_outcomes(compared, cases, ["case"])
+    assert rows(outcomes.drop("reason")) == [(1, "divergent", 3, "MAJOR"), (2, "inconclusive", 0, None), (3, "equal", 0, None)]
     assert D.verdict(outcomes).first().verdict == "NOT_EQUIVALENT"
+    assert D.verdict(outcomes.where("case > 1")).first().verdict == "INCONCLUSIVE"
+    assert D.verdict(outcomes.where("case = 3")).first().verdict == "EQUIVALENT"
     assert D.verdict(outcomes.where("false")).first().confidence == 0.0
+    with pytest.raises(Exception, match="unknown case"):
+        D.case_outcomes(compared, cases, ["case"], spark.createDataFrame([(9,)], "case long")).collect()
 
 
 def test_quality(spark):
