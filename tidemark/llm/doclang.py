@@ -176,13 +176,28 @@ class Judge:
         return [(CODES[w], round(float(mass[i, w] / total[i]), 4), int(votes[i].sum())) for i, w in enumerate(winner)]
 
 
+def sample(documents: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(code, text): at most ``docs`` documents for each language that labels name, those of least hash of the id, cut to ``chars`` characters.
+
+    The number of labelled documents of a language gives a hash below which all but surely
+    ``docs`` of them lie; only those, already cut, are ranked, a few thousand short rows
+    whatever the number of documents, tasks or the share of one language.
+    """
+    labelled = documents.select("doc_id", named_language(F.col("lang")).alias("code"), F.substring("text", 1, chars).alias("text")).where("code is not null and text is not null and doc_id is not null")
+    counted = {r[0]: r[1] for r in labelled.groupBy("code").agg(F.count("*")).collect()}  # at most one row for each of CODES
+    h, low = F.xxhash64("doc_id"), F.lit(False)
+    for code, n in counted.items():
+        share = min(1.0, (2 * docs + 100) / n)
+        low = F.when(F.col("code") == code, h <= int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else F.lit(True)).otherwise(low)
+    rank = F.row_number().over(W.partitionBy("code").orderBy(h, "doc_id", "text"))
+    return labelled.where(low).withColumn("rn", rank).where(F.col("rn") <= docs).select("code", "text")
+
+
 def fit(documents: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Judge:
     """Models from at most ``docs`` documents for each language that labels name, chosen by the
     hash of the id, and from the seed sentences. The bound holds for the fitting alone."""
-    labelled = documents.select("doc_id", "text", named_language(F.col("lang")).alias("code")).where("code is not null and text is not null and doc_id is not null")
-    chosen = labelled.withColumn("rn", F.row_number().over(W.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("rn") <= docs)
     samples: dict[str, list[str]] = {}
-    for code, text in chosen.select("code", F.substring("text", 1, chars)).collect():
+    for code, text in sample(documents, docs, chars).collect():
         samples.setdefault(code, []).append(text)
     return Judge({c: sorted(t) for c, t in samples.items()})
 
