@@ -18,8 +18,9 @@ class TooAmbiguous(ValueError):
     """More ways to read a text than are followed at once."""
 
 
-#: Sequences in one set beyond which a text is given up; ordinary texts stay below a hundred.
-MOST_WAYS = 20_000
+#: Sequences in one set beyond which a text is read again with shared ends (``Shared``), which is
+#: slower by token and bounded by the text; ordinary texts stay below a hundred.
+MOST_WAYS = 2_000
 
 
 class Grammar:
@@ -205,25 +206,104 @@ class Grammar:
         """None for a text of the language, else ("token", place) of the failing token or ("end", -1).
 
         ``insert``: a token put in before one that fails, where ``may_insert(number)`` allows it.
+        A text with more than MOST_WAYS readings at one token is read with shared ends instead,
+        to the same result.
         """
         if max(len(self._stacks), len(self.step), len(self.nodes)) > self.limit:
             self.clear()
-        state, step, dead = self.begin, self.step, self.dead
+        tokens = list(tokens)
+        try:
+            return self._failure(tokens, self, insert, may_insert)
+        except TooAmbiguous:
+            self.clear()
+            return self._failure(tokens, Shared(self), insert, may_insert)
+
+    @staticmethod
+    def _failure(tokens: list[tuple[str, int]], sets: Grammar | Shared, insert: str | None, may_insert: Callable[[int], bool] | None) -> tuple[str, int] | None:
+        state, step, dead = sets.begin, sets.step, sets.dead
         for i, (t, place) in enumerate(tokens):
             after = step.get((state, t))
             if after is None:
-                after = self.derive(state, t)
+                after = sets.derive(state, t)
             if after == dead:
                 if insert is not None and may_insert(i):
-                    mid = self.derive(state, insert)
-                    after = self.derive(mid, t) if mid != dead else dead
+                    mid = sets.derive(state, insert)
+                    after = sets.derive(mid, t) if mid != dead else dead
                 if after == dead:
                     return "token", place
             state = after
-        if self.accepts_end(state):
+        if sets.accepts_end(state):
             return None
         if insert is not None:
-            state = self.derive(state, insert)
-            if state != dead and self.accepts_end(state):
+            state = sets.derive(state, insert)
+            if state != dead and sets.accepts_end(state):
                 return None
         return "end", -1
+
+
+class Shared:
+    """Sets of sequences whose ends are shared, for texts with very many readings.
+
+    A cell is a run of grammar nodes and the cells that may follow it, so a set of cells stands
+    for every sequence that a path through them spells. Of the cells that one token leaves
+    behind, those with the same run are one cell, followed by what follows any of them; a set
+    has therefore no more cells than the grammar has residual runs, plus older ones.
+    """
+
+    def __init__(self, grammar: Grammar) -> None:
+        self.grammar = grammar
+        self.runs: list[tuple[int, ...]] = [()]  # cell 0 is the end of every sequence
+        self.after: list[set[int]] = [set()]
+        self._tails: dict[int, int] = {}
+        self.step: dict[tuple[frozenset, str], frozenset] = {}  # nothing is kept by set and token: cells are those of one text
+        self.dead: frozenset = frozenset()
+        self.begin = frozenset({self._cell((grammar.start,), {0})})
+
+    def _cell(self, run: tuple[int, ...], after: set[int]) -> int:
+        self.runs.append(run)
+        self.after.append(after)
+        return len(self.runs) - 1
+
+    def _rest(self, cell: int) -> set[int]:
+        """What stands behind the first node of a cell."""
+        run = self.runs[cell]
+        if len(run) == 1:
+            return self.after[cell]
+        if cell not in self._tails:
+            self._tails[cell] = self._cell(run[1:], self.after[cell])
+        return {self._tails[cell]}
+
+    def derive(self, cells: frozenset, t: str) -> frozenset:
+        new: dict[tuple[int, ...], int] = {}
+        out: set[int] = set()
+        seen, todo = set(cells), list(cells)
+        while todo:
+            cell = todo.pop()
+            if not cell:
+                continue
+            node = self.runs[cell][0]
+            rest = self._rest(cell)
+            for r in self.grammar.first(node, t):
+                if r:
+                    if r in new:
+                        self.after[new[r]] |= rest
+                    else:
+                        new[r] = self._cell(r, set(rest))
+                else:
+                    out |= rest
+            if self.grammar.is_nullable(node):
+                todo.extend(rest - seen)
+                seen |= rest
+        return frozenset(out | set(new.values()))
+
+    def accepts_end(self, cells: frozenset) -> bool:
+        seen, todo = set(cells), list(cells)
+        while todo:
+            cell = todo.pop()
+            if not cell:
+                return True
+            if self.grammar.is_nullable(self.runs[cell][0]):
+                more = self._rest(cell) - seen
+                seen |= more
+                todo.extend(more)
+        return False
