@@ -168,8 +168,10 @@ def test_myers_against_the_table():
         assert leakage.myers_distance(p, t) == edit_distance_anywhere(p, t)
 
 
-@pytest.mark.parametrize("budget", [0, 1, 2])
-def test_leaks_against_brute_force(spark, budget):
+@pytest.mark.parametrize(("budget", "broadcast"), [(0, True), (1, True), (2, True), (0, False), (1, False)])
+def test_leaks_against_brute_force(spark, budget, broadcast, monkeypatch):
+    if not broadcast:  # as with items beyond the bound
+        monkeypatch.setattr(leakage, "MAX_ITEM_BYTES", 3)
     rnd = random.Random(budget)
     vocab = [f"w{i}" for i in range(40)]
     items = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.choice([5, 13, 20])))) for i in range(12)] + [(50, None), (None, "x " * 20), (51, "")]
@@ -196,10 +198,21 @@ def test_leaks_against_brute_force(spark, budget):
     assert {(r.doc_id, r.item_id): r.distance for r in got.collect()} == want and want
 
 
-def test_item_table_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "MAX_ITEM_BYTES", 3)
-    with pytest.raises(ValueError):
-        leakage.find_leaks(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "abcd")], "item_id long, item_text string"))
+# -- chunks of the trigram index --------------------------------------------------------
+def test_trigrams_over_chunks(scanner, monkeypatch):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice(["password", "=", "'x1y2z3w4'", " token ", "\n", "é", "a"]) for _ in range(rnd.randrange(60))) for _ in range(50)] + ["", "ab"]
+    whole = {t: d.tolist() for t, d in scanner.index.postings(texts).items()}
+    found = scanner.scan(texts)
+    monkeypatch.setattr(trigrams, "CHUNK", 7)
+    monkeypatch.setattr(trigrams, "BLOCK", 40)
+    assert {t: d.tolist() for t, d in scanner.index.postings(texts).items()} == whole and scanner.scan(texts) == found and found
+
+
+def test_long_values(scanner):
+    value = "Ab1" * 4_000
+    assert marked(scanner, f'x = 1\n"password": "{value}"\n') == [value]
+    assert marked(scanner, "filler text " * 30_000 + f"apiKey = '{value}'") == [value]
 
 
 # -- languages ----------------------------------------------------------------------
@@ -295,6 +308,26 @@ INVALID = {
 }
 
 
+def test_very_many_readings():
+    """Each open parenthesis may begin parameters with a default or an assignment; the rest of the text is still read."""
+    text = "const x = " + "(a = " * 16 + "1" + ")" * 16 + ";\n"
+    assert syntax.failure("ts", text) is None
+    assert syntax.failure("ts", text + "const y = ;")[0] == "token"
+    assert syntax.failure("ts", text[:-4])[0] == "end"
+
+
+def test_shared_sets_agree_with_interned_ones():
+    rnd = random.Random(3)
+    for lang, texts in {**VALID, **INVALID}.items():
+        if lang == "ts":
+            continue
+        g = grammar(lang)
+        for t in [*VALID[lang], *INVALID[lang]]:
+            for cut in (t, t[: rnd.randrange(len(t) + 1)]):
+                tokens = list(syntax._TOKENS[lang](cut))
+                assert g._failure(tokens, derivatives.Shared(g), None, None) == g._failure(tokens, g, None, None)
+
+
 @pytest.mark.parametrize(("lang", "text"), [(k, t) for k, v in VALID.items() for t in v])
 def test_valid(lang, text):
     assert syntax.failure(lang, text) is None

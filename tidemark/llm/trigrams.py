@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -93,8 +93,29 @@ def _names(c: Condition) -> set[str]:
     return set() if c is True else {c[1]} if c[0] == "t" else set().union(*map(_names, c[1:]))
 
 
+#: Characters of a chunk, and of the chunks that are indexed at a time: what the index needs beside the texts themselves does not grow with their length.
+CHUNK, BLOCK = 1 << 16, 1 << 20
+
+
+def chunks(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """Blocks of chunks, with the number of the text of each; a chunk begins with the last two characters of the one before it, so that no trigram is lost."""
+    owners: list[int] = []
+    parts: list[str] = []
+    size = 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - 2), CHUNK):
+            owners.append(i)
+            parts.append(text[at : at + CHUNK + 2] if len(text) > CHUNK + 2 else text)
+            size += len(parts[-1])
+            if size >= BLOCK:
+                yield owners, parts
+                owners, parts, size = [], [], 0
+    if parts:
+        yield owners, parts
+
+
 class TrigramIndex:
-    """Postings, over the texts of one batch, of the trigrams that a set of conditions names."""
+    """Postings, over the chunks of the texts of one batch, of the trigrams that a set of conditions names."""
 
     def __init__(self, conditions: dict[str, Condition]) -> None:
         self.conditions = conditions
@@ -107,24 +128,31 @@ class TrigramIndex:
     def _code(a, b, c):
         return (a << 42) | (b << 21) | c
 
-    def postings(self, texts: list[str]) -> dict[str, np.ndarray]:
-        """trigram -> numbers of the texts that hold it, in ascending order."""
-        joined = "\0\0".join(texts)
+    def _of_block(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a trigram and a chunk that holds it."""
         # Only A-Z are folded, so that offsets stay; conditions are lower case.
-        c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        c = np.frombuffer("\0\0".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         c = np.where((c >= 65) & (c <= 90), c + np.uint64(32), c)
-        lengths = np.array([len(t) + 2 for t in texts])
-        ends = np.cumsum(lengths)
-        found: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(0, np.int64))
+        ends = np.cumsum([len(p) + 2 for p in parts])
         if len(c) < 3:
-            return found
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         g = (c[:-2] << np.uint64(42)) | (c[1:-1] << np.uint64(21)) | c[2:]
         at = np.searchsorted(self.codes, g)
         at[at == len(self.codes)] = 0
         hit = np.flatnonzero(self.codes[at] == g)
-        pairs = np.unique(at[hit] * np.int64(len(texts)) + np.searchsorted(ends, hit, "right"))
-        which, doc = np.divmod(pairs, len(texts))
+        return at[hit], np.searchsorted(ends, hit, "right")
+
+    def postings(self, texts: list[str]) -> dict[str, np.ndarray]:
+        """trigram -> numbers of the texts that hold it, in ascending order.
+
+        Matches may run over chunks, so the postings of the chunks of one text are united before conditions are looked at."""
+        pairs = [np.zeros(0, np.int64)]
+        for owners, parts in chunks(texts):
+            which, chunk = self._of_block(parts)
+            pairs.append(np.unique(which * np.int64(len(texts)) + np.array(owners)[chunk]))
+        which, doc = np.divmod(np.unique(np.concatenate(pairs)), max(1, len(texts)))
         cuts = np.searchsorted(which, np.arange(len(self.codes) + 1))
+        found: dict[str, np.ndarray] = {}
         for i, o in enumerate(self.order):
             found[self.wanted[o]] = doc[cuts[i] : cuts[i + 1]]
         return found
