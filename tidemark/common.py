@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,14 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Operators that bring an exchange, by their names in a logical plan.
+_EXCHANGES = re.compile(r"(?m)^[\s:+|-]*(?:Aggregate|Join|Sort|Window|Repartition\w*|RebalancePartitions|Distinct|Deduplicate|GlobalLimit|Except|Intersect)\b")
+
+
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Repartition only where the scan yields fewer tasks than the cluster has cores.
+    """Repartition only where a scan yields fewer tasks than the cluster has cores.
 
-    A large input already has many splits and is left as it is, so this costs a
-    shuffle only for inputs that are small or were written as one file.
+    A large input already has many splits and is left as it is, so this costs a shuffle only
+    for inputs that are small or were written as one file. What comes out of an exchange is
+    left to adaptive execution; asking for its partitions would run the stages before it.
     """
+    execution = df._jdf.queryExecution()
+    if _EXCHANGES.search(execution.optimizedPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * per_core) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores * per_core) if execution.toRdd().getNumPartitions() < cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:
