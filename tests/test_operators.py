@@ -4,6 +4,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import javasource as J
+from tidemark.operators import codegraph as C
 from tidemark.operators import differential as D
 from tidemark.operators import extract as E
 from tidemark.operators import graph as G
@@ -57,7 +59,28 @@ def test_chains_and_depths(spark):
     assert rows(G.breadth_first(e, starts, 4)) == [(1, 1, 0), (1, 2, 1), (1, 3, 1)]
 
 
+def test_support_chains_and_explanations(spark):
+    e = spark.createDataFrame([(1, 2, 0.9), (2, 3, None), (4, 3, 0.5), (5, 6, 0.7), (6, 5, 0.7), (5, 7, 1.0), (None, 3, 0.1), (8, 9, 1.0), (9, 10, 1.0)], "src long, dst long, conf double")
+    goals = spark.createDataFrame([(3,), (1,), (7,), (10,)], "id long")
+    chains = G.support_chains(e, goals)
+    assert sorted((r.goal, r.path, r.strength) for r in chains.collect()) == [(3, [1, 2, 3], 0.9), (3, [4, 3], 0.5), (10, [8, 9, 10], 1.0)]  # 7 is reached by a circle alone
+    assert sorted((r.root, r.depth) for r in G.support_chains(e, goals, 1).collect()) == [(2, 1), (4, 1), (5, 1), (9, 1)]
+    claims = spark.createDataFrame([(3,), (8,), (99,)], "id long")
+    assert sorted(map(tuple, G.explained(chains, goals, claims, e).collect())) == [(1, False, 0, 0, 0, None), (3, True, 2, 2, 0, 0.9), (7, False, 0, 0, 0, None), (10, False, 1, 1, 1, 1.0)]
+    assert G.support_chains(e.where("false"), goals).count() == 0
+
+
+def test_long_paths_and_text_vertices_settle(spark):
+    e = spark.createDataFrame([(f"v{i:03}", f"v{i + 1:03}") for i in range(60)] + [("v060", "v000"), ("x", "y")], "src string, dst string")
+    got = G.strong_components(e).collect()
+    assert {r.component for r in got} == {"v000"} and len(got) == 61
+    assert G.strong_components(e.where("src = 'x'")).count() == 0
+
+
 def test_integrity(spark):
+    claims = spark.createDataFrame([(1,), (3,), (1,), (None,)], "id long")
+    twice = edges(spark, [(1, 2), (2, 3), (1, 2)])
+    assert rows(G.integrity(spark.createDataFrame([(1,), (2,), (3,)], "id long"), twice, claims)) == [("duplicate-edge", 1), ("unsupported-claim", 1)]
     nodes = spark.createDataFrame([(1,), (1,), (2,), (9,), (None,)], "id long")
     assert rows(G.integrity(nodes, edges(spark, [(1, 2), (2, 3), (2, 2)]))) == [("dangling-edge", 3), ("duplicate-node", 1), ("orphan", 9), ("self-loop", 2)]
 
@@ -150,8 +173,9 @@ def test_schema_objects_and_outlines():
     objs = E.ddl_objects("CREATE TABLE IF NOT EXISTS a (id BIGINT PRIMARY KEY, amt NUMERIC(18,4) NOT NULL, memo TEXT, CONSTRAINT c CHECK (amt > 0));\nCREATE UNIQUE INDEX i ON a (id);")
     assert [(o[0], o[1], o[3], o[5], o[6]) for o in objs] == [("table", "a", "id", False, None), ("table", "a", "amt", False, 18), ("table", "a", "memo", True, None), ("index", "i", None, None, None)]
     src = 'class A {\n  // void no() {\n  public static List<String> go(int a) throws X {\n    String s = "}";\n    if (a > 1) { return null; }\n  }\n  A() {}\n}\n'
-    assert E.java_methods(src) == [("go", "List<String>", "public static", 3, 6)]
-    assert E.routes('@RequestMapping("/api")\nclass C {\n @GetMapping("/x/{id}")\n void a() {}\n @PostMapping\n void b() {}\n}') == [("GET", "/api/x/{id}", 3), ("POST", "/api", 5)]
+    assert [(m.name, m.type, " ".join(m.modifiers), m.line, m.end_line) for m in J.analyse(src).of("method")] == [("go", "List<String>", "public static", 3, 6)]
+    facts = C.java_facts('@RestController\n@RequestMapping("/api")\nclass C {\n @GetMapping("/x/{id}")\n void a() {}\n @PostMapping\n void b() {}\n}')
+    assert [(f[1], f[2]) for f in facts if f[0] == "route"] == [("GET /api/x/{id}", "C#a"), ("POST /api", "C#b")]
     assert E.settings("a.properties", "# c\na.b = 1\ndb.password: x\n") == [("a.b", "1", False), ("db.password", None, True)]
     assert E.settings("a.yml", "a:\n  b: 1\n  c:\n    token: t\nd: 'x'\n") == [("a.b", "1", False), ("a.c.token", None, True), ("d", "x", False)]
 
@@ -190,7 +214,7 @@ def test_first_wins_takes_the_second_list_too_and_stops_at_its_bound(spark, sf):
 
     a, b = spark.createDataFrame([(1, "a"), (2, None)], "id long, name string"), spark.createDataFrame([(2, "b"), (3, "c")], "id long, name string")
     assert rows(more.first_wins(a, b)) == [(1, "a"), (2, None), (3, "c")]
-    got = more.whole_union_first_wins(spark, sf)
+    got = more.ordered_union_first_wins(spark, sf)
     assert got.count() == 200 and got.where("id >= 150").count() > 0
 
 

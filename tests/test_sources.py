@@ -97,9 +97,10 @@ def test_scalar_functions(spark):
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([(1, "2026-01-01T10:00:00", "a"), (1, "2026-01-01T10:10:00", "b"), (1, "2026-01-02T10:00:00", "a")], "user_id long, t string, event_type string").select("user_id", F.col("t").cast("timestamp_ntz").alias("ts"), "event_type")
     rows.write.parquet(str(tmp_path / "e"))
-    counted = stream.drain(stream.daily_counts(stream.open_parquet(spark, str(tmp_path / "e"))), "t", "complete")
-    assert counted.count() == 3 and counted.agg(F.sum("n")).first()[0] == 3
+    counted = stream.drain(stream.daily_counts(stream.open_parquet(spark, str(tmp_path / "e"))), "t", "update", ["day", "event_type"])
+    assert counted.columns == ["day", "event_type", "n"] and counted.count() == 3 and counted.agg(F.sum("n")).first()[0] == 3
     assert stream.drain(stream.first_per_key(stream.open_parquet(spark, str(tmp_path / "e")), ["event_type"]), "t2", "append").count() == 2
+    assert stream.drain(stream.first_per_key(stream.open_parquet(spark, str(tmp_path / "e")), ["event_type"], "1 day").select("event_type"), "t4", "append").count() == 2
     assert stream.drain(stream.sessions(stream.open_parquet(spark, str(tmp_path / "e"))), "t3", "complete").count() == 2
 
 
@@ -124,9 +125,9 @@ def test_folders_snapshots_and_exports(spark, tmp_path):
 
 
 def test_redaction_by_key(spark):
-    got = one(spark, '{"a": {"dbPassword": "x\\"y", "n": 1}, "token": 5, "list": [{"apiKey": null}], "passwords": {"k": "v"}}', J.redact_keys)
-    assert json.loads(got) == {"a": {"dbPassword": "[redacted]", "n": 1}, "token": "[redacted]", "list": [{"apiKey": "[redacted]"}], "passwords": {"k": "v"}}
-    assert one(spark, "no json", J.redact_keys) is None
+    got = one(spark, '{"a": {"dbPassword": "xy\\"zabc", "n": 1.50}, "token": 5, "list": [{"apiKey": null}], "passwords": {"k": "v"}, "say": "token: 1"}', J.redacted)
+    assert json.loads(got) == {"a": {"dbPassword": 'xy"z***redacted***', "n": 1.5}, "token": "***redacted***", "list": [{"apiKey": "***redacted***"}], "passwords": "***redacted***", "say": "token: 1"}
+    assert one(spark, "no json", J.redacted) is None and one(spark, None, J.redacted) is None and one(spark, "", J.redacted) is None
 
 
 def test_files_with_several_paths_and_variables_are_kept(spark):
@@ -136,3 +137,26 @@ def test_files_with_several_paths_and_variables_are_kept(spark):
     files = spark.createDataFrame([(1, "x/b.md a/c.md x/b.md {{z}} {{ a.b }} {{z}}"), (2, many), (3, "none"), (4, None), (5, "{{one}} p/q.r")], "file_id long, file_content string")
     assert sorted(map(tuple, scalars.all_paths(files).collect())) == [(1, "x/b.md a/c.md"), (2, " ".join(many.split()[:8])), (5, "p/q.r")]
     assert sorted(map(tuple, scalars.all_names(files).collect())) == [(1, "z,a.b"), (5, "one")]
+
+
+def test_intermediate_tables_go_when_they_are_released(spark):
+    import glob
+
+    from tidemark.common import release, shared_folder, stored
+
+    release(spark)
+    kept = stored(spark.range(5).toDF("id"))
+    assert kept.count() == 5
+    folder = shared_folder(spark).removeprefix("file:")
+    assert len(glob.glob(f"{folder}/table-*")) == 1
+    assert release(spark) == 1 and not glob.glob(f"{folder}/table-*") and release(spark) == 0
+
+
+def test_spreading_runs_no_job(spark, tmp_path):
+    from tidemark.common import spread
+
+    spark.range(100).withColumn("k", F.col("id") % 7).write.parquet(str(tmp_path / "x"))
+    df = spark.read.parquet(str(tmp_path / "x"))
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    spread(df.join(df.groupBy("k").count(), "k")), spread(df.where("id > 3"))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before

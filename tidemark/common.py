@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
@@ -53,11 +54,50 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    The checkpoint's files go when nothing refers to it any more, if the session was begun with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+#: Folders that were made for intermediate results and not released yet, by application.
+_FOLDERS: dict[str, list[str]] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one for an intermediate result.
+
+    It must outlive the call, as the result is read later. ``release`` deletes those of a
+    session; so does the end of its process.
+    """
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    application = spark.sparkContext.applicationId
+    if application not in _FOLDERS:
+        atexit.register(release, spark)
+    _FOLDERS.setdefault(application, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables of a session and say how many there were: for use once results are written."""
+    sc = spark.sparkContext
+    if sc._jsc is None:  # stopped; its folder is the cluster's to clear
+        return 0
+    known = _FOLDERS.get(sc.applicationId, [])
+    conf, make = sc._jsc.hadoopConfiguration(), sc._jvm.org.apache.hadoop.fs.Path
+    for folder in known:
+        path = make(folder)
+        files = path.getFileSystem(conf)
+        for status in files.globStatus(make(f"{folder}*")) or []:
+            files.delete(status.getPath(), True)
+    done = len(known)
+    known.clear()
+    return done
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table into the shared folder and read it back.
 
@@ -65,6 +105,6 @@ def stored(df: DataFrame) -> DataFrame:
     the loss of an executor, and column encodings keep them smaller than a checkpoint.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,14 +66,34 @@ def leaves(df: DataFrame, column: str, keep: list[str], depth: int = 8) -> DataF
     return done.unionByName(level)
 
 
-SECRET_KEYS = r"(?i)pass(?:word|wd|phrase)?|secret|token|credential|api[_-]?key|authorization|private[_-]?key"
+# Names of keys whose values are withheld, and what stands for them.
+SECRET_KEYS = re.compile(r"(?i)api[_-]?key|authorization|password|secret|token")
+WITHHELD, TRUNCATED = "***redacted***", "[truncated]"
+
+
+def _withheld(value, depth: int, most: int):
+    if depth > most:
+        return TRUNCATED
+    if isinstance(value, list):
+        return [_withheld(v, depth + 1, most) for v in value]
+    if isinstance(value, dict):
+        return {k: (v[:4] + WITHHELD if isinstance(v, str) else WITHHELD) if SECRET_KEYS.search(k) else _withheld(v, depth + 1, most) for k, v in value.items()}
+    return value
 
 
-def redact_keys(json: Column, depth: int = 8) -> Column:
-    """A JSON text with the scalar values of secret-named keys replaced, at any level.
+def redacted(json_text: Column, depth: int = 8) -> Column:
+    """A JSON text with the values of secret-named keys replaced at any level, in canonical form.
 
-    Strings, numbers and words after such a key are replaced in the canonical text, where a
-    quote within a string is always escaped; objects and arrays under one stay as they are.
+    Strings keep their first four characters, anything else goes whole; what lies more than
+    ``depth`` levels down is cut. Null for null and for a text that is no JSON.
     """
-    key = r'("(?:[^"\\]|\\.)*?(?:' + SECRET_KEYS.removeprefix("(?i)") + r')(?:[^"\\]|\\.)*?"\s*:\s*)'
-    return F.regexp_replace(canonical(json), "(?i)" + key + r'("(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null)', '$1"[redacted]"')
+    @F.pandas_udf("string")
+    def work(texts: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                value = json.loads(text)
+            except (TypeError, ValueError, RecursionError):
+                return None
+            return json.dumps(_withheld(value, 0, depth), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+        return texts.map(one)
+    return work(json_text)

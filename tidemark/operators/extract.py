@@ -72,13 +72,12 @@ UNFINISHED = r"(?i)\b(?:TODO|FIXME|HACK|XXX|WORKAROUND|temporar|for now|do not (
 
 
 def detectors(body: Column) -> dict[str, Column]:
-    """Conditions under which a method's body deserves a look."""
+    """Conditions under which a method's body deserves a look. The patterns are fixed values too."""
     return {
         "swallowed-exception": body.rlike(r"\bcatch[ \t]*\([^)]*\)[ \t]*\{\s*\}|\bcatch[ \t]*\([^)]*\)[ \t]*\{(?:[^{};]*\b(?:log(?:ger)?|LOG|System\.err|System\.out)\b[^{};]*;\s*)+\}"),
         "time-dependence": body.rlike(CLOCKS) | body.rlike(SQL_CLOCKS),
-        "transaction-boundary": body.rlike(TRANSACTIONS),
+        "transaction-boundary-anomaly": body.rlike(TRANSACTIONS),
         "retry-without-idempotency": body.rlike(r"(?i)retry|retries|attempt|maxAttempts") & body.rlike(WRITES) & ~body.rlike(REPEATABLE),
-        "unchecked-cast": body.rlike(r"\(\s*(?:List|Map|Set|Collection)\s*<[^>]*>\s*\)\s*\w"),
         "magic-number": F.exists(F.regexp_extract_all(F.regexp_replace(body, r"\"(?:[^\"\\\n]|\\.)*\"", "\"\""), F.lit(r"(?:[<>=!]=?|\+|-|\*|/|%|return)[ \t]*(-?\d+(?:\.\d+)?)"), F.lit(1)), lambda n: ~n.isin("0", "1", "2", "-1", "10", "0.0", "1.0")),
         "misleading-comment": F.exists(F.regexp_extract_all(body, F.lit(r"(//[^\n]*|/\*[\s\S]*?\*/)"), F.lit(1)), lambda c: c.rlike(UNFINISHED)),
     }
@@ -147,7 +146,6 @@ def ddl_objects(sql: str) -> list[tuple[str, str, int, str, str, bool, int | Non
 
 
 _JAVA_MASK = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
-_JAVA_METHOD = re.compile(r"(?m)^[ \t]*((?:(?:public|protected|private|static|final|abstract|synchronized|default|native)\s+)*)(?:<[^>{}]*>\s+)?([\w.]+(?:<[^;{}()]*>)?(?:\[\])*)\s+(\w+)\s*\(([^(){};]*)\)\s*(?:throws\s+[\w., ]+)?\{")
 
 
 def masked(source: str) -> str:
@@ -155,42 +153,6 @@ def masked(source: str) -> str:
     return _JAVA_MASK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
 
 
-def java_methods(source: str) -> list[tuple[str, str, str, int, int]]:
-    """(name, return type, modifiers, first line, last line) of the methods with a body."""
-    m = masked(source)
-    out = []
-    for x in _JAVA_METHOD.finditer(m):
-        if x[2] in ("new", "return", "else", "throw"):
-            continue
-        depth, at = 0, x.end() - 1
-        for b in re.finditer(r"[{}]", m[at:]):
-            depth += 1 if b[0] == "{" else -1
-            if depth == 0:
-                at += b.start()
-                break
-        else:
-            continue
-        out.append((x[3], x[2], " ".join(x[1].split()), m.count("\n", 0, x.start(3)) + 1, m.count("\n", 0, at) + 1))
-    return out
-
-
-_ROUTE = re.compile(r"@(Get|Post|Put|Delete|Patch|Request)Mapping\s*\(?\s*(?:value\s*=\s*|path\s*=\s*)?(?:\"([^\"]*)\")?")
-
-
-def routes(source: str) -> list[tuple[str, str, int]]:
-    """(method, path, line) of mapped handlers, with the first class-level path in front."""
-    cls = re.search(r"\bclass\s+\w+", source)
-    base = ""
-    out = []
-    for m in _ROUTE.finditer(source):
-        if m[1] == "Request" and (cls is None or m.start() < cls.start()):
-            base = m[2] or ""
-            continue
-        path = re.sub("/{2,}", "/", f"/{base}/{m[2] or ''}").rstrip("/") or "/"
-        out.append(({"Request": "ANY"}.get(m[1], m[1].upper()), path, source.count("\n", 0, m.start()) + 1))
-    return out
-
-
 # Fixed value: names of settings whose values are withheld.
 SECRET_SETTINGS = re.compile(r"(?i)(password|passwd|secret|token|api[-_.]?key|credential|private[-_.]?key|access[-_.]?key)")
 

@@ -24,6 +24,44 @@ def chains(edges: DataFrame, starts: DataFrame, max_depth: int, confidence: Colu
     return out
 
 
+def support_chains(edges: DataFrame, goals: DataFrame, max_depth: int = 12) -> DataFrame:
+    """(goal, root, depth, path, strength): every simple path of edges into a vertex of ``goals``
+    (column id), followed back to a vertex that nothing leads to, or over ``max_depth`` edges.
+
+    ``path`` runs from the root to the goal; ``strength`` is the least ``conf`` of its edges, 1
+    where none is given. A way that could only go on in a circle is no chain, nor is a goal
+    alone. Repeated edges give repeated chains; null ends match nothing.
+    """
+    e = edges.select(F.col("src"), F.col("dst"), F.coalesce("conf", F.lit(1.0)).cast("double").alias("conf")).where("src is not null and dst is not null")
+    led = e.select(F.col("dst").alias("root")).distinct().withColumn("more", F.lit(True))
+    level = goals.select(F.col("id").alias("goal"), F.col("id").alias("root"), F.array("id").alias("path"), F.lit(1.0).alias("strength"))
+    out = None
+    for depth in range(1, max_depth + 1):
+        level = level.join(e, F.col("root") == F.col("dst")).where(~F.array_contains("path", F.col("src"))).select(
+            "goal", F.col("src").alias("root"), F.concat(F.array("src"), "path").alias("path"), F.least("strength", "conf").alias("strength"))
+        known = level.join(led, "root", "left")
+        done = (known if depth == max_depth else known.where("more is null")).select("goal", "root", F.lit(depth).alias("depth"), "path", "strength")
+        out = done if out is None else out.unionByName(done)
+        if depth < max_depth and depth % 4 == 0:
+            level = checkpointed(level)
+            if level.isEmpty():
+                break
+    return out
+
+
+def explained(chains: DataFrame, goals: DataFrame, claims: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, answered, chains, roots, unsupported, strength) of each goal: whether chains lead to it and every claim on them is supported.
+
+    ``claims`` (id) are the vertices that need support, which is any edge into them. Counts are
+    of chains, distinct roots and distinct claims without support; strength is that of the best chain.
+    """
+    bare = claims.select(F.col("id").alias("at")).distinct().join(edges.select(F.col("dst").alias("at")).distinct(), "at", "left_anti").withColumn("bare", F.lit(True))
+    on = chains.select("goal", F.explode("path").alias("at")).distinct().join(bare, "at", "left").groupBy("goal").agg(F.count("bare").alias("unsupported"))
+    sums = chains.groupBy("goal").agg(F.count("*").alias("chains"), F.count_distinct("root").alias("roots"), F.max("strength").alias("strength"))
+    rows = goals.select("id").distinct().join(sums.join(on, "goal").withColumnRenamed("goal", "id"), "id", "left").na.fill(0, ["chains", "roots", "unsupported"])
+    return rows.select("id", ((F.col("chains") > 0) & (F.col("unsupported") == 0)).alias("answered"), "chains", "roots", "unsupported", "strength")
+
+
 def breadth_first(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     """(start, id, depth): the vertices within ``max_depth`` edges of each start, with their least depth."""
     e = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
@@ -66,7 +104,7 @@ def strong_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             e = kept
         if e.isEmpty():
             break
-        colours = _least_reaching(e, max_rounds)
+        colours = _least_reaching(e)
         coloured = e.join(colours.select(F.col("id").alias("src"), F.col("colour").alias("cs")), "src").join(colours.select(F.col("id").alias("dst"), F.col("colour").alias("cd")), "dst").where("cs = cd")
         # backwards from the colour's vertex within the colour
         found = colours.where("id = colour")
@@ -84,31 +122,43 @@ def strong_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     else:
         raise RuntimeError(f"cycles did not settle in {max_rounds} rounds")
     if out is None:
-        return edges.sparkSession.createDataFrame([], "id bigint, component bigint")
+        return edges.select(F.col("src").alias("id"), F.col("src").alias("component")).where("false")
     sized = out.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
     return out.join(sized, "component", "left_semi").select("id", "component")
 
 
-def _least_reaching(e: DataFrame, max_rounds: int) -> DataFrame:
-    """(id, colour): the least vertex from which each vertex can be reached."""
+def _least_reaching(e: DataFrame) -> DataFrame:
+    """(id, colour): the least vertex from which each vertex can be reached.
+
+    A colour also takes the colour of its own vertex, which reaches further back, so that long paths settle in few rounds.
+    """
     ids = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
     colours = checkpointed(ids.withColumn("colour", F.col("id")))
     before = None
     while True:
         pushed = e.join(colours, e["src"] == colours["id"]).select(F.col("dst").alias("id"), "colour")
-        colours = checkpointed(colours.unionByName(pushed).groupBy("id").agg(F.min("colour").alias("colour")))
-        now = colours.agg(F.sum(F.col("colour").cast("decimal(38,0)"))).first()
+        step = colours.unionByName(pushed).groupBy("id").agg(F.min("colour").alias("colour"))
+        jump = step.select(F.col("id").alias("colour"), F.col("colour").alias("further"))
+        colours = checkpointed(step.join(jump, "colour").select("id", F.least("colour", "further").alias("colour")))
+        now = colours.agg(F.sum(F.xxhash64("id", "colour").cast("decimal(38,0)"))).first()
         if now == before:
             return colours
         before = now
 
 
-def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(issue, id): duplicate nodes, dangling edges, self-loops and nodes without any edge."""
+def integrity(nodes: DataFrame, edges: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """(issue, id): duplicate nodes and edges, dangling edges, self-loops, claims (id) that no edge leads to, nodes without any edge.
+
+    The id of an edge's issue is its source. Null ids and ends are no nodes."""
     known = nodes.select("id").where("id is not null")
     dup = known.groupBy("id").count().where("count > 1").select(F.lit("duplicate-node").alias("issue"), "id")
     ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
     dangling = ends.join(known, "id", "left_anti").select(F.lit("dangling-edge").alias("issue"), "id")
     loops = edges.where("src = dst").select(F.lit("self-loop").alias("issue"), F.col("src").alias("id")).distinct()
     orphan = known.distinct().join(ends, "id", "left_anti").select(F.lit("orphan").alias("issue"), "id")
-    return dup.unionByName(dangling).unionByName(loops).unionByName(orphan)
+    twice = edges.where("src is not null and dst is not null").groupBy("src", "dst").count().where("count > 1").select(F.lit("duplicate-edge").alias("issue"), F.col("src").alias("id"))
+    out = dup.unionByName(dangling).unionByName(loops).unionByName(orphan).unionByName(twice)
+    if claims is None:
+        return out
+    bare = claims.select("id").where("id is not null").distinct().join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+    return out.unionByName(bare.select(F.lit("unsupported-claim").alias("issue"), "id"))

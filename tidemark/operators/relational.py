@@ -96,15 +96,16 @@ def seen_before(df: DataFrame, key: str, raw: str) -> DataFrame:
     return df.join(first, F.col(raw) == F.col("_low"), "left").withColumn("dup", F.when(F.col("_first") < F.col(key), 1).otherwise(0)).drop("_low", "_first")
 
 
-def number_after(df: DataFrame, order: str, top: DataFrame, name: str, ranges: int = 64) -> DataFrame:
-    """Consecutive ids from ``top`` + 1 in an order, without a sort in one task: rows are counted
+def number_after(df: DataFrame, order: str | list[str], top: DataFrame | None, name: str, ranges: int = 64) -> DataFrame:
+    """Consecutive ids from ``top`` + 1 (1 where there is none) in an order, without a sort in one task: rows are counted
     in ranges of the order, and each range numbers its own rows from the count before it."""
-    ranged = stored(df.repartitionByRange(ranges, order).withColumn("_part", F.spark_partition_id()))  # ranges are sampled, so they are fixed here
+    order = [order] if isinstance(order, str) else order
+    ranged = stored(df.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()))  # ranges are sampled, so they are fixed here
     before = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = before.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # one row per range
-    start = top.select(F.coalesce(F.col(top.columns[0]), F.lit(0))).scalar()
+    start = F.lit(0) if top is None else top.select(F.coalesce(F.col(top.columns[0]), F.lit(0))).scalar()
     counted = before.select("_part", (F.col("_before") + start).alias("_before"))
-    numbered = ranged.withColumn("_rn", F.row_number().over(W.partitionBy("_part").orderBy(order)))
+    numbered = ranged.withColumn("_rn", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
     return numbered.join(counted, "_part").withColumn(name, F.col("_before") + F.col("_rn")).drop("_part", "_before", "_rn")
 
 

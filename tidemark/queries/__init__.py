@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import copies, differential, graphs, ledger, logs, more, scalars, sources, textrel  # noqa: F401
+from . import code, copies, differential, graphs, ledger, logs, more, roundtrips, scalars, sources, textrel  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 

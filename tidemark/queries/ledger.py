@@ -173,9 +173,9 @@ def newest_by_id(spark, sf):
     return ledger(spark, sf).select("id", "account_id").orderBy(F.desc("id"), "account_id").limit(1)
 
 
-@query("SELECT DISTINCT id, strftime(value_date, '%Y-%m-%d') AS value_date FROM ledger_entries ORDER BY value_date DESC NULLS LAST, id LIMIT 200")
+@query("SELECT DISTINCT id, strftime(value_date, '%Y-%m-%d') AS value_date FROM ledger_entries ORDER BY value_date DESC NULLS LAST, id")
 def nulls_last_order(spark, sf):
-    return ledger(spark, sf).select("id", F.date_format("value_date", "yyyy-MM-dd").alias("value_date")).distinct().orderBy(F.desc_nulls_last("value_date"), "id").limit(200)
+    return ledger(spark, sf).select("id", F.date_format("value_date", "yyyy-MM-dd").alias("value_date")).distinct().orderBy(F.desc_nulls_last("value_date"), "id")
 
 
 @query("SELECT entry_type, count(*) AS n FROM ledger_entries GROUP BY entry_type ORDER BY n DESC, entry_type")

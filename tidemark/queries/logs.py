@@ -247,6 +247,17 @@ def line_grep_capped_per_file(spark, sf):
     return ranked.select("file_id", (F.col("pos") + 1).cast("bigint").alias("line_no"))
 
 
-@query("SELECT p_brand, max(p_size) AS size FROM part GROUP BY p_brand HAVING count(*) > 3 ORDER BY p_brand")
-def severity_style_order(spark, sf):
-    return table(spark, sf, "part").groupBy("p_brand").agg(F.max("p_size").alias("size"), F.count("*").alias("n")).where("n > 3").select("p_brand", "size").orderBy("p_brand")
+_NAMES = ("zebra", "Zebra", "apple", "Apple", "äpfel", "apples", "Öl", "ol", "_x", "10", "9", "a-b", "ab")
+
+
+@query("SELECT * FROM (VALUES (1, '_x'), (2, '10'), (3, '9'), (4, 'a-b'), (5, 'ab'), (6, 'äpfel'), (7, 'apple'), (8, 'Apple'), (9, 'apples'), (10, 'ol'), (11, 'Öl'), (12, 'zebra'), (13, 'Zebra')) t(place, name)")
+def locale_order(spark, sf):
+    """Names in the order of a locale, where letters go before case and accents; code units would put Z before a."""
+    df = spark.createDataFrame([(n,) for n in _NAMES], "name string")
+    return df.select(F.row_number().over(W.orderBy(F.collate("name", "UNICODE"))).alias("place"), "name")
+
+
+@query("SELECT component, count(*) AS n FROM log_records WHERE component IS NOT NULL GROUP BY component")
+def components_in_locale_order(spark, sf):
+    """Counted names, sorted as a locale does."""
+    return table(spark, sf, "log_records").where("component is not null").groupBy("component").agg(F.count("*").alias("n")).orderBy(F.collate("component", "UNICODE"))

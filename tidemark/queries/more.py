@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from ..common import table
 from ..functions import jsons as J
 from ..operators import extract as E
 from ..operators import graph as G
+from ..operators import relational as R
 from .registry import query
 
 
@@ -76,15 +80,6 @@ def inventory_with_counts(spark, sf):
     return files(spark, sf).select("file_id").join(s, "file_id", "left").na.fill(0, ["spans"])
 
 
-@query("""WITH u AS (SELECT doc_id AS id, 0 AS src, source AS name FROM documents WHERE doc_id < 150 UNION ALL SELECT log_id, 1, component FROM log_records WHERE log_id < 150), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY src) AS rn FROM u) SELECT id, name FROM f WHERE rn = 1 ORDER BY src, id LIMIT 200""")
-def ordered_union_first_wins(spark, sf):
-    """Two lists one after the other, the first of each id, at most 200: a bound of the evidence list."""
-    a = table(spark, sf, "documents").where("doc_id < 150").select(F.col("doc_id").alias("id"), F.lit(0).alias("src"), F.col("source").alias("name"))
-    b = table(spark, sf, "log_records").where("log_id < 150").select(F.col("log_id").alias("id"), F.lit(1).alias("src"), F.col("component").alias("name"))
-    u = a.unionByName(b).withColumn("rn", F.row_number().over(W.partitionBy("id").orderBy("src"))).where("rn = 1")
-    return u.orderBy("src", "id").limit(200).select("id", "name")
-
-
 def first_wins(a, b):
     """At most 200 rows of two lists one after the other, the first of each id."""
     u = a.withColumn("src", F.lit(0)).unionByName(b.withColumn("src", F.lit(1)))
@@ -92,24 +87,12 @@ def first_wins(a, b):
     return first.orderBy("x.src", "id").limit(200).select("id", "x.name")
 
 
-@query("""WITH u AS (SELECT doc_id AS id, 0 AS src, source AS name FROM documents UNION ALL SELECT log_id, 1, component FROM log_records), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY src, name NULLS FIRST) AS rn FROM u) SELECT id, name FROM f WHERE rn = 1 ORDER BY src, id LIMIT 200""")
-def whole_union_first_wins(spark, sf):
-    """The union of ordered_union_first_wins over all rows of both tables; only the evidence list's bound of 200 is left."""
-    return first_wins(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name")), table(spark, sf, "log_records").select(F.col("log_id").alias("id"), F.col("component").alias("name")))
-
-
 @query("SELECT command_id, array_to_string(list_sort(list_distinct(list_filter(argv, lambda x: list_contains(['test', 'run', 'build', 'install'], x)))), ',') AS granted, least(coalesce(duration_ms, 60000), 60000) AS budget FROM command_results WHERE argv IS NOT NULL")
 def granted_and_budgets(spark, sf):
     allowed = F.array(*(F.lit(x) for x in ("test", "run", "build", "install")))
     return table(spark, sf, "command_results").where("argv is not null").select("command_id", F.array_join(F.array_sort(F.array_intersect("argv", allowed)), ",").alias("granted"), F.least(F.coalesce("duration_ms", F.lit(60000)), F.lit(60000)).alias("budget"))
 
 
-@query("SELECT command_id, row_number() OVER (ORDER BY started_at, command_id) AS place FROM command_results WHERE started_at IS NOT NULL ORDER BY place LIMIT 100")
-def history_in_order(spark, sf):
-    top = table(spark, sf, "command_results").where("started_at is not null").select("command_id", "started_at").orderBy("started_at", "command_id").limit(100)  # a page of the history
-    return top.select("command_id", F.row_number().over(W.orderBy("started_at", "command_id")).cast("bigint").alias("place"))
-
-
 @query("SELECT run_id, count(DISTINCT lower(log_level)) AS levels, count(*) FILTER (WHERE lower(log_level) = 'error') AS errors, count(*) FILTER (WHERE lower(log_level) = 'warn') AS warnings FROM log_records WHERE run_id IS NOT NULL GROUP BY run_id")
 def stage_record_map(spark, sf):
     per = table(spark, sf, "log_records").where("run_id is not null and log_level is not null").groupBy("run_id", F.lower("log_level").alias("level")).agg(F.count("*").alias("n"))
@@ -129,18 +112,6 @@ def trivial_accessors(spark, sf):
     return table(spark, sf, "java_methods").where(F.trim("body", F.lit(" \t\n\r")).rlike(r"^(?:return (?:this\.)?\w+;|this\.\w+ = \w+;)$")).select("method_id")
 
 
-@query()
-def dependency_edges(spark, sf):
-    java = files(spark, sf).where(F.lower("file_path").endswith(".java"))
-    edges = E.extracted(java, "file_id", ["file_content"], E.imports, "src string, dst string")
-    return edges.groupBy("src", "dst").agg(F.count("*").alias("files"))
-
-
-@query()
-def dependency_hotspots(spark, sf):
-    return G.hotspots(dependency_edges(spark, sf).select("src", "dst"))
-
-
 @query()
 def scheduled_jobs(spark, sf):
     java = files(spark, sf).where(F.lower("file_path").endswith(".java"))
@@ -157,19 +128,6 @@ def json_found_in_text(spark, sf):
     return E.extracted(table(spark, sf, "command_results"), "command_id", ["stdout"], E.json_in_prose, "json string")
 
 
-@query("SELECT file_id, length(file_content) AS n FROM model_files WHERE lower(file_path) LIKE '%.java' AND file_content IS NOT NULL")
-def masked_sources(spark, sf):
-    """Strings and comments blanked; the length does not change."""
-    java = files(spark, sf).where(F.lower("file_path").endswith(".java"))
-    return E.extracted(java, "file_id", ["file_content"], lambda t: [(len(E.masked(t)),)], "n bigint")
-
-
-@query()
-def redacted_settings(spark, sf):
-    f = files(spark, sf).where(F.lower("file_path").endswith(".json") & F.col("file_content").isNotNull())
-    return f.select(J.redact_keys(F.col("file_content")).alias("r")).agg(F.count("*").alias("n"), F.count("r").alias("parsed"))
-
-
 @query()
 def flattened_json_settings(spark, sf):
     """(file_id, path, value, secret) of every leaf of JSON settings; values under secret names are withheld."""
@@ -179,18 +137,76 @@ def flattened_json_settings(spark, sf):
     return leaves.select("file_id", "path", F.when(~secret, F.to_json("value")).alias("value"), secret.alias("secret"))
 
 
-@query("SELECT n_nationkey AS id, n_nationkey IN (SELECT c_nationkey FROM customer) AS answered, (SELECT count(DISTINCT c_mktsegment) FROM customer WHERE c_nationkey = n_nationkey) AS roots FROM nation")
-def explained_claims(spark, sf):
-    roots = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.count_distinct("c_mktsegment").alias("roots"))
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id")).join(roots, "id", "left")
-    return n.select("id", F.col("roots").isNotNull().alias("answered"), F.coalesce("roots", F.lit(0)).alias("roots"))
-
-
 @query("SELECT id, name, CAST(amount AS DOUBLE) AS amount FROM (VALUES (1, 'a', 10.5), (2, NULL, -3.25), (3, 'c', NULL)) v(id, name, amount)")
 def inline_rows(spark, sf):
     return spark.sql("SELECT id, name, CAST(amount AS DOUBLE) AS amount FROM VALUES (1, 'a', 10.5), (2, NULL, -3.25), (3, 'c', NULL) AS v(id, name, amount)")
 
 
-@query("SELECT mktsegment, total FROM (SELECT c_mktsegment AS mktsegment, count(*) AS total FROM customer GROUP BY c_mktsegment) WHERE total > 0")
+@query("""WITH u AS (SELECT doc_id AS id, 0 AS src, source AS name FROM documents UNION ALL SELECT log_id, 1, component FROM log_records), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY src, name NULLS FIRST) AS rn FROM u) SELECT id, name FROM f WHERE rn = 1 ORDER BY src, id LIMIT 200""")
+def ordered_union_first_wins(spark, sf):
+    """Two lists one after the other, over all rows, the first of each id, at most 200: the bound of the evidence list."""
+    return first_wins(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name")), table(spark, sf, "log_records").select(F.col("log_id").alias("id"), F.col("component").alias("name")))
+
+
+@query("SELECT command_id, row_number() OVER (ORDER BY started_at, command_id) AS place FROM command_results WHERE started_at IS NOT NULL")
+def history_in_order(spark, sf):
+    """The place of each command in the whole history; places come from sorted ranges, not from one task."""
+    return R.number_after(table(spark, sf, "command_results").where("started_at is not null").select("command_id", "started_at"), ["started_at", "command_id"], None, "place").select("command_id", "place")
+
+
+_CODE = r"""//[^\n]*|/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|''(?:[^''\\\n]|\\.)*''"""
+
+
+@query(rf"SELECT file_id, length(file_content) AS n, md5(regexp_replace(regexp_replace(file_content, '{_CODE}', '', 'g'), '[ \t\n\r\f]+', '', 'g')) AS code FROM model_files WHERE lower(file_path) LIKE '%.java' AND file_content IS NOT NULL")
+def masked_sources(spark, sf):
+    """Strings and comments blanked: the length stays, and what is left but white space is the code."""
+    java = files(spark, sf).where(F.lower("file_path").endswith(".java"))
+    def one(text):
+        m = E.masked(text)
+        return [(len(m), hashlib.md5(re.sub(r"[ \t\n\r\f]+", "", m).encode("utf-8", "surrogatepass")).hexdigest())]
+    return E.extracted(java, "file_id", ["file_content"], one, "n bigint, code string")
+
+
+@query()
+def redacted_settings(spark, sf):
+    """JSON files with the values of secret-named keys replaced at any level."""
+    f = files(spark, sf).where(F.lower("file_path").endswith(".json") & F.col("file_content").isNotNull())
+    return f.select("file_id", J.redacted(F.col("file_content")).alias("redacted")).where("redacted is not null")
+
+
+_SECRETS = [
+    (1, '{"user": "x", "password": "hunter22", "n": 1}', '{"n":1,"password":"hunt***redacted***","user":"x"}'),
+    (2, '{"a": {"apiKey": 12, "b": [{"client_secret": null}, 3]}, "Authorization": {"x": 1}}', '{"Authorization":"***redacted***","a":{"apiKey":"***redacted***","b":[{"client_secret":"***redacted***"},3]}}'),
+    (3, '["token", {"token": ["a"], "say": "the \\"password\\": 1"}]', '["token",{"say":"the \\"password\\": 1","token":"***redacted***"}]'),
+    (4, '{"a":{"a":{"a":{"a":{"a":{"a":{"a":{"a":{"a":1}}}}}}}}}', '{"a":{"a":{"a":{"a":{"a":{"a":{"a":{"a":{"a":"[truncated]"}}}}}}}}}'),
+    (5, '"plain"', '"plain"'), (6, "no json", None), (7, None, None),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + str(i) + ", " + ("NULL" if w is None else "'" + w + "'") + ")" for i, _, w in _SECRETS) + ") t(id, redacted)")
+def redacted_values(spark, sf):
+    """Redaction by key on texts whose result is known: strings keep four characters, objects and lists under a secret name go whole, beyond eight levels all is cut."""
+    rows = spark.createDataFrame([(i, t) for i, t, _ in _SECRETS], "id int, text string")
+    return rows.select("id", J.redacted(F.col("text")).alias("redacted"))
+
+
+@query("SELECT repository, count(*) AS total, count(*) FILTER (WHERE verb NOT IN ('select', 'unknown')) AS captured, CAST(coalesce(sum(len(tables_used)), 0) AS BIGINT) AS assertions, count(*) FILTER (WHERE writes) AS defects FROM sql_statements GROUP BY repository")
 def assertions_totals(spark, sf):
-    return table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("mktsegment")).agg(F.count("*").alias("total")).where("total > 0")
+    """Totals of a suite: cases, those whose status is none of two, the sizes of their lists, those that are flagged."""
+    s = table(spark, sf, "sql_statements")
+    size = F.when(F.col("tables_used").isNotNull(), F.size("tables_used"))
+    return s.groupBy("repository").agg(F.count("*").alias("total"), F.count_if(~F.col("verb").isin("select", "unknown")).alias("captured"), F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("assertions"), F.count_if("writes").alias("defects"))
+
+
+@query(rf"""WITH j AS (SELECT file_id, regexp_extract(file_content, '(?m)^\s*package\s+([\w.]+)\s*;', 1) AS p, regexp_extract(regexp_replace(file_content, '{_CODE}', ' ', 'g'), '\b(?:class|interface|enum|record)\s+(\w+)', 1) AS c, list_distinct(regexp_extract_all(file_content, '(?m)^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;', 1)) AS i FROM model_files WHERE lower(file_path) LIKE '%.java'),
+  u AS (SELECT file_id, CASE WHEN p = '' THEN c ELSE p || '.' || c END AS src, unnest(i) AS dst FROM j WHERE c <> '') SELECT src, dst, count(*) AS files FROM u GROUP BY ALL""")
+def dependency_edges(spark, sf):
+    """Imports by class, over all repositories; the graph of all kinds is dependency_graph_edges."""
+    java = files(spark, sf).where(F.lower("file_path").endswith(".java"))
+    edges = E.extracted(java, "file_id", ["file_content"], E.imports, "src string, dst string")
+    return edges.groupBy("src", "dst").agg(F.count("*").alias("files"))
+
+
+@query()
+def dependency_hotspots(spark, sf):
+    return G.hotspots(dependency_edges(spark, sf).select("src", "dst"))

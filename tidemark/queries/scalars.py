@@ -136,19 +136,14 @@ def joined_paths(spark, sf):
     return table(spark, sf, "model_files").where("file_path is not null and not endswith(file_path, '/')").select("file_id", T.join_path(c("repository"), F.concat(F.lit("//"), c("file_path"))).alias("full_path"))
 
 
-@query("SELECT file_id, array_to_string(list_distinct(regexp_extract_all(file_content, '\\{\\{\\s*([A-Za-z_][\\w.]*)\\s*\\}\\}', 1)), ',') AS names FROM model_files WHERE contains(file_content, '{{') AND len(list_distinct(regexp_extract_all(file_content, '\\{\\{\\s*([A-Za-z_][\\w.]*)\\s*\\}\\}', 1))) = 1")
-def template_names(spark, sf):
-    return table(spark, sf, "model_files").where(F.contains("file_content", F.lit("{{"))).select("file_id", T.template_variables(c("file_content")).alias("v")).where(F.size("v") == 1).select("file_id", F.array_join("v", ",").alias("names"))
-
-
 def all_names(files):
     """(file_id, names) of every file with a template variable, these in order."""
     return files.select("file_id", T.template_variables(c("file_content")).alias("v")).where(F.size("v") > 0).select("file_id", F.array_join("v", ",").alias("names"))
 
 
 @query("SELECT file_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS names FROM (SELECT file_id, regexp_extract_all(file_content, '\\{\\{\\s*([A-Za-z_][\\w.]*)\\s*\\}\\}', 1) AS l FROM model_files) WHERE len(l) > 0")
-def all_template_names(spark, sf):
-    """template_names without its bound of one variable a file."""
+def template_names(spark, sf):
+    """The variables of every file that has one, in order of their first use."""
     return all_names(table(spark, sf, "model_files"))
 
 
@@ -162,19 +157,14 @@ def counted_labels(spark, sf):
     return table(spark, sf, "documents").where("source is not null").groupBy("source").agg(T.counted(F.count("*"), "document").alias("shown"))
 
 
-@query("SELECT file_id, array_to_string(list_distinct(regexp_extract_all(file_content, '((?:[\\w.-]+/)+[\\w.-]+\\.\\w+)', 1)), ' ') AS paths FROM model_files WHERE len(list_distinct(regexp_extract_all(file_content, '((?:[\\w.-]+/)+[\\w.-]+\\.\\w+)', 1))) = 1")
-def paths_cited(spark, sf):
-    return table(spark, sf, "model_files").select("file_id", T.cited_paths(c("file_content")).alias("p")).where(F.size("p") == 1).select("file_id", F.array_join("p", " ").alias("paths"))
-
-
 def all_paths(files):
     """(file_id, paths) of every file that cites a path, the first eight in order."""
     return files.select("file_id", T.cited_paths(c("file_content")).alias("p")).where(F.size("p") > 0).select("file_id", F.array_join("p", " ").alias("paths"))
 
 
 @query("SELECT file_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:8], ' ') AS paths FROM (SELECT file_id, regexp_extract_all(file_content, '((?:[\\w.-]+/)+[\\w.-]+\\.\\w+)', 1) AS l FROM model_files) WHERE len(l) > 0")
-def all_paths_cited(spark, sf):
-    """paths_cited without its bound of one path a file; eight a file is the bound of the feature."""
+def paths_cited(spark, sf):
+    """The paths that each file cites, in order, the first eight: the bound of the feature."""
     return all_paths(table(spark, sf, "model_files"))
 
 

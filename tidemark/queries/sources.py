@@ -96,11 +96,19 @@ def successful_predecessors(spark, sf):
 @query("SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def streamed_daily_counts(spark, sf):
     """A stream over the event files, read to its end, with a tumbling window."""
-    out = stream.drain(stream.daily_counts(stream.open_parquet(spark, f"{sf}/events.parquet")), "streamed_daily_counts", "complete")
+    out = stream.drain(stream.daily_counts(stream.open_parquet(spark, f"{sf}/events.parquet")), "streamed_daily_counts", "update", ["day", "event_type"])
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-@query("SELECT count(DISTINCT user_id || event_type) AS kept FROM events")
+@query("SELECT DISTINCT user_id, event_type FROM events")
 def streamed_first_per_key(spark, sf):
     once = stream.first_per_key(stream.open_parquet(spark, f"{sf}/events.parquet"), ["user_id", "event_type"])
-    return stream.drain(once.select("user_id", "event_type"), "streamed_first_per_key", "append").agg(F.count("*").alias("kept"))
+    return stream.drain(once.select("user_id", "event_type"), "streamed_first_per_key", "append")
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE user_id IS NOT NULL), n AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+  SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS events FROM n GROUP BY user_id, k""")
+def streamed_sessions(spark, sf):
+    """A stream of events as sessions of each user, which end after thirty quiet minutes."""
+    out = stream.drain(stream.sessions(stream.open_parquet(spark, f"{sf}/events.parquet").where("user_id is not null")), "streamed_sessions", "complete")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("started"), "events")

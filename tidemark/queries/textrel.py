@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..common import table
 from ..operators import extract as E
+from ..operators import quotes as Q
 from ..operators.components import connected_components
 from ..operators.similarity import bigrams, contained_pairs
 from .registry import query
@@ -48,25 +49,17 @@ def database_access(spark, sf):
     return table(spark, sf, "java_methods").where("body is not null").select("method_id", E.access_mechanism(F.col("body")).alias("mechanism"))
 
 
-@query("""SELECT method_id, unnest(list_filter([CASE WHEN regexp_matches(body, '\\bcatch[ \\t]*\\([^)]*\\)[ \\t]*\\{\\s*\\}') OR regexp_matches(body, '\\bcatch[ \\t]*\\([^)]*\\)[ \\t]*\\{([^{};]*\\b(log(ger)?|LOG|System\\.err|System\\.out)\\b[^{};]*;\\s*)+\\}') THEN 'swallowed-exception' END,
-  CASE WHEN regexp_matches(body, '(?i)retry|retries|attempt') AND regexp_matches(body, '(?i)\\.(insert|update|delete|save|persist|executeUpdate|execute|send|post|create)\\w*\\s*\\(|\\b(INSERT|UPDATE|DELETE)\\s+') AND NOT regexp_matches(body, '(?i)idempoten|dedup|duplicate[-_ ]?key|already[-_ ]?processed') THEN 'retry-without-idempotency' END,
-  CASE WHEN len(list_filter(regexp_extract_all(body, '(//[^\n]*|/\\*(?:[^*]|\\*+[^*/])*\\*+/)', 1), lambda c: regexp_matches(c, '(?i)\\b(TODO|FIXME|HACK|XXX|WORKAROUND|temporar|for now|do not (remove|delete|touch)|nobody knows|don''?t ask)\\b'))) > 0 THEN 'misleading-comment' END], lambda x: x IS NOT NULL)) AS finding FROM java_methods""")
-def suspicious_code(spark, sf):
-    found = table(spark, sf, "java_methods").where("body is not null").select("method_id", F.explode(E.suspicious(F.col("body"))).alias("finding"))
-    return found.where(F.col("finding").isin("swallowed-exception", "retry-without-idempotency", "misleading-comment"))
-
-
-@query()
-def suspicious_code_all(spark, sf):
-    return table(spark, sf, "java_methods").where("body is not null").select("method_id", F.explode(E.suspicious(F.col("body"))).alias("finding"))
-
-
 @query()
 def external_dependencies(spark, sf):
-    """Uses of other systems in masked Java, with the first eight files of each, a bound of the report."""
-    java = table(spark, sf, "model_files").where(F.lower("file_path").endswith(".java"))
-    uses = E.extracted(java, "file_id", ["file_content"], E.external_uses, "name string, kind string, nondeterministic boolean, line bigint")
-    return uses.withColumn("rn", F.row_number().over(W.partitionBy("name").orderBy("file_id"))).where("rn <= 8").drop("rn")
+    """Other systems that masked Java uses, with the first eight files of each, and those that settings name by address, with the first four: bounds of the report."""
+    files = table(spark, sf, "model_files")
+    java = files.where(F.lower("file_path").endswith(".java"))
+    uses = E.extracted(java, "file_id", ["file_content"], E.external_uses, "name string, kind string, nondeterministic boolean, line bigint").withColumn("key", F.lit(None).cast("string")).withColumn("most", F.lit(8))
+    value = F.coalesce("value", F.lit(""))
+    named = configuration_settings(spark, sf).withColumn("name", F.when(value.rlike("^jdbc:"), "jdbc-url").when(value.rlike("^https?://") & ~value.rlike(r"localhost|127\.0\.0\.1"), "external-http-service")).where("name is not null")
+    named = named.select("file_id", "name", F.when(F.col("name") == "jdbc-url", "database").otherwise("network").alias("kind"), (F.col("name") != "jdbc-url").alias("nondeterministic"), F.lit(None).cast("bigint").alias("line"), "key", F.lit(4).alias("most"))
+    rows = uses.unionByName(named).withColumn("rn", F.row_number().over(W.partitionBy("name").orderBy("file_id", "key")))
+    return rows.where("rn <= most").drop("rn", "most")
 
 
 @query()
@@ -81,18 +74,6 @@ def schema_objects(spark, sf):
     return E.extracted(files, "file_id", ["file_content"], E.ddl_objects, "kind string, name string, line bigint, column string, type string, nullable boolean, precision bigint")
 
 
-@query()
-def java_outline(spark, sf):
-    files = table(spark, sf, "model_files").where(F.lower("file_path").endswith(".java"))
-    return E.extracted(files, "file_id", ["file_content"], E.java_methods, "name string, returns string, modifiers string, line bigint, end_line bigint")
-
-
-@query()
-def mapped_routes(spark, sf):
-    files = table(spark, sf, "model_files").where(F.lower("file_path").endswith(".java"))
-    return E.extracted(files, "file_id", ["file_content"], E.routes, "method string, path string, line bigint")
-
-
 @query()
 def configuration_settings(spark, sf):
     files = table(spark, sf, "model_files").where(F.lower("file_path").rlike(r"\.(properties|ini|ya?ml)$"))
@@ -130,13 +111,6 @@ def duplicated_calculation_groups(spark, sf):
     return members.join(links, "rep", "left").join(groups, "rep", "left").select("id", "rep", F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"), "similarity")
 
 
-@query("""SELECT s.statement_id, m.method_id FROM sql_statements s JOIN java_methods m ON m.repository = s.repository AND s.line_no BETWEEN m.line_no AND m.end_line""")
-def range_join_lines(spark, sf):
-    s = statements(spark, sf).select("statement_id", "repository", F.col("line_no").alias("at"))
-    m = table(spark, sf, "java_methods").select("method_id", "repository", "line_no", "end_line")
-    return range_join(s, m, "repository", "at", "line_no", "end_line").select("statement_id", "method_id")
-
-
 def range_join(points, spans, key, at, lo, hi, width: int = 32):
     """Points within spans of the same key, by an equi-join on cells of ``width`` that a span covers."""
     cells = spans.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
@@ -182,14 +156,6 @@ def keyword_matches(spark, sf):
     return items.join(hits, "item_id", "left").select("item_id", F.coalesce("docs", F.lit(0)).alias("docs"), F.col("docs").isNotNull().alias("found"))
 
 
-@query("""WITH q AS (SELECT DISTINCT file_id, literal_value AS quote FROM source_spans WHERE length(literal_value) >= 40), r AS (SELECT a.file_id, a.quote, b.file_id AS other, row_number() OVER (PARTITION BY a.file_id, a.quote ORDER BY b.file_id) AS rn FROM q a JOIN q b ON a.quote = b.quote AND a.file_id <> b.file_id) SELECT file_id, quote, other FROM r WHERE rn <= 3""")
-def quotes_found_elsewhere(spark, sf):
-    """Up to three other files that hold a quoted literal, ranked by id before the join so that no group is paired with itself."""
-    q = table(spark, sf, "source_spans").where(F.length("literal_value") >= 40).select("file_id", F.col("literal_value").alias("quote")).distinct()
-    first = q.withColumn("rn", F.row_number().over(W.partitionBy("quote").orderBy("file_id"))).where("rn <= 4").groupBy("quote").agg(F.array_sort(F.collect_list("file_id")).alias("ids"))
-    return q.join(first, "quote").select("file_id", "quote", F.explode(F.slice(F.filter("ids", lambda i: i != F.col("file_id")), 1, 3)).alias("other"))
-
-
 @query("""SELECT s.span_id, CASE WHEN f.file_id IS NULL THEN 'file-missing' WHEN s.end_pos > length(f.file_content) THEN 'out-of-range' WHEN substr(f.file_content, CAST(s.start_pos + 1 AS INTEGER), CAST(s.end_pos - s.start_pos AS INTEGER)) = coalesce(s.raw_text, s.comment_text) THEN 'matched'
   WHEN contains(f.file_content, coalesce(s.raw_text, s.comment_text)) THEN 'relocated' ELSE 'drifted' END AS verdict FROM source_spans s LEFT JOIN model_files f ON f.file_id = s.file_id""")
 def citation_recheck(spark, sf):
@@ -218,9 +184,11 @@ def stores_by_repository(spark, sf):
     return statements(spark, sf).select("repository", F.explode("tables_used").alias("t")).groupBy("repository").agg(F.array_join(F.array_sort(F.collect_set("t")), ",").alias("stores"))
 
 
-@query("""WITH r AS (SELECT repository, relative_path, method_name, count(*) AS n FROM java_methods GROUP BY ALL) SELECT repository, relative_path, method_name, n FROM r WHERE n > 1""")
+@query("""SELECT repository, method_name, count(*) AS n, count(DISTINCT relative_path) AS files FROM java_methods WHERE method_name IS NOT NULL GROUP BY repository, method_name HAVING count(*) > 1""")
 def colliding_names(spark, sf):
-    return table(spark, sf, "java_methods").groupBy("repository", "relative_path", "method_name").agg(F.count("*").alias("n")).where("n > 1")
+    """Names that are declared more than once in a repository, and in how many files."""
+    per = table(spark, sf, "java_methods").where("method_name is not null").groupBy("repository", "method_name").agg(F.count("*").alias("n"), F.count_distinct("relative_path").alias("files"))
+    return per.where("n > 1")
 
 
 @query("""WITH l AS (SELECT file_id, unnest(string_split(file_content, chr(10))) AS line, generate_subscripts(string_split(file_content, chr(10)), 1) AS pos FROM model_files WHERE lower(file_path) LIKE '%.yaml')
@@ -229,3 +197,40 @@ def line_windows(spark, sf):
     lines = table(spark, sf, "model_files").where(F.lower("file_path").endswith(".yaml")).select("file_id", F.posexplode(F.split("file_content", "\n")).alias("pos", "line"))
     w = W.partitionBy("file_id").orderBy("pos").rowsBetween(0, 2)
     return lines.select("file_id", (F.col("pos") + 1).cast("bigint").alias("first"), F.array_join(F.collect_list("line").over(w), "|").alias("three"))
+
+
+_CATCH = r"\bcatch[ \t]*\([^)]*\)[ \t]*\{\s*\}"
+_ONLY_LOGS = r"\bcatch[ \t]*\([^)]*\)[ \t]*\{([^{};]*\b(log(ger)?|LOG|System\.err|System\.out)\b[^{};]*;\s*)+\}"
+
+
+def _quoted(pattern):
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+@query(rf"""SELECT method_id, unnest(list_filter([CASE WHEN regexp_matches(body, {_quoted(_CATCH)}) OR regexp_matches(body, {_quoted(_ONLY_LOGS)}) THEN 'swallowed-exception' END,
+  CASE WHEN regexp_matches(body, {_quoted(E.CLOCKS)}) OR regexp_matches(body, {_quoted(E.SQL_CLOCKS)}) THEN 'time-dependence' END,
+  CASE WHEN regexp_matches(body, {_quoted(E.TRANSACTIONS)}) THEN 'transaction-boundary-anomaly' END,
+  CASE WHEN regexp_matches(body, '(?i)retry|retries|attempt') AND regexp_matches(body, {_quoted(E.WRITES)}) AND NOT regexp_matches(body, {_quoted(E.REPEATABLE)}) THEN 'retry-without-idempotency' END,
+  CASE WHEN len(list_filter(regexp_extract_all(regexp_replace(body, '"(?:[^"\\\n]|\\.)*"', '""', 'g'), '(?:[<>=!]=?|\+|-|\*|/|%|return)[ \t]*(-?\d+(?:\.\d+)?)', 1), lambda n: n NOT IN ('0', '1', '2', '-1', '10', '0.0', '1.0'))) > 0 THEN 'magic-number' END,
+  CASE WHEN len(list_filter(regexp_extract_all(body, '(//[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/)', 1), lambda c: regexp_matches(c, {_quoted(E.UNFINISHED)}))) > 0 THEN 'misleading-comment' END], lambda x: x IS NOT NULL)) AS finding FROM java_methods""")
+def suspicious_code(spark, sf):
+    """The detectors that need a method's body alone; those that need the file or the repository are in code_findings."""
+    return table(spark, sf, "java_methods").where("body is not null").select("method_id", F.explode(E.suspicious(F.col("body"))).alias("finding"))
+
+
+@query("""SELECT c.span_id AS comment, l.span_id AS literal FROM source_spans c JOIN source_spans l ON l.file_id = c.file_id AND l.origin = 'literal' AND c.line_no BETWEEN l.line_no AND l.line_no + 20 WHERE c.origin = 'comment'""")
+def range_join_lines(spark, sf):
+    """Comments on the twenty lines from a literal of the same file on."""
+    s = table(spark, sf, "source_spans")
+    points = s.where("origin = 'comment'").select("file_id", F.col("span_id").alias("comment"), F.col("line_no").alias("at"))
+    spans = s.where("origin = 'literal'").select("file_id", F.col("span_id").alias("literal"), F.col("line_no").alias("lo"), (F.col("line_no") + 20).alias("hi"))
+    return range_join(points, spans, "file_id", "at", "lo", "hi").select("comment", "literal")
+
+
+@query(f"""WITH q AS (SELECT DISTINCT file_id, x AS quote FROM (SELECT file_id, trim(regexp_replace(unnest([literal_value, comment_text]), '[ \t\n\r\f]+', ' ', 'g')) AS x FROM source_spans) WHERE length(x) >= {Q.SHORTEST}), d AS (SELECT DISTINCT quote FROM q),
+  h AS (SELECT quote, m.file_id AS other FROM d JOIN (SELECT file_id, regexp_replace(file_content, '[ \t\n\r\f]+', ' ', 'g') AS c FROM model_files) m ON contains(m.c, quote)), r AS (SELECT q.file_id, q.quote, other, row_number() OVER (PARTITION BY q.file_id, q.quote ORDER BY other) AS rn FROM q JOIN h ON h.quote = q.quote AND other <> q.file_id) SELECT file_id, quote, other FROM r WHERE rn <= 3""")
+def quotes_found_elsewhere(spark, sf):
+    """Up to three other files that hold the text of a literal or comment anywhere, white space aside; three is the bound of the hint."""
+    plain = lambda c: F.regexp_replace(c, r"[ \t\n\r\f]+", " ")
+    s = table(spark, sf, "source_spans").select("file_id", F.explode(F.array("literal_value", "comment_text")).alias("quote")).where("quote is not null")
+    return Q.held_elsewhere(s.withColumn("quote", F.trim(plain("quote"))), table(spark, sf, "model_files").select("file_id", plain("file_content").alias("content")))
