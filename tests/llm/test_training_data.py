@@ -389,6 +389,15 @@ def test_mix_meets_its_budgets(spark):
             assert (r.uses - 1) * r.tokens < r.used_tokens <= r.uses * r.tokens
         assert len({(r.mix_name, r.doc_id) for r in out}) == len(out)
         assert {k: v for k, v in used.items()} == {("m", "a"): int(0.5 * total), ("m", "b"): int(0.3 * total), ("m", "c"): int(0.2 * total), ("n", "a"): size["a"]}
+        # the documents in the order of their keys, and the cut worked out one by one
+        keys = {r.doc_id: r.k for r in counts.select("doc_id", F.xxhash64("doc_id", F.lit(7)).alias("k")).collect()}
+        for source, rest in (("a", int(0.5 * total) % size["a"]), ("b", int(0.3 * total) % size["b"])):
+            left, want = rest, {}
+            for i, _, n in sorted((r for r in rows if r[1] == source), key=lambda r: (keys[r[0]], r[0])):
+                want[i] = min(n, max(0, left))
+                left -= n
+            whole = int({"a": 0.5, "b": 0.3}[source] * total) // size[source]
+            assert {r.doc_id: r.used_tokens - whole * r.tokens for r in out if (r.mix_name, r.source_name) == ("m", source)} == {i: x for i, x in want.items() if x or whole}
     part = mixing.mix(counts, targets, total_tokens=100, ranges=16)
     assert part.where("mix_name = 'm'").agg(F.sum("used_tokens")).first()[0] == 100
     report = {(r.mix_name, r.source_name): r.actual_share for r in mixing.shares(counts, targets).collect()}

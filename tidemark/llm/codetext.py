@@ -132,6 +132,8 @@ def language(auto: ahocorasick.Automaton, text: str) -> tuple[str, int] | None:
             continue
         if sum(bool(_INNER_UPPER.search(w)) for w in words) * 3 > len(words):
             continue
+        if len(stretch.split()) * 2 < len(words):  # words that dots or strokes join are a name
+            continue
         score, hits = votes(auto, stretch)
         if not hits:
             continue
@@ -161,7 +163,7 @@ def span_languages(spans: DataFrame) -> DataFrame:
     """(span_id, file_id, lang, words, chars) of the spans that hold natural language.
 
     ``spans`` has span_id, file_id, comment_text, literal_value and raw_text. One pass over each
-    span, no shuffle. Spans without text, code, names and lists give no row; a span of several
+    span, no shuffle; ``chars`` are those that it takes up in the file, without quotes. Spans without text, code, names and lists give no row; a span of several
     languages has that of most of its words, of equals the first by code.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,8 +177,9 @@ def span_languages(spans: DataFrame) -> DataFrame:
                     out.append((sid, None if pd.isna(fid) else int(fid), found[0], found[1], chars))
             yield pd.DataFrame(out, columns=["span_id", "file_id", "lang", "words", "chars"])
 
+    inner = F.regexp_replace("raw_text", r"^(\"\"\"|'''|[\"'`])([\s\S]*)\1$", "$2")  # as it stands in the file, escapes and all, without its quotes
     held = spans.where("span_id is not null and (comment_text is not null or literal_value is not null)").select(
-        "span_id", "file_id", "comment_text", "literal_value", "raw_text", F.length(F.coalesce("comment_text", "literal_value")).cast("bigint").alias("chars"))
+        "span_id", "file_id", "comment_text", "literal_value", "raw_text", F.length(F.coalesce("comment_text", inner, "literal_value")).cast("bigint").alias("chars"))
     return spread(held).mapInPandas(run, "span_id bigint, file_id bigint, lang string, words int, chars bigint")
 
 

@@ -7,7 +7,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,8 +18,8 @@ TOKENIZER_DIR = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which this vocabulary's tokenizer cuts a text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Ranges of the key space in each source. Sums per range make the prefix sums; only the range with the cut is sorted.
-RANGES = 1024
+#: Documents for each range of the hash keys. Sums per range make the prefix sums; only the range with the cut is sorted.
+RANGE_DOCS, LEAST_RANGES = 100_000, 1024
 
 
 def encoding(path: str):
@@ -45,16 +45,27 @@ def token_counts(documents: DataFrame, vocabulary: str | None = None) -> DataFra
     return spread(held).mapInPandas(run, "doc_id bigint, source string, tokens bigint").where("tokens > 0")
 
 
-def plan(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, ranges: int = RANGES) -> tuple[DataFrame, DataFrame]:
+def ranges_for(counts: DataFrame) -> int:
+    """Ranges for a stored table of counts: they grow with the documents, so that none does."""
+    return max(LEAST_RANGES, counts.count() // RANGE_DOCS)
+
+
+def _slot(key: Column, ranges: int) -> Column:
+    """The range of a key when the whole space of hashes is cut into the next power of two above ``ranges``, in ascending order."""
+    bits = (ranges - 1).bit_length()
+    return F.shiftrightunsigned(key.bitwiseXOR(F.lit(-(1 << 63))), 64 - bits) if bits else F.lit(0).cast("bigint")
+
+
+def plan(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, ranges: int = LEAST_RANGES) -> tuple[DataFrame, DataFrame]:
     """(budgets, ranges table) of each mix.
 
     Without ``total_tokens`` a mix is made as large as its scarcest source allows: the least of
     size x max_repeats / share. With it, no mix is larger than that. Sources of a mix without
     any document make its size 0.
     """
-    keyed = counts.withColumn("slot", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(ranges)))
+    keyed = counts.withColumn("slot", _slot(F.xxhash64("doc_id", F.lit(seed)), ranges))
     per = keyed.groupBy("source", "slot").agg(F.sum("tokens").alias("tokens"))
-    per = per.withColumn("before", F.sum("tokens").over(W.partitionBy("source").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)))  # at most RANGES rows per source
+    per = per.withColumn("before", F.sum("tokens").over(W.partitionBy("source").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)))  # one row per range and source
     per = per.withColumn("before", F.coalesce("before", F.lit(0)))
     size = per.groupBy("source").agg(F.sum("tokens").alias("available"))
     t = targets.where("mix_name is not null and source_name is not null and target_share > 0 and max_repeats > 0").select("mix_name", "source_name", "target_share", "max_repeats")
@@ -68,10 +79,10 @@ def plan(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     return budgets, per
 
 
-def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, ranges: int = RANGES) -> DataFrame:
+def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, ranges: int | None = None) -> DataFrame:
     """(mix_name, source_name, doc_id, tokens, uses, used_tokens): the documents of each mix.
 
-    In each source documents stand in the order of a hash-random key. A budget takes whole
+    In each source documents stand in the order of a hash-random key, whatever the number of ranges. A budget takes whole
     epochs and of the last one all documents up to the cut; the document that the cut meets
     gives only its first tokens, so that the budget is met to the token. ``uses`` counts the
     epochs that use a document, the last in part if ``used_tokens`` is less than uses x tokens.
@@ -79,10 +90,11 @@ def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     Documents without a text or source and sources without a target take no part; ties of the
     key fall to the lower id. ``counts`` are those of token_counts.
     """
+    ranges = ranges or ranges_for(counts)
     budgets, per = plan(counts, targets, total_tokens, seed, ranges)
     share = budgets.select("mix_name", "source_name", "epochs", "rest")
     cuts = per.join(share, per["source"] == share["source_name"]).select("mix_name", "source", "slot", "epochs", F.greatest(F.lit(0), F.least("tokens", F.col("rest") - F.col("before"))).cast("bigint").alias("part"), F.col("tokens").alias("slot_tokens"))
-    docs = counts.withColumn("key", F.xxhash64("doc_id", F.lit(seed))).withColumn("slot", F.pmod("key", F.lit(ranges)))
+    docs = counts.withColumn("key", F.xxhash64("doc_id", F.lit(seed))).withColumn("slot", _slot(F.col("key"), ranges))
     rows = docs.join(cuts, ["source", "slot"])
     whole = rows.where((F.col("part") == 0) | (F.col("part") == F.col("slot_tokens"))).withColumn("last", F.when(F.col("part") == 0, 0).otherwise(F.col("tokens")).cast("bigint"))
     order = W.partitionBy("mix_name", "source").orderBy("key", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, -1)

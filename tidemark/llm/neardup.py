@@ -84,8 +84,16 @@ def _sample_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _order(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The frequent tokens in ascending order, and the count of each in the sample."""
     sample = sets.where(F.pmod("cid", F.lit(ORDER_SAMPLE)) == 0).select("grams")
-    df = sample.mapInPandas(_sample_counts, "token int, c bigint").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= ORDER_FROM)
-    top = df.orderBy(F.desc("c"), "token").limit(ORDER_MOST).toPandas()
+    df = stored(sample.mapInPandas(_sample_counts, "token int, c bigint").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= ORDER_FROM))
+    # counts by eighths of their logarithm, a few hundred rows: where to cut so that no more than ORDER_MOST are left
+    level = F.floor(F.log2("c") * 8).cast("int")
+    least, left = 1 << 30, ORDER_MOST
+    for row in sorted(df.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+        left -= row["n"]
+        if left < 0:
+            break
+        least = row["level"]
+    top = df.where(level >= least).toPandas()
     token = top["token"].to_numpy(np.int32).view(np.uint32)
     order = np.argsort(token)
     return token[order], top["c"].to_numpy(np.int64)[order]
