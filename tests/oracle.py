@@ -42,3 +42,20 @@ def same(spark, folder, query, sql, con):
     got, want = rows(df.columns, df.collect()), rows(names, cur.fetchall())
     assert len(got) == len(want)
     assert got == want
+
+
+def split_otherwise(spark, folder, query, leave_out=()):
+    """The rows of a query, the same with other numbers of tasks and partitions."""
+    found = []
+    for partitions, size in ((4, "128m"), (3, "20k")):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            df = query(spark, folder)
+            df = df.drop(*leave_out)
+            found.append(rows(df.columns, df.collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    assert found[0] == found[1]
+    return found[0]

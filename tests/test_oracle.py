@@ -2,7 +2,7 @@
 
 import pytest
 
-from oracle import connection, same
+from oracle import connection, same, split_otherwise
 from tidemark import queries as core
 
 NAMES = sorted(core.oracle_sql())
@@ -18,10 +18,13 @@ def test_query_equals_sql(spark, sf, con, name):
     same(spark, sf, core.queries()[name], core.oracle_sql()[name], con)
 
 
+#: Queries that find nothing in the given data; their operators are tested on small cases.
+EMPTY = {"scheduled_jobs", "declared_dependencies", "entry_points", "external_dependencies"}
+
+
 @pytest.mark.parametrize("name", sorted(set(core.queries()) - set(NAMES)))
-def test_query_without_sql_runs(spark, sf, name):
-    df = core.queries()[name](spark, sf)
-    assert df.columns and df.count() >= 0
+def test_query_without_sql_does_not_depend_on_the_split(spark, sf, name):
+    assert split_otherwise(spark, sf, core.queries()[name]) or name in EMPTY
 
 
 def test_entry_has_stable_schema(spark, sf):

@@ -212,25 +212,44 @@ def types_of(f: DataFrame) -> DataFrame:
     return _of(f, "type").groupBy("repository", F.col("owner").alias("qualified"), "name").agg(F.min("file_id").alias("file_id"))
 
 
-def resolved(f: DataFrame, uses: DataFrame, name: str, out: str) -> DataFrame:
+class Names:
+    """What simple names mean: candidates grouped once and written as tables, as many joins look them up."""
+
+    def __init__(self, f: DataFrame) -> None:
+        known = types_of(f)
+        only = lambda df, *by: df.groupBy(*by).agg(F.when(F.count_distinct("qualified") == 1, F.min("qualified")).alias("_q"))
+        brought = _of(f, "import").select("repository", "file_id", F.col("owner").alias("qualified")).distinct().join(known.select("repository", "qualified", "name"), ["repository", "qualified"])
+        self.facts = f
+        self.anywhere = stored(only(known, "repository", "name"))
+        self.here = stored(only(known, "repository", "file_id", "name"))
+        self.brought = stored(only(brought, "repository", "file_id", "name"))
+        self._methods: DataFrame | None = None
+
+    @property
+    def methods(self) -> DataFrame:
+        if self._methods is None:
+            self._methods = stored(_methods_of(self))
+        return self._methods
+
+
+def resolved(names: Names, uses: DataFrame, name: str, out: str) -> DataFrame:
     """``uses`` (repository, file_id, ...) with the type ``out`` that the simple name in column ``name`` means there.
 
     In this order: the only type of that name in the repository, the only one in the same file,
     the only one that the file imports. Names without such a type are left out.
     """
-    known = types_of(f)
-    only = lambda df, *by: df.groupBy(*by).agg(F.when(F.count_distinct("qualified") == 1, F.min("qualified")).alias("q"))
-    anywhere = only(known, "repository", "name").select("repository", F.col("name").alias(name), F.col("q").alias("_any"))
-    here = only(known, "repository", "file_id", "name").select("repository", "file_id", F.col("name").alias(name), F.col("q").alias("_here"))
-    brought = _of(f, "import").select("repository", "file_id", F.col("owner").alias("qualified")).distinct().join(known.select("repository", "qualified", "name"), ["repository", "qualified"])
-    brought = only(brought, "repository", "file_id", "name").select("repository", "file_id", F.col("name").alias(name), F.col("q").alias("_brought"))
-    rows = uses.join(anywhere, ["repository", name]).join(here, ["repository", "file_id", name], "left").join(brought, ["repository", "file_id", name], "left")
+    as_ = lambda df, q: df.withColumnRenamed("name", name).withColumnRenamed("_q", q) if name != "name" else df.withColumnRenamed("_q", q)
+    rows = uses.join(as_(names.anywhere, "_any"), ["repository", name]).join(as_(names.here, "_here"), ["repository", "file_id", name], "left").join(as_(names.brought, "_brought"), ["repository", "file_id", name], "left")
     return rows.withColumn(out, F.coalesce("_any", "_here", "_brought")).drop("_any", "_here", "_brought").where(F.col(out).isNotNull())
 
 
 def methods_of(f: DataFrame) -> DataFrame:
     """(repository, type, name, file_id, line, end_line, accessor): each method of a known type once."""
-    own = resolved(f, _of(f, "method").select("repository", "file_id", "name", "owner", "line", "end_line", F.col("other").isNotNull().alias("accessor")), "owner", "type")
+    return Names(f).methods
+
+
+def _methods_of(names: Names) -> DataFrame:
+    own = resolved(names, _of(names.facts, "method").select("repository", "file_id", "name", "owner", "line", "end_line", F.col("other").isNotNull().alias("accessor")), "owner", "type")
     first = own.groupBy("repository", "type", "name").agg(F.min(F.struct("file_id", "line", "end_line", "accessor")).alias("m"))
     return first.select("repository", "type", "name", "m.*")
 
@@ -239,10 +258,10 @@ def _method_id(type_: Column, name: Column) -> Column:
     return F.concat(F.lit("method:"), type_, F.lit("#"), name)
 
 
-def _found_methods(f: DataFrame, wanted: DataFrame) -> DataFrame:
+def _found_methods(names: Names, wanted: DataFrame) -> DataFrame:
     """``wanted`` (repository, type, name) with the type ``target`` that declares the method: itself or its nearest supertype, at most SUPERTYPE_DEPTH away."""
-    has = methods_of(f).select("repository", F.col("type").alias("at"), "name", F.lit(True).alias("known"))
-    parents = resolved(f, _of(f, "super").select("repository", "file_id", F.col("name").alias("parent"), F.col("owner").alias("at"), F.col("other").cast("int").alias("place")), "parent", "up").select("repository", "at", "up", "place").distinct()
+    has = names.methods.select("repository", F.col("type").alias("at"), "name", F.lit(True).alias("known"))
+    parents = resolved(names, _of(names.facts, "super").select("repository", "file_id", F.col("name").alias("parent"), F.col("owner").alias("at"), F.col("other").cast("int").alias("place")), "parent", "up").select("repository", "at", "up", "place").distinct()
     level = wanted.select("repository", "type", "name").distinct().withColumn("at", F.col("type")).withColumn("rank", F.array(F.lit(0)))
     done = None
     for depth in range(SUPERTYPE_DEPTH + 1):
@@ -254,26 +273,28 @@ def _found_methods(f: DataFrame, wanted: DataFrame) -> DataFrame:
     return done.groupBy("repository", "type", "name").agg(F.min("x")["at"].alias("target"))
 
 
-def edges(f: DataFrame) -> DataFrame:
+def edges(f: DataFrame, names: Names | None = None) -> DataFrame:
     """(repository, src, dst, kind), each once, without self-loops: imports, extends, calls, reads, writes, triggers, http."""
+    names = names or Names(f)
     text = lambda s: F.lit(s)
     known = types_of(f)
     own = _of(f, "type").select("repository", "file_id", F.col("owner").alias("of")).distinct()
     imports = _of(f, "import").select("repository", "file_id", F.col("owner").alias("qualified")).join(known.select("repository", "qualified"), ["repository", "qualified"]).join(own, ["repository", "file_id"])
     out = [imports.select("repository", F.concat(text("class:"), "of").alias("src"), F.concat(text("class:"), "qualified").alias("dst"), text("imports").alias("kind"))]
-    ups = resolved(f, _of(f, "super").select("repository", "file_id", F.col("name").alias("parent"), F.col("owner").alias("of")), "parent", "up")
+    ups = resolved(names, _of(f, "super").select("repository", "file_id", F.col("name").alias("parent"), F.col("owner").alias("of")), "parent", "up")
     out.append(ups.select("repository", F.concat(text("class:"), "of").alias("src"), F.concat(text("class:"), "up").alias("dst"), text("extends").alias("kind")))
 
     caller = lambda df: df.withColumn("_t", F.substring_index("owner", "#", 1)).withColumn("_m", F.substring_index("owner", "#", -1))
-    by = lambda df: resolved(f, caller(df), "_t", "_type").withColumn("src", _method_id(F.col("_type"), F.col("_m")))
-    calls = by(resolved(f, _of(f, "call").select("repository", "file_id", F.col("name").alias("called"), "owner", F.col("other").alias("receiver")), "receiver", "type"))
+    by = lambda df: resolved(names, caller(df), "_t", "_type").withColumn("src", _method_id(F.col("_type"), F.col("_m")))
+    calls = by(resolved(names, _of(f, "call").select("repository", "file_id", F.col("name").alias("called"), "owner", F.col("other").alias("receiver")), "receiver", "type"))
     entity = _of(f, "entity").select("repository", F.col("owner").alias("entity"), F.col("name").alias("table")).distinct()
-    stores = resolved(f, _of(f, "store").select("repository", "file_id", F.col("name").alias("of"), F.col("owner").alias("type")), "of", "entity").join(entity, ["repository", "entity"]).groupBy("repository", "type").agg(F.min("table").alias("table"))
-    target = _found_methods(f, calls.select("repository", "type", F.col("called").alias("name"))).withColumnRenamed("name", "called")
+    stores = resolved(names, _of(f, "store").select("repository", "file_id", F.col("name").alias("of"), F.col("owner").alias("type")), "of", "entity").join(entity, ["repository", "entity"]).groupBy("repository", "type").agg(F.min("table").alias("table"))
+    calls = stored(calls)
+    target = _found_methods(names, calls.select("repository", "type", F.col("called").alias("name"))).withColumnRenamed("name", "called")
     calls = calls.join(target, ["repository", "type", "called"], "left").join(stores, ["repository", "type"], "left")
     reached = F.coalesce("target", F.when(F.col("table").isNotNull(), F.col("type")))
     out.append(calls.where(reached.isNotNull()).select("repository", "src", _method_id(reached, F.col("called")).alias("dst"), text("calls").alias("kind")))
-    derived = calls.where("table is not null and target is null").select("repository", "type", F.col("called").alias("name"), "table").unionByName(methods_of(f).join(stores, ["repository", "type"]).select("repository", "type", "name", "table"))
+    derived = calls.where("table is not null and target is null").select("repository", "type", F.col("called").alias("name"), "table").unionByName(names.methods.join(stores, ["repository", "type"]).select("repository", "type", "name", "table"))
     verb = F.when(F.col("name").rlike(WRITING), "writes").when(F.col("name").rlike(READING), "reads")
     out.append(derived.where(verb.isNotNull()).select("repository", _method_id(F.col("type"), F.col("name")).alias("src"), F.concat(text("table:"), "table").alias("dst"), verb.alias("kind")))
     access = by(_of(f, "access").select("repository", "file_id", "name", "owner", "other"))
@@ -287,9 +308,9 @@ def edges(f: DataFrame) -> DataFrame:
     return union.where("src <> dst").distinct()
 
 
-def nodes(f: DataFrame, e: DataFrame) -> DataFrame:
+def nodes(f: DataFrame, e: DataFrame, names: Names | None = None) -> DataFrame:
     """(repository, id, kind), each once: classes, functions, tables, endpoints."""
-    ids = types_of(f).select("repository", F.concat(F.lit("class:"), "qualified").alias("id")).unionByName(methods_of(f).select("repository", _method_id(F.col("type"), F.col("name")).alias("id")))
+    ids = types_of(f).select("repository", F.concat(F.lit("class:"), "qualified").alias("id")).unionByName((names or Names(f)).methods.select("repository", _method_id(F.col("type"), F.col("name")).alias("id")))
     ids = ids.unionByName(_of(f, "table").select("repository", F.concat(F.lit("table:"), "name").alias("id"))).unionByName(_of(f, "object").where("other in ('table', 'trigger', 'function')").select("repository", F.concat("other", F.lit(":"), "name").alias("id")))
     ids = ids.unionByName(_of(f, "route").select("repository", F.concat(F.lit("endpoint:"), "name").alias("id"))).unionByName(e.select("repository", F.col("src").alias("id"))).unionByName(e.select("repository", F.col("dst").alias("id")))
     head = F.substring_index("id", ":", 1)

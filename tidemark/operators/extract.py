@@ -271,6 +271,11 @@ def anchor(text: str, quote: str, enough: float = 0.7, gap: int = 3, wrapped: fl
     return [(best[0] + 1, best[-1] + 1, round(max(strong[i] for i in best), 4))]
 
 
+def anchors(text: str, quotes: list) -> list[tuple[int, int, int, float]]:
+    """(id, first line, last line, score) of the best place of each of a text's quotes (id, quote)."""
+    return [(q["span_id"], *place) for q in quotes for place in anchor(text, q["comment_text"])]
+
+
 def scheduled_jobs(source: str) -> list[tuple[str, str, int]]:
     """(kind, value, line) of scheduled methods: cron, fixedRate or fixedDelay."""
     return [(m[1], m[2].strip("\""), source.count("\n", 0, m.start()) + 1) for m in re.finditer(r"@Scheduled\s*\(\s*(cron|fixedRate|fixedDelay)\s*=\s*(\"[^\"]*\"|\d+)", source)]

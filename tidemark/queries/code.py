@@ -28,7 +28,8 @@ def dependency_graph_edges(spark, sf):
 @query()
 def dependency_graph_nodes(spark, sf):
     f = C.facts(_files(spark, sf))
-    return C.nodes(f, C.edges(f))
+    names = C.Names(f)
+    return C.nodes(f, C.edges(f, names), names)
 
 
 @query()

@@ -208,3 +208,11 @@ def array_idioms(spark, sf):
 @query("SELECT repository, sha256(string_agg(DISTINCT verb, '|' ORDER BY verb)) AS digest FROM sql_statements WHERE verb IS NOT NULL GROUP BY repository")
 def order_free_set_hash(spark, sf):
     return table(spark, sf, "sql_statements").where("verb is not null").groupBy("repository").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("verb")), "|"), 256).alias("digest"))
+
+
+@query("SELECT command_id, date_diff('day', CAST(started_at AS DATE), DATE '2026-09-01') AS age_days, started_at < TIMESTAMP '2026-09-01 00:00:00' AS past FROM command_results WHERE started_at IS NOT NULL")
+def age_as_of(spark, sf):
+    """Ages against a day that the caller gives; no query reads a clock of its own."""
+    as_of = F.lit("2026-09-01")
+    held = table(spark, sf, "command_results").where("started_at is not null")
+    return held.select("command_id", F.date_diff(as_of.cast("date"), F.col("started_at").cast("date")).cast("bigint").alias("age_days"), (F.col("started_at") < as_of.cast("timestamp_ntz")).alias("past"))

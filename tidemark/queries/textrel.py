@@ -169,9 +169,10 @@ def citation_recheck(spark, sf):
 @query()
 def quotes_anchored(spark, sf):
     """The place of each long comment in its file, found by words alone."""
-    s = table(spark, sf, "source_spans").where("comment_text is not null and line_no is not null").select("span_id", "file_id", F.col("comment_text").alias("quote"))
-    both = s.join(table(spark, sf, "model_files").select("file_id", F.col("file_content").alias("content")), "file_id")
-    return E.extracted(both, "span_id", ["content", "quote"], E.anchor, "first_line bigint, last_line bigint, score double")
+    s = table(spark, sf, "source_spans").where("comment_text is not null and line_no is not null and span_id is not null")
+    quotes = s.groupBy("file_id").agg(F.collect_list(F.struct("span_id", "comment_text")).alias("quotes"))  # bounded by one text
+    both = table(spark, sf, "model_files").select("file_id", F.col("file_content").alias("content")).join(quotes, "file_id")
+    return E.extracted(both, "file_id", ["content", "quotes"], E.anchors, "span_id bigint, first_line bigint, last_line bigint, score double").drop("file_id")
 
 
 @query("""SELECT repository, count(*) AS statements, count(*) FILTER (WHERE verb IS NULL) AS unclassified, count(*) FILTER (WHERE writes) AS writing FROM sql_statements GROUP BY repository""")
