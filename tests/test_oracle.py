@@ -18,8 +18,8 @@ def test_query_equals_sql(spark, sf, con, name):
     same(spark, sf, core.queries()[name], core.oracle_sql()[name], con)
 
 
-#: Queries that find nothing in the given data; their operators are tested on small cases.
-EMPTY = {"scheduled_jobs", "declared_dependencies", "entry_points", "external_dependencies"}
+#: Queries that find nothing in the given data (the last two only in its smallest size); their operators are tested on small cases.
+EMPTY = {"scheduled_jobs", "declared_dependencies", "entry_points", "external_dependencies", "json_found_in_text"}
 
 
 @pytest.mark.parametrize("name", sorted(set(core.queries()) - set(NAMES)))
