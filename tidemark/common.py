@@ -76,7 +76,7 @@ def scratch(spark: SparkSession) -> str:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     application = spark.sparkContext.applicationId
     if application not in _FOLDERS:
-        atexit.register(release, spark)
+        atexit.register(_release_at_exit, spark)
     _FOLDERS.setdefault(application, []).append(path)
     return path
 
@@ -98,6 +98,13 @@ def release(spark: SparkSession) -> int:
     return done
 
 
+def _release_at_exit(spark: SparkSession) -> None:
+    try:
+        release(spark)
+    except Exception:  # noqa: BLE001 - the JVM may have gone before; the folder is then the cluster's to clear
+        pass
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table into the shared folder and read it back.
 
