@@ -53,3 +53,11 @@ def test_quotes_are_found_over_the_pieces_of_long_texts(spark):
     held = spark.createDataFrame([(0, long), (1, "none of it")], "file_id long, content string")
     got = {tuple(r) for r in Q.held_elsewhere(spark.createDataFrame(quotes, "file_id long, quote string"), held).collect()}
     assert got == {(1, q, 0) for _, q in quotes if q in long}
+
+
+def test_no_text_or_quote_is_broadcast(spark, tmp_path):
+    spark.createDataFrame([(i, f"a text of number {i} and more") for i in range(9)], "file_id long, content string").write.parquet(f"{tmp_path}/held")
+    held = spark.read.parquet(f"{tmp_path}/held")
+    found = Q.held_elsewhere(held.withColumnRenamed("content", "quote"), held)
+    assert found.collect() == []
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
